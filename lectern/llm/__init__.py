@@ -5,14 +5,18 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash, url_filters
 
 
 def queries():
     """Query name -> function of (spark, sf_dir)."""
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {
+        "op8_url_filters": url_filters.op8_url_filters,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql():
     """Query name -> DuckDB SQL, where SQL can express the query."""
-    return {}
+    return {"op8_url_filters": url_filters.OP8_SQL}

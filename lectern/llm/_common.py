@@ -39,9 +39,19 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` once; what is returned reads it back with the same columns."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write `df` once; what is returned reads it back with the same columns.
+
+        `batch`: rows in an Arrow batch meanwhile, so that batches of whole texts stay small.
+        """
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        held = conf.get(key)
+        if batch:
+            conf.set(key, str(batch))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(key, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
