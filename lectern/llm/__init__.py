@@ -5,12 +5,14 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import quality, simhash, url_filters
+from . import mixing, packing, quality, simhash, url_filters
 
 
 def queries():
     """Query name -> function of (spark, sf_dir)."""
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op5_mixing": mixing.op5_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_rules": quality.op10_quality_rules,
