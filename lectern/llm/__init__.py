@@ -5,13 +5,15 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, url_filters
+from . import embedding_dedup, mixing, packing, quality, simhash, url_filters, warc
 
 
 def queries():
     """Query name -> function of (spark, sf_dir)."""
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+        "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_simhash": simhash.op9_simhash,
@@ -21,4 +23,4 @@ def queries():
 
 def oracle_sql():
     """Query name -> DuckDB SQL, where SQL can express the query."""
-    return {"op8_url_filters": url_filters.OP8_SQL}
+    return {"op2_embedding_dedup": embedding_dedup.OP2_SQL, "op8_url_filters": url_filters.OP8_SQL}
