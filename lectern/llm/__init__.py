@@ -5,7 +5,7 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, packing, quality, simhash, url_filters, warc
+from . import embedding_dedup, html_extract, mixing, packing, quality, simhash, url_filters, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+        "op3_html_extraction": html_extract.op3_html_extraction,
         "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
         "op8_url_filters": url_filters.op8_url_filters,
