@@ -57,19 +57,6 @@ class OpenWindows:
         return self.starts[self.order[~self.first | (told == 0)]]
 
 
-def judge_windows(table: pa.Table) -> pa.Table:
-    """For one range of window hashes: 1 for the first of each content."""
-    blobs = [repeats.unpacked(x) for x in table.column("blob").to_pylist()]
-    sizes = [len(x[0]) for x in blobs]
-    one, two, key = (np.concatenate([x[k] for x in blobs]) for k in range(3))
-    shard = np.repeat(table.column("shard").to_numpy(), sizes)
-    order = np.lexsort((shard, key, two, one))
-    one, two = one[order], two[order]
-    bits = np.empty(len(order), np.uint8)
-    bits[order] = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-    return repeats.answered(table, bits, sizes)
-
-
 def locate(words: Words, phrases: set[bytes]) -> np.ndarray:
     """Marks every word at which one of the phrases (PHRASE words, joined by spaces) starts.
 
@@ -153,7 +140,7 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
 
     classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), repeats.judge_classes, scratch, "classes")
     known = shards.join(classes, "shard", "left")
-    windows = repeats.exchange(known.mapInArrow(ask_windows, repeats.LINES), judge_windows, scratch, "windows")
+    windows = repeats.exchange(known.mapInArrow(ask_windows, repeats.LINES), repeats.judge_windows, scratch, "windows")
     known = known.join(windows, "shard", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
