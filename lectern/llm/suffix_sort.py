@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 from array import array
-from collections import deque
+from collections import defaultdict, deque
 
 import numpy as np
 
-#: Positions of a queue's end that stay in memory before they go to disk.
-BLOCK = 1 << 14
-
-
-class DiskQueue:
-    """First in, first out; all but the first and the last block are in an unnamed temporary file."""
-
-    __slots__ = ("head", "at", "tail", "blocks", "store")
-
-    def __init__(self, store):
-        self.head, self.at, self.tail, self.blocks, self.store = array("q"), 0, array("q"), deque(), store
-
-    def push(self, value: int) -> None:
-        self.tail.append(value)
-        if len(self.tail) == BLOCK:
-            self.blocks.append(self.store.put(self.tail))
-            self.tail = array("q")
-
-    def pop(self) -> int:
-        if self.at == len(self.head):
-            if self.blocks:
-                self.head = self.store.get(self.blocks.popleft())
-            else:
-                self.head, self.tail = self.tail, array("q")
-            self.at = 0
-        self.at += 1
-        return self.head[self.at - 1]
-
-    def __bool__(self):
-        return self.at < len(self.head) or bool(self.blocks) or bool(self.tail)
+#: Positions handed over between two looks at the queues, and the least length of a queue that then goes to disk.
+BLOCK = 1 << 18
+LEAST = 1 << 12
 
 
 class Store:
@@ -67,34 +39,33 @@ class Store:
 
 
 class SuffixQueue:
-    """Priority queue of suffixes by (first symbol, order of arrival), ascending or descending.
+    """Priority queue of suffixes by (first symbol, order of arrival).
 
-    Induction hands the suffixes of one first symbol over in their final order, so each symbol has a
-    disk-backed queue, and only the symbols that wait are in a heap.
+    Induction hands over the suffixes of one first symbol in their final order, so a symbol's queue is
+    first in, first out, and the queue as a whole is emptied symbol by symbol. Long queues are moved to
+    disk block by block, so what waits in memory is about BLOCK positions.
     """
 
-    def __init__(self, store: Store, sign: int = 1):
-        self.store, self.sign, self.queues, self.waiting = store, sign, {}, []
-
-    def push(self, symbol: int, position: int) -> None:
-        q = self.queues.get(symbol)
-        if q is None:
-            q = self.queues[symbol] = DiskQueue(self.store)
-            heapq.heappush(self.waiting, self.sign * symbol)
-        q.push(position)
-
-    def top(self):
-        """First symbol of the next suffix, or None."""
-        return self.sign * self.waiting[0] if self.waiting else None
-
-    def pop(self) -> int:
-        symbol = self.sign * self.waiting[0]
-        q = self.queues[symbol]
-        out = q.pop()
-        if not q:
-            del self.queues[symbol]
-            heapq.heappop(self.waiting)
-        return out
+    def __init__(self, store: Store):
+        self.store, self.fresh, self.stored, self.moved = store, defaultdict(list), defaultdict(deque), 0
+
+    def blocks(self, symbol: int):
+        """All suffixes of a symbol in order, also those that arrive meanwhile."""
+        while True:
+            if self.stored and (away := self.stored.get(symbol)):
+                block = self.store.get(away.popleft()).tolist()
+            elif symbol in self.fresh and (block := self.fresh.pop(symbol)):
+                pass
+            else:
+                return
+            yield block
+            self.moved += len(block)
+            if self.moved > BLOCK:
+                self.moved = 0
+                for other, waiting in self.fresh.items():
+                    if len(waiting) >= LEAST:
+                        self.stored[other].append(self.store.put(array("q", waiting)))
+                        self.fresh[other] = []
 
 
 def stable_types(x: np.ndarray) -> np.ndarray:
@@ -121,18 +92,17 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         return np.arange(n)
     small = stable_types(x)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    text, less = x.tolist(), small.tolist()
     store = Store()
     try:
-        return _induced(text, less, _sorted_stars(x, stars), store)
+        return _induced(x, small, _sorted_stars(x, stars), store)
     finally:
         store.close()
 
 
-def _sorted_stars(x: np.ndarray, stars: np.ndarray) -> list[int]:
+def _sorted_stars(x: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """The star suffixes in order, by sorting their names' suffixes."""
     if not len(stars):
-        return []
+        return stars
     width = 2 if x.max() < 0xFFFF else 4
     raw = x.astype(f">u{width}").tobytes()
     top, end = b"\xff" * width, b"\x00" * width
@@ -143,44 +113,52 @@ def _sorted_stars(x: np.ndarray, stars: np.ndarray) -> list[int]:
     names = {s: k + 1 for k, s in enumerate(sorted(set(stretches)))}
     if len(names) == len(stretches):
         order = sorted(range(len(stretches)), key=stretches.__getitem__)
-        return stars[order].tolist()
+        return stars[order]
     reduced = np.fromiter(map(names.__getitem__, stretches), np.int64, len(stretches))
     del names, stretches
-    return stars[suffix_array(reduced)].tolist()
+    return stars[suffix_array(reduced)]
 
 
-def _induced(text: list[int], less: list[bool], stars: list[int], store: Store) -> np.ndarray:
-    n = len(text)
+def _induced(x: np.ndarray, small: np.ndarray, stars: np.ndarray, store: Store) -> np.ndarray:
+    n = len(x)
+    before = np.r_[0, x[:-1]]
+    is_small_before = np.r_[False, small[:-1]]
+    symbols = np.unique(x)
+    # What a suffix hands over: the symbol before it, if the suffix there belongs to the pass; else 0.
+    to_large = np.where(is_small_before, 0, before).tolist()
+    of_star = x[stars]
+    cuts = np.searchsorted(of_star, symbols), np.searchsorted(of_star, symbols, "right")
+
     # Ascending pass: greater suffixes, induced by the end, the stars and each other.
-    queue, large = SuffixQueue(store), array("q")
-    queue.push(text[n - 1], n - 1)  # the last suffix is greater than the empty one
-    k, m = 0, len(stars)
-    push, pop, top = queue.push, queue.pop, queue.top
-    while True:
-        symbol = top()
-        if symbol is not None and (k == m or symbol <= text[stars[k]]):
-            p = pop()
-            large.append(p)
-        elif k < m:
-            p = stars[k]
-            k += 1
-        else:
-            break
-        if p and not less[p - 1]:
-            push(text[p - 1], p - 1)
+    queue, large, ends = SuffixQueue(store), array("q"), [0]
+    fresh = queue.fresh
+    fresh[int(x[n - 1])].append(n - 1)  # the last suffix is greater than the empty one
+    for symbol, s, e in zip(symbols.tolist(), *(c.tolist() for c in cuts), strict=True):
+        for block in queue.blocks(symbol):
+            large.fromlist(block)
+            for p in block:
+                if to := to_large[p]:
+                    fresh[to].append(p - 1)
+        ends.append(len(large))
+        for p in stars[s:e].tolist():
+            if to := to_large[p]:
+                fresh[to].append(p - 1)
+    del to_large
+
     # Descending pass: lesser suffixes, induced by the greater ones and each other.
-    queue, out, at = SuffixQueue(store, -1), np.empty(n, np.int64), n
-    push, pop, top = queue.push, queue.pop, queue.top
-    k = len(large) - 1
-    while at:
-        symbol = top()
-        if symbol is not None and (k < 0 or symbol >= text[large[k]]):
-            p = pop()
-        else:
-            p = large[k]
-            k -= 1
-        at -= 1
-        out[at] = p
-        if p and less[p - 1]:
-            push(text[p - 1], p - 1)
-    return out
+    to_small = np.where(is_small_before, before, 0).tolist()
+    queue, out = SuffixQueue(store), array("q")
+    fresh = queue.fresh
+    for k in range(len(symbols) - 1, -1, -1):
+        for block in queue.blocks(int(symbols[k])):
+            out.fromlist(block)
+            for p in block:
+                if to := to_small[p]:
+                    fresh[to].append(p - 1)
+        block = large[ends[k] : ends[k + 1]]
+        block.reverse()
+        out.extend(block)
+        for p in block:
+            if to := to_small[p]:
+                fresh[to].append(p - 1)
+    return np.frombuffer(out, np.int64)[::-1]
