@@ -5,7 +5,7 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, url_filters, warc
+from . import embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, suffix_dedup, url_filters, warc
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op3_html_extraction": html_extract.op3_html_extraction,
         "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_simhash": simhash.op9_simhash,

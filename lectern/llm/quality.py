@@ -74,6 +74,7 @@ def quality_rules(
     max_share: float = 0.05,
     max_removed_percent: int = 50,
     with_text: bool = False,
+    carry_text: bool = False,
 ) -> DataFrame:
     """Judges every row of `docs`; returns its columns and the statistics, base_failed, removed_words, kept.
 
@@ -81,19 +82,19 @@ def quality_rules(
     windows found twice. Line rule: lines are lower-cased, white space is collapsed, the result hashed;
     lines in too many distinct documents of a host (see line_frequency) are struck, and a document that
     loses more than `max_removed_percent` of its words is depleted: rejected. `with_text` adds
-    kept_text, the text without struck lines.
+    kept_text, the text without struck lines; `carry_text` keeps the text's own column.
 
     Null text is empty (base_failed); a null host is a host of its own; repeated rows and ids each keep
     their own row; an empty table gives an empty result. Columns named as a result replace the input's.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "kept_text"]
-    keep = [c for c in docs.columns if c not in made and not c.startswith("_") and (c != text or with_text)]
-    keep = [*keep, *([text] if text not in keep and text in docs.columns else [])]
+    keep = [c for c in docs.columns if c not in made and not c.startswith("_") and c != text]
+    keep = [*keep, text]
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     norm = lambda x: F.lower(F.btrim(F.regexp_replace(x, SPACE_CLASS + "+", " "), F.lit(" ")))
     judged = base_statistics(docs.select(*keep), text)
-    if not with_text:
+    if not with_text and not carry_text:
         judged = judged.drop(text)
     judged = judged.withColumn(
         "_lines", F.transform("_lines", lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), F.size(split_words(x)).alias("words")))
@@ -126,7 +127,7 @@ def quality_rules(
             "kept_text",
             F.array_join(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(struck_here, F.xxhash64(norm(x)))), "\n"),
         )
-    return out.drop("_row", "_lines", "_struck")
+    return out.drop("_row", "_lines", "_struck", *([] if carry_text else [text]))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -135,6 +136,3 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
-
-
-MIN_DOCS, MAX_SHARE, MAX_REMOVED = 20, 0.05, 50
