@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import queries as planned
+from .sources import queries as read
+
 
 def queries():
     """Query name -> function of (spark, sf_dir)."""
-    return {}
+    return planned.QUERIES | read.QUERIES
 
 
 def oracle_sql():
     """Query name -> DuckDB SQL."""
-    return {}
+    return planned.ORACLES | read.ORACLES
