@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 METADATA_FIELDS = ("document_number", "date", "title", "language", "pdf_url", "source_page", "local_path", "content_sha256", "scraped_at")
 METADATA = T.StructType([T.StructField(c, T.StringType()) for c in METADATA_FIELDS])
-QUESTION = T.StructType.fromDDL(
+QUESTION = (
     "id string, language string, question string, type string, category string, answer_available boolean, expected_document string, "
     "expected_documents array<string>, expected_pages array<int>, expected_facts array<string>, minimum_fact_matches int, "
     "required_phrases array<string>, forbidden_phrases array<string>, expected_answer_type string, expected_decision string"
