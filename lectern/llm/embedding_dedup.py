@@ -108,6 +108,8 @@ def embedding_components(
         copies = table.column("copies").to_numpy()
         flat = table.column("v").combine_chunks()
         v = flat.flatten().to_numpy().reshape(len(rep), -1)
+        # A power of two for each row, so that squares neither vanish nor overflow; cosines stay the same bit for bit.
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
         right = np.asarray(table.column("right").to_pylist(), bool)
         if np.asarray(table.column("own").to_pylist(), bool).all():
             i, j = tile_links(v, None, threshold)
