@@ -22,7 +22,7 @@ class EngineConfig:
     ocr_ratio_limit: float = 0.5
     low_quality_limit: float = 0.5
     eval_k: int = 3
-    official_hosts: tuple[str, ...] = ("douane.gov.tn", "www.douane.gov.tn")
+    official_hosts: tuple[str, ...] = ()  # of the deployment; the last is the canonical one
 
 
 DEFAULT = EngineConfig()

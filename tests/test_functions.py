@@ -124,4 +124,4 @@ def test_small_text(spark):
     assert values(spark, T.zfill(F.col("x")), ["7", "1234"]) == ["007", "1234"]
     assert values(spark, T.safe_component(F.col("x"), 40, "document"), ['a/b: "c"', "..", None]) == ["a_b_c", "document", "document"]
     assert values(spark, T.base_name(F.col("x"), "Unknown source"), ["a\\b/c.pdf", None]) == ["c.pdf", "Unknown source"]
-    assert U.canonical_url("/x.pdf#p", "http://douane.gov.tn/fr/") == "https://www.douane.gov.tn/x.pdf"
+    assert U.canonical_url("/x.pdf#p", "http://h.tn/fr/", ("h.tn", "www.h.tn")) == "https://www.h.tn/x.pdf"
