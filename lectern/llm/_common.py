@@ -29,11 +29,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Every scratch folder made in this process, in order; see corpus_pipeline for when they go.
+SCRATCHES: list = []
+
+
 class Scratch:
     """Parquet tables below the shared checkpoint folder that cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        SCRATCHES.append(self)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -54,10 +59,10 @@ class Scratch:
             conf.set(key, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no later plan reads; without a name, all of them."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
