@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 ARABIC, LATIN = r"[\u0600-\u06FF]", r"[A-Za-z\u00C0-\u00FF]"
 MARKERS = {
     "ar": (("ar", "arabic", "arabe"), ("arabic", "arabe")),
@@ -28,13 +30,23 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def scripts(c: Column) -> Column:
+    """struct(ar, la, kinds): Arabic letters, Latin letters, kinds of Latin letters."""
+    return F.struct(arabic_count(c).alias("ar"), latin_count(c).alias("la"), latin_distinct(c).alias("kinds"))
+
+
 def script_language(c: Column) -> Column:
     """ar from 30 % Arabic letters, fr from 70 % Latin ones of 4 kinds; null below 10 letters."""
-    ar, la = arabic_count(c), latin_count(c)
-    total = ar + la
-    return F.when(total < 10, F.lit(None).cast("string")).when(share(ar, total) >= 0.3, F.lit("ar")).when(
-        (share(la, total) >= 0.7) & (latin_distinct(c) >= 4), F.lit("fr")
-    )
+
+    def told(s: Column) -> Column:
+        total = s["ar"] + s["la"]
+        return (
+            F.when(total < 10, F.lit(None).cast("string"))
+            .when(share(s["ar"], total) >= 0.3, F.lit("ar"))
+            .when((share(s["la"], total) >= 0.7) & (s["kinds"] >= 4), F.lit("fr"))
+        )
+
+    return let(scripts(c), told)
 
 
 def stem(c: Column) -> Column:
@@ -57,14 +69,18 @@ def filename_language(c: Column) -> Column:
 
 def detect_language(text: Column, filename: Column, default: Column) -> Column:
     """struct(language, language_source): from the file name, the text, what is inherited, or unknown."""
-    by_name, by_text = filename_language(filename), script_language(text)
     made = lambda value, origin: F.struct(F.coalesce(value, F.lit("unknown")).alias("language"), F.lit(origin).alias("language_source"))
-    return (
-        F.when(by_name.isNotNull(), made(by_name, "filename"))
-        .when(by_text.isNotNull(), made(by_text, "text"))
-        .when(default.isin("ar", "fr"), made(default, "inherited"))
-        .otherwise(made(F.lit("unknown"), "unknown"))
-    )
+    both = F.struct(filename_language(filename).alias("named"), script_language(text).alias("script"))
+
+    def told(s: Column) -> Column:
+        return (
+            F.when(s["named"].isNotNull(), made(s["named"], "filename"))
+            .when(s["script"].isNotNull(), made(s["script"], "text"))
+            .when(default.isin("ar", "fr"), made(default, "inherited"))
+            .otherwise(made(F.lit("unknown"), "unknown"))
+        )
+
+    return let(both, told)
 
 
 def question_language(c: Column) -> Column:
@@ -77,9 +93,11 @@ def arabic_ratio(c: Column) -> Column:
 
 
 def is_readable(c: Column, language: Column) -> Column:
-    ar, la = arabic_count(c), latin_count(c)
-    arabic = (ar >= 5) & (F.coalesce(share(ar, ar + la), F.lit(0.0)) >= 0.15)
-    return F.when(language == "ar", arabic).when(language == "fr", (la >= 10) & (latin_distinct(c) >= 4)).otherwise(F.lit(False))
+    def told(s: Column) -> Column:
+        arabic = (s["ar"] >= 5) & (F.coalesce(share(s["ar"], s["ar"] + s["la"]), F.lit(0.0)) >= 0.15)
+        return F.when(language == "ar", arabic).when(language == "fr", (s["la"] >= 10) & (s["kinds"] >= 4)).otherwise(F.lit(False))
+
+    return let(scripts(c), told)
 
 
 def expected_page_language(filename: Column, folder: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .language import arabic_count, latin_count
+from .text import let
 
 LETTERS = r"[A-Za-z\u00C0-\u00FF\u0600-\u06FF]"
 WORD = r"[A-Za-z\u00C0-\u00FF\u0600-\u06FF0-9]+"
@@ -14,35 +15,49 @@ WORD = r"[A-Za-z\u00C0-\u00FF\u0600-\u06FF0-9]+"
 def dominance(c: Column) -> Column:
     """Greatest share of one letter, case aside, among the letters."""
     letters = F.lower(F.regexp_replace(c, r"[^A-Za-z\u00C0-\u00FF\u0600-\u06FF]", ""))
-    each = F.filter(F.array_distinct(F.split(letters, "")), lambda x: x != "")
-    most = F.array_max(F.transform(each, lambda x: F.length(letters) - F.length(F.replace(letters, x, F.lit("")))))
-    return F.coalesce(F.try_divide(most.cast("double"), F.length(letters).cast("double")), F.lit(0.0))
+
+    def share(one: Column) -> Column:
+        each = F.filter(F.array_distinct(F.split(one, "")), lambda x: x != "")
+        most = F.array_max(F.transform(each, lambda x: F.length(one) - F.length(F.replace(one, x, F.lit("")))))
+        return F.coalesce(F.try_divide(most.cast("double"), F.length(one).cast("double")), F.lit(0.0))
+
+    # Bound once as a lambda's variable, so the letters are not extracted again for every letter.
+    return let(letters, share)
 
 
 def quality_score(c: Column, language: Column) -> Column:
     """0..1 by amount, share and variety of letters and digits and the expected script, less repetition."""
     text = F.coalesce(c, F.lit(""))
-    letters = F.regexp_count(text, F.lit(LETTERS)).cast("double")
-    meaningful = letters + F.regexp_count(text, F.lit(r"(?U)\d"))
-    visible = F.greatest(F.length(F.regexp_replace(text, r"(?U)\s", "")), F.lit(1)).cast("double")
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lower)
-    one = F.lit(1.0)
-    script = (
-        F.when(language == "ar", F.least(arabic_count(text) / 20.0, one))
-        .when(language == "fr", F.least(latin_count(text) / 30.0, one))
-        .otherwise(F.least(letters / 30.0, one))
+    counts = F.struct(
+        F.regexp_count(text, F.lit(LETTERS)).cast("double").alias("letters"),
+        F.regexp_count(text, F.lit(r"(?U)\d")).alias("digits"),
+        F.greatest(F.length(F.regexp_replace(text, r"(?U)\s", "")), F.lit(1)).cast("double").alias("visible"),
+        F.size(F.array_distinct(words)).alias("words"),
+        arabic_count(text).alias("ar"),
+        latin_count(text).alias("la"),
+        F.regexp_count(text, F.lit(r"(.)\1{5,}")).alias("runs"),
+        dominance(text).alias("dominance"),
     )
-    runs = F.regexp_count(text, F.lit(r"(.)\1{5,}"))
-    score = (
-        0.30 * F.least(meaningful / 120.0, one)
-        + 0.25 * F.least(meaningful / visible / 0.70, one)
-        + 0.20 * F.least(F.size(F.array_distinct(words)) / 20.0, one)
-        + 0.25 * script
-        - F.least(runs * 0.12, F.lit(0.36))
-        - F.greatest(dominance(text) - 0.35, F.lit(0.0))
-    )
-    sound = (meaningful >= 10) & (F.size(words) > 0)
-    return F.when(sound, F.round(F.greatest(F.lit(0.0), F.least(score, one)), 3)).otherwise(F.lit(0.0))
+
+    def scored(s: Column) -> Column:
+        one, meaningful = F.lit(1.0), s["letters"] + s["digits"]
+        script = (
+            F.when(language == "ar", F.least(s["ar"] / 20.0, one))
+            .when(language == "fr", F.least(s["la"] / 30.0, one))
+            .otherwise(F.least(s["letters"] / 30.0, one))
+        )
+        score = (
+            0.30 * F.least(meaningful / 120.0, one)
+            + 0.25 * F.least(meaningful / s["visible"] / 0.70, one)
+            + 0.20 * F.least(s["words"] / 20.0, one)
+            + 0.25 * script
+            - F.least(s["runs"] * 0.12, F.lit(0.36))
+            - F.greatest(s["dominance"] - 0.35, F.lit(0.0))
+        )
+        return F.when((meaningful >= 10) & (s["words"] > 0), F.round(F.greatest(F.lit(0.0), F.least(score, one)), 3)).otherwise(F.lit(0.0))
+
+    return let(counts, scored)
 
 
 def lines_of(c: Column) -> Column:

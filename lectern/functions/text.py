@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ARABIC_INDIC_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "0123456789"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
