@@ -143,9 +143,23 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     windows = repeats.exchange(known.mapInArrow(ask_windows, repeats.LINES), repeats.judge_windows, scratch, "windows")
     known = known.join(windows, "shard", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    result = scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    repeats.drop_shards(scratch, "classes_answers", "windows_answers")
+    return result
 
 
 def op7_phrase_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: doc_id, n_words, n_removed, kept_sha256."""
     return remove_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

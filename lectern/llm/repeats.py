@@ -85,7 +85,8 @@ class Runs:
             lo.append(a + at)
             hi.append(b + at)
             anchor.append(p + at)
-            of_anchor.append(hashes.of(p, p + gram))
+            # Anchors are least hashes, so they are mixed again before ranges are made of them.
+            of_anchor.append(mixed(hashes.of(p, p + gram) ^ BASE))
             content.append(hashes.of(a, b + width) ^ (p - a).astype(np.uint64))
         none = [np.empty(0, np.int64)]
         self.lo, self.hi, self.anchor = (np.concatenate(x or none) for x in (lo, hi, anchor))
@@ -131,6 +132,17 @@ class Shard:
         self.bounds = np.r_[0, np.cumsum(self.sizes)].astype(np.int64)
 
 
+def shard_table(scratch: Scratch) -> str:
+    return "lectern_shards_" + scratch.root.rpartition("-")[2]
+
+
+def drop_shards(scratch: Scratch, *more: str) -> None:
+    """Deletes the shards and other tables of an operator whose result is written."""
+    scratch.spark.sql(f"DROP TABLE IF EXISTS {shard_table(scratch)}")
+    for name in ("shards", *more):
+        scratch.drop(name)
+
+
 def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Whole texts in shards of about `shard_bytes` (a longer text is a shard of its own), written bucketed.
 
@@ -165,7 +177,7 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard
 
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    name = "lectern_shards_" + scratch.root.rpartition("-")[2]
+    name = shard_table(scratch)
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     held_conf = conf.get(key)
     conf.set(key, "500")
@@ -178,8 +190,12 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard
 
 
 def range_bits(total_windows: int) -> int:
-    """Bits of a hash that number the ranges: about a million windows to each, 64 ranges at least."""
-    return max(6, (total_windows >> 20).bit_length())
+    """Bits of a hash that number the ranges: about a million runs of 32 windows to each, 64 ranges at least.
+
+    A shard's line for a range so holds SHARD_BYTES * 2^20 / total_windows runs: hundreds of them up to tens
+    of gigabytes, some up to terabytes, where larger shards keep the lines from getting short.
+    """
+    return max(6, (total_windows >> 25).bit_length())
 
 
 def by_range(hashes: np.ndarray, bits: int):

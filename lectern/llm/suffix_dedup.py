@@ -178,7 +178,9 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     states = lines.where("r < 0").select("shard", F.col("blob").alias("state"))
     known = shards.join(states, "shard").join(windows, "shard", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    result = scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    repeats.drop_shards(scratch, "classes_answers", "pieces_answers", "sorted", "windows_answers")
+    return result
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
