@@ -26,4 +26,9 @@ def queries():
 
 def oracle_sql():
     """Query name -> DuckDB SQL, where SQL can express the query."""
-    return {"op2_embedding_dedup": embedding_dedup.OP2_SQL, "op8_url_filters": url_filters.OP8_SQL}
+    return {
+        "op2_embedding_dedup": embedding_dedup.OP2_SQL,
+        "op4_warc": warc.OP4_SQL,
+        "op7_phrase_dedup": phrase_dedup.OP7_SQL,
+        "op8_url_filters": url_filters.OP8_SQL,
+    }

@@ -239,6 +239,16 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    """Every row of pages, as read back from the archives."""
+    """Every row of pages, as read back from the archives, in order of URL key, time and page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return archive_pages(pages)
+    return archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, n, h, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substring(h, CAST((i // 8) * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS digest,
+  min(page_id) OVER (PARTITION BY h, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
