@@ -156,6 +156,53 @@ def test_similar_groups(spark):
     assert simhash_similar.leaders(docs.limit(0)).count() == 0
 
 
+def shingle_set(text, words=5):
+    w = WORD.findall(text.lower())
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_similar_groups_against_brute_force(spark, chunk):
+    rng = __import__("random").Random(4)
+    notice = fx.sentence(rng, 30)
+    texts = []
+    for g in range(16):  # chains of copies around the limit, some with a notice or with lines repeated
+        words = fx.sentence(rng, rng.choice([6, 30, 150, 400])).split()
+        for copy in range(7):
+            changed = list(words)
+            for _ in range(round(len(words) * rng.choice([0, 0.01, 0.015, 0.02, 0.022, 0.025, 0.03, 0.06]))):
+                changed[rng.randrange(len(changed))] = f"new{rng.random()}"
+            texts.append(" ".join(changed) + rng.choice(["", " " + notice, " tail " * 40]))
+    texts += [None, " ", "one", "One", "two words"]
+    sets = [shingle_set(t or "") for t in texts]
+    groups = grouped(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = simhash_similar.similar_components(docs, "doc_id", "text", chunk=chunk).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == dict(enumerate(groups))
+    assert 1 < sum(r["leader"] for r in out) == len(set(groups)) < len(texts)
+
+
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(8)
+    for k in range(400):
+        n = int(rng.integers(1, 300))
+        base = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        frequent = base[:: max(1, int(rng.integers(1, 5)))]
+        overlaps = simhash_similar.Overlaps(0.8, frequent, rng.integers(1, 9, len(frequent)))
+        a = base[: max(1, len(base) // 2)]
+        gone, more = int(rng.integers(0, len(a) // 6 + 1)), int(rng.integers(0, len(a) // 6 + 1))
+        b = np.unique(np.r_[rng.permutation(a)[gone:], base[len(a) : len(a) + more]])
+        both = len(np.intersect1d(a, b))
+        assert overlaps.similar(a, b) == (5 * both >= 4 * (len(a) + len(b) - both))
+        if not overlaps.similar(a, b):
+            continue
+        rows, bits = [], [np.packbits(np.bincount((x >> np.uint64(56)).astype(int), minlength=256) & 1).view(np.int64) for x in (a, b)]
+        for rep, x in enumerate((a, b)):
+            rows += [[int(g), rep, len(x), place, rep, *bits[rep].tolist()] for place, g in enumerate(overlaps.prefix(x))]
+        found = [len(i) for all_pairs in (False, True) for i, _ in overlaps.candidates(np.array(sorted(rows)), all_pairs)]
+        assert found[0] > 0 and found[1] > 0
+
+
 def statistics(text):
     w = WORD.findall(text)
     n, seen = len(w), collections.Counter(zip(w, w[1:], w[2:], strict=False))
