@@ -203,6 +203,14 @@ def test_prefixes_lose_no_pair():
         assert found[0] > 0 and found[1] > 0
 
 
+def test_templates_are_not_copies(spark):
+    rng = __import__("random").Random(6)
+    template = fx.sentence(rng, 300)  # the texts share about 70 % of their shingles
+    rows = [(k, template + " " + fx.sentence(rng, 64)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash_similar.leaders(docs).count() == 40
+
+
 def statistics(text):
     w = WORD.findall(text)
     n, seen = len(w), collections.Counter(zip(w, w[1:], w[2:], strict=False))
