@@ -56,10 +56,10 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def line_frequency(lines: DataFrame, min_docs: int, max_share: float, totals: DataFrame) -> DataFrame:
     """(host, line) of the lines that more than max(min_docs, max_share of the host's documents) hold.
 
-    A document counts by the least line hash among its other lines, so copies and near copies of one
-    text, which share nearly all lines, count about once while a notice on unlike pages counts on each.
+    Documents count by `copy`, a hash of their whole set of lines: copies of one text count once, all
+    others each, however many of their lines are common to the host.
     """
-    per_text = lines.select("host", "line", "sig").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+    per_text = lines.select("host", "line", "copy").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(float(max_share)) * F.col("host_docs"))
     return per_text.where(F.col("docs") > min_docs).join(totals, "host").where(F.col("docs") > limit).select("host", "line")
 
@@ -101,10 +101,9 @@ def quality_rules(
     )
     judged = scratch.write(judged.withColumn("_row", F.monotonically_increasing_id()), "judged")
 
-    two = F.slice(F.array_sort(F.array_distinct(F.col("_lines.line"))), 1, 2)
-    each = judged.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), two.alias("_two"), F.explode(F.array_distinct("_lines.line")).alias("line"))
-    first, second = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
-    each = each.select("host", "line", F.when(F.col("line") == first, F.coalesce(second, first)).otherwise(first).alias("sig"))
+    lines = F.array_sort(F.array_distinct(F.col("_lines.line")))
+    each = judged.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.xxhash64(lines).alias("copy"), lines.alias("_set"))
+    each = each.distinct().select("host", "copy", F.explode("_set").alias("line"))
     totals = judged.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host")).agg(F.count("*").alias("host_docs"))
     struck = scratch.write(line_frequency(each, min_docs, max_share, totals), "struck")
 

@@ -244,6 +244,16 @@ def test_frequent_lines(spark):
     assert all(out[200 + k]["kept"] and out[200 + k]["removed_words"] == 0 for k in range(60))  # copies count once
 
 
+def test_several_frequent_lines(spark):
+    rng = __import__("random").Random(7)
+    common = [fx.sentence(rng, 12) for _ in range(6)]
+    rows = [(k, "\n".join([*common, fx.sentence(rng, 200)]), "h") for k in range(30)]
+    rows += [(100 + k, "\n".join(common[: k % 6 + 1]), "h") for k in range(30)]  # wholly of common lines, copies among them
+    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), with_text=True).collect()}
+    assert all(out[k]["kept"] and out[k]["removed_words"] == 72 and out[k]["kept_text"] == rows[k][1].split("\n")[-1] for k in range(30))
+    assert all(out[100 + k]["removed_words"] == 12 * (k % 6 + 1) and not out[100 + k]["kept"] for k in range(30))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
