@@ -143,35 +143,53 @@ def drop_shards(scratch: Scratch, *more: str) -> None:
         scratch.drop(name)
 
 
-def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def packed_rows(rows: list[pa.Array]) -> bytes:
+    """Arrow rows in one compressed string."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays(rows)], names=["rest"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
+def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard_bytes: int = SHARD_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Whole texts in shards of about `shard_bytes` (a longer text is a shard of its own), written bucketed.
 
     (shard long, heads binary, texts binary); later joins on the shard's number leave the texts in place.
+    With `carry`, names of columns, each row's values of them travel with it in `rest` (binary).
     """
     spark = docs.sparkSession
-    taken = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    taken = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *([F.struct(*carry).alias("rest")] if carry else []))
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, keys, held, size = TaskContext.get().partitionId() << 33, [], [], 0
+        number, keys, held, size, rests = TaskContext.get().partitionId() << 33, [], [], 0, []
 
         def made():
             null = np.array([k is None for k in keys], np.uint8)
             ids = np.array([NULL_ID if k is None else k for k in keys], np.int64)
             heads = packed(ids, null, np.array([len(x) for x in held], np.int64))
             columns = [pa.array([number]), pa.array([heads], pa.binary()), pa.array([packed(np.frombuffer(b"".join(held), np.uint8))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "heads", "texts"])
+            if carry:
+                columns.append(pa.array([packed_rows(rests)], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "heads", "texts", "rest"][: len(columns)])
 
         for b in batches:
-            for key, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, (key, body) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                if carry:
+                    rests.append(b.column(2).slice(k, 1))
                 body = body.as_buffer().to_pybytes()
                 keys.append(key)
                 held.append(body)
                 size += len(body)
                 if size >= shard_bytes:
                     yield made()
-                    number, keys, held, size = number + 1, [], [], 0
+                    number, keys, held, size, rests = number + 1, [], [], 0, []
         if keys:
             yield made()
 
@@ -182,7 +200,7 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard
     held_conf = conf.get(key)
     conf.set(key, "500")
     try:
-        shards = taken.mapInArrow(run, "shard long, heads binary, texts binary")
+        shards = taken.mapInArrow(run, "shard long, heads binary, texts binary" + ", rest binary" * bool(carry))
         shards.write.format("parquet").option("path", scratch.path("shards")).option("compression", "none").bucketBy(buckets, "shard").saveAsTable(name)
     finally:
         conf.set(key, held_conf)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
 from ._common import Scratch
@@ -92,9 +93,11 @@ class SortedWindows:
         return self.starts[self.order[~self.first | (told[np.cumsum(self.first) - 1] == 0)]]
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for every row of `docs`.
 
+    `carry` names columns whose values come back with their row, as the fields of a struct `rest`.
+
     A byte goes if a string of WIDTH bytes that covers it also starts earlier; all strings are judged on
     the input. Anchors and shared bytes tell which strings may recur (see repeats); the rest, where one
     text leaves another, are sorted in each shard by induced suffix sorting, and the first of each group
@@ -105,7 +108,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     and place in it; null ids come first; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    shards = repeats.deal_shards(docs, doc_id, text, scratch)
+    shards = repeats.deal_shards(docs, doc_id, text, scratch, carry=carry)
     bits = repeats.range_bits(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
     def prepared(row):
@@ -168,7 +171,10 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
                 column.append(v)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)][: 6 if with_text else 5]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns)])
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns)]
+        if carry:
+            columns, names = [*columns, repeats.unpacked_rows(row["rest"])], [*names, "rest"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), repeats.judge_classes, scratch, "classes")
     known = shards.join(classes, "shard", "left")
@@ -178,6 +184,9 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     states = lines.where("r < 0").select("shard", F.col("blob").alias("state"))
     known = shards.join(states, "shard").join(windows, "shard", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = T._parse_datatype_string(schema)
+    if carry:
+        schema = schema.add("rest", docs.select(F.struct(*carry).alias("rest")).schema["rest"].dataType)
     result = scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
     repeats.drop_shards(scratch, "classes_answers", "pieces_answers", "sorted", "windows_answers")
     return result

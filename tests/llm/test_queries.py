@@ -5,6 +5,8 @@ from oracle import compare, connect
 
 from lectern import llm
 
+from . import fixtures as fx
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -28,3 +30,14 @@ def test_pipeline(spark, sf_dir):
         before = after
     assert 0 < before.count() < docs.count()
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == before.count()
+
+
+def test_repeated_string_stage_keeps_rows(spark, sf_dir):
+    rng = __import__("random").Random(2)
+    texts = [fx.sentence(rng, 60) for _ in range(6)]
+    rows = [(None, texts[0], "a", "en", 1), (None, texts[1], None, None, None), (7, texts[2], "a", "en", 1), (7, texts[3], "b", "fr", 1), (7, texts[4], None, "de", 1), (8, texts[5], "c", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(2)
+    out = corpus_pipeline.repeated_string_stage(spark, docs, sf_dir)
+    assert out.dtypes == docs.dtypes
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((*r[:4], len(r[1]))) for r in rows)
+    assert corpus_pipeline.repeated_string_stage(spark, docs.limit(0), sf_dir).count() == 0
