@@ -64,7 +64,7 @@ def tempered_weights(sizes: dict[str, int], units: int = 1000) -> dict[str, int]
     return {s: max(1, round(units * r / total)) for s, r in roots.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, chars: str | None = None) -> DataFrame:
     """Adds block, slot and start to every row: read in order of (slot, start), sources stand in their weights.
 
     Each source's rows, in an order by hash of the id, are a stream of code points (one more for each
@@ -74,6 +74,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     source ends, the rest share its slots. The driver holds one number for each source and one period of
     the schedule.
 
+    `chars` names a column that has the lengths of the texts, where the texts themselves are not at hand.
+
     Null sources form a source of their own, null and empty texts take one place, rows tied in id and
     text follow each other in any order, an empty table gives an empty result, and columns named block,
     slot or start are replaced.
@@ -81,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("block", "slot", "start")]
     of = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
-    size = (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long")
+    size = (F.coalesce(F.col(chars) if chars else F.length(text), F.lit(0)) + 1).cast("long")
     rows = docs.select(*kept, of.alias("_source"), size.alias("_size"), F.xxhash64(F.lit("mix"), F.col(doc_id)).alias("_order"))
     sums = {r["_source"]: (r["chars"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("chars"), F.count("*").alias("n")).collect()}
     if not sums:
@@ -95,9 +97,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(per, ["_source", "_bucket"])
     placed = placed.withColumn("start", F.col("_before") + F.col("_inside")).withColumn("block", F.expr(f"start div {int(block_chars)}"))
 
-    chars = {s: c for s, (c, _) in sums.items()}
-    target = tempered_weights(chars) if weights is None else {s: int(weights.get(s, 1)) for s in chars}
-    plan = phases({s: -(-c // block_chars) for s, c in chars.items()}, target)
+    sizes = {s: c for s, (c, _) in sums.items()}
+    target = tempered_weights(sizes) if weights is None else {s: int(weights.get(s, 1)) for s in sizes}
+    plan = phases({s: -(-c // block_chars) for s, c in sizes.items()}, target)
     plan = spark.createDataFrame(plan, "_source string, lo long, hi long, base long, period long, slots array<long>")
     # One row for each source still live in each phase, of one period's slots at most.
     found = placed.join(F.broadcast(plan), "_source").where("block >= lo and block < hi")

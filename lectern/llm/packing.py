@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import mixing
 from ._common import Scratch
 
 CAPACITY = 2048
+#: Slots of the mixed order (each a block of code points) that are packed together: some 500 sequences.
+WINDOW_SLOTS = 64
 #: Two white-space characters before a visible one: the only place where the vocabulary's look-ahead matters.
 LOOKAHEAD = re.compile(r"\s\s\S")
 PLAIN_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
@@ -177,6 +180,54 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     return pack(pieces, scratch, [doc_id, "piece"], capacity)
 
 
+def pack_mixed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, window_slots: int = WINDOW_SLOTS, **how) -> DataFrame:
+    """As pack_documents, but sequences are numbered in the order in which mix_sources (given `how`) mixes.
+
+    Rows hold no order, so the places are computed from ids, sources and lengths again, with the mixing
+    stage's own function. Documents that start in `window_slots` slots in turn are packed together, in a
+    task of their own, and sequences stand in an order by chance inside their window: the first sequences,
+    however many, hold the sources in their weights but for part of a window.
+    """
+    scratch = Scratch(docs.sparkSession, "packing")
+    of_doc = F.struct(
+        F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(source).cast("string").alias("source"), F.coalesce(F.length(text), F.lit(0)).alias("chars")
+    )
+    pieces = scratch.write(pieces_of(docs.select(of_doc.alias("_doc"), text), tokenizer, "_doc", text, capacity), "pieces", batch=200)
+    mixed = mixing.mix_sources(pieces.where("piece = 0").select("_doc.*"), doc_id="id", chars="chars", **how)
+    windows = mixed.select("row", F.expr(f"slot div {int(window_slots)}").alias("window"))
+    rows = pieces.select(F.col("_doc.id").alias(doc_id), F.col("_doc.row").alias("row"), *pieces.columns[1:]).join(windows, "row")
+    rows = rows.select(doc_id, *pieces.columns[1:], "window", F.xxhash64(doc_id).alias("_key"))
+
+    def packed(table):
+        length = table.column("length").to_numpy()
+        order = np.lexsort((table.column("piece").to_numpy(), table.column("_key").to_numpy(), length))
+        counts = np.bincount(length, minlength=capacity + 1)
+        at_length = np.r_[0, np.cumsum(counts)]
+        sequence, offset, made = np.empty(len(length), np.int64), np.empty(len(length), np.int64), 0
+        for chosen, times in best_two_fit(counts, capacity):
+            at = 0
+            for n_ids in sorted(set(chosen), reverse=True):
+                n = chosen.count(n_ids)
+                here = order[at_length[n_ids] : at_length[n_ids] + n * times]
+                at_length[n_ids] += n * times
+                rank = np.arange(n * times)
+                sequence[here], offset[here] = made + rank // n, at + rank % n * n_ids
+                at += n * n_ids
+            made += times
+        sequence = np.random.default_rng(int(table.column("window")[0].as_py())).permutation(made)[sequence]
+        return table.drop_columns(["_key"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    schema = T.StructType(rows.drop("_key").schema.fields).add("sequence_id", "long").add("offset", "long")
+    placed = scratch.write(rows.groupBy("window").applyInArrow(packed, schema), "placed")
+    before, total = [], 0
+    for r in placed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n")).orderBy("window").collect():
+        before.append((r["window"], total))
+        total += r["n"]
+    plan = docs.sparkSession.createDataFrame(before, "window long, first long")
+    out = placed.join(F.broadcast(plan), "window").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
+    return out.select(doc_id, *pieces.columns[1:], "sequence_id", "offset")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -281,6 +281,32 @@ def test_packing(spark):
     assert packing.pack_documents(fx.empty(spark), packing.tokenizer_path()).count() == 0
 
 
+def test_packing_in_mixed_order(spark):
+    rng = __import__("random").Random(1)
+    rows = [(None if k == 9 else k, fx.sentence(rng, rng.randint(20, 200)), "a" if k % 5 else "b") for k in range(600)]
+    rows += [(7, "another text with an id of its neighbour", "b"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack_mixed(docs, packing.tokenizer_path(), capacity=256, weights={"a": 1, "b": 1}, block_chars=2000, window_slots=8).collect()
+    plain = packing.pack_documents(docs, packing.tokenizer_path(), capacity=256)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    same_rows([tuple(r[n] for n in names) for r in out], [tuple(r) for r in plain.select(*names).collect()])
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        ends = [o + n for o, n in sorted(places)]
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 256
+    assert sorted(bins) == list(range(len(bins)))
+    # a fifth of the documents are of b; while it lasts, each prefix beyond a window holds half of b
+    source, ids = {r[0]: r[2] for r in rows[:600]}, collections.Counter()
+    total_b = sum(r["length"] for r in out if source[r["doc_id"]] == "b")
+    for r in sorted(out, key=lambda r: r["sequence_id"]):
+        ids[source[r["doc_id"]]] += r["length"]
+        if ids.total() > 12_000 and ids["b"] < 0.85 * total_b:
+            assert 0.35 < ids["b"] / ids.total() < 0.65
+    assert packing.pack_mixed(fx.empty(spark), packing.tokenizer_path()).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=80))
 def test_best_two_fit(lengths):
