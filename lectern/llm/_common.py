@@ -59,6 +59,10 @@ class Scratch:
             conf.set(key, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def free_shuffles(self) -> None:
+        """Spark deletes shuffle files that no plan holds any more when the driver's JVM collects garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         """Delete a table that no later plan reads; without a name, all of them."""
         jvm = self.spark._jvm
