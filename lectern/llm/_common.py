@@ -5,6 +5,8 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -17,28 +19,33 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share; set here only where a one-process session has none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="lectern-checkpoints-")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-#: Every scratch folder made in this process, in order; see corpus_pipeline for when they go.
-SCRATCHES: list = []
+class Scratch:
+    """Parquet tables below the shared checkpoint folder that cut lineage and survive lost executors.
 
+    A folder is deleted when a later operator starts and no plan reads any of its tables any more, frames
+    derived from them included: the driver's JVM then holds none of their file indexes.
+    """
 
-class Scratch:
-    """Parquet tables below the shared checkpoint folder that cut lineage and survive lost executors."""
+    _made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        SCRATCHES.append(self)
+        self.spark, self.indexes = spark, []
+        Scratch.sweep(spark)
+        Scratch._made.append(self)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -57,7 +64,24 @@ class Scratch:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         finally:
             conf.set(key, held)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        table = self.spark.read.schema(df.schema).parquet(self.path(name))
+        index = table._jdf.queryExecution().analyzed().relation().location()
+        self.indexes.append(self.spark._jvm.java.lang.ref.WeakReference(index))
+        return table
+
+    @staticmethod
+    def sweep(spark: SparkSession) -> None:
+        """Deletes the folders that no plan reads any more."""
+        if not any(x.indexes for x in Scratch._made):
+            return
+        gc.collect()
+        spark._jvm.System.gc()
+        for x in [x for x in Scratch._made if x.indexes]:
+            if x.spark.sparkContext is not spark.sparkContext:
+                Scratch._made.remove(x)  # of a session that has ended, with its plans
+            elif all(i.get() is None for i in x.indexes):
+                x.drop()
+                Scratch._made.remove(x)
 
     def free_shuffles(self) -> None:
         """Spark deletes shuffle files that no plan holds any more when the driver's JVM collects garbage."""
@@ -80,8 +104,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     """Smallest reachable vertex of every vertex that has an edge.
 
     `edges` has long columns a, b. Alternates large-star and small-star rounds, each written to the
-    shared folder, until the edge set stands still; every star is a grouped minimum and a join, so a
-    hot vertex costs a partial aggregate and a splittable join, never one task's memory.
+    shared folder, until the edge set stands still; every star is a grouped minimum, which is written, and
+    a join with it. Neither side of that join is aggregated on the join's key in the same plan, so Spark
+    splits the rows of a hot vertex over tasks.
     Returns (vertex, component); a vertex without edges is not in it. Self-loops are ignored.
     """
     now = scratch.write(
@@ -90,7 +115,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     for k in range(1, rounds + 1):
         # Large star: every larger neighbour of a vertex is moved to the least of its neighbourhood.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")), f"cc{k}least")
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.write(large.distinct(), f"cc{k}large")
         # Small star: every smaller neighbour of a vertex, and the vertex itself, goes to the least of them.
@@ -106,8 +131,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
         same = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
-        scratch.drop(f"cc{k}large")
-        scratch.drop(f"cc{k - 1}")
+        for name in (f"cc{k}least", f"cc{k}large", f"cc{k - 1}"):
+            scratch.drop(name)
         now = small
         if same:
             break

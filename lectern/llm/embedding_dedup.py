@@ -126,7 +126,8 @@ def embedding_components(
     comps = connected_components(found.select("a", "b"), scratch)
     degree = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     joined = reps.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    names = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # Written first: a join with an aggregate on its own key could not be split where one component is large.
+    names = scratch.write(joined.groupBy("component").agg(F.min("least_id").alias("component_id")), "names")
     known = joined.join(names, "component").join(degree, "rep", "left")
     known = known.select("label", "v", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     known = scratch.write(known, "known")

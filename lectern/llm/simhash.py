@@ -62,6 +62,9 @@ class PivotTables:
     of 0 to every pivot. Each choice of blocks - 3 blocks is a table; rows with equal coordinates in it
     meet. Whole distances are sums over the blocks, and a pair whose coordinates differ by more than 3
     for any pivot is discarded before its bits are compared.
+
+    A block has few enough bits for its pivot distances to determine them, so rows with equal coordinates in a
+    block have equal bits there; the discard by whole distances is what keeps unlike rows from being compared.
     """
 
     def __init__(self, blocks: int, max_bits: int = MAX_BITS):
@@ -184,19 +187,21 @@ def near_duplicate_fingerprints(fps: DataFrame, scratch: Scratch, chunk: int = 4
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) and kept_rank basis for every row of `docs`.
+    """doc_id, fp and component_id (smallest doc_id reachable) for every row of `docs`.
 
     Fingerprints link at `max_bits` or fewer differing bits; equal ones are collapsed first, so copies
     cost one row. Null and blank texts have fingerprint zero and link like any other; texts of fewer
     words than a shingle count whole; rows with a null id join components but never name one; repeated
-    ids keep their rows; an empty table gives an empty result.
+    ids keep their rows; an empty table gives an empty result. A text of any length is hashed whole in its
+    row's task (some 20 times its bytes meanwhile). Columns other than the id and the text are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs.select(F.col(doc_id), F.col(text).alias("_text")), "_text", words), "marked", batch=500)
     reps = scratch.write(marked.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "reps")
     comps = near_duplicate_fingerprints(reps, scratch, max_bits=max_bits)
     joined = reps.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # Written first: a join with an aggregate on its own key could not be split where one component is large.
+    names = scratch.write(joined.groupBy("component").agg(F.min("least_id").alias("component_id")), "names")
     of_fp = scratch.write(joined.join(names, "component").select("fp", "component_id"), "of_fp")
     return marked.join(of_fp, "fp").select(doc_id, "fp", "component_id")
 
