@@ -14,19 +14,34 @@ from pyspark.sql import functions as F
 from . import repeats
 from ._common import Scratch
 
+#: Words in a window, and in the phrases whose hashes anchor windows.
 WINDOW, PHRASE = 20, 5
 
 
+#: Code points that stand for words, without those of surrogates.
+LETTERS = 0x10FFFF - 0x800
+
+
 class Words:
-    """Words of a shard: bytes, hashes, and where each document's begin."""
+    """Words of a shard: bytes, numbers (equal words, equal numbers), hashes, and where each document's begin."""
 
     def __init__(self, shard: repeats.Shard):
         body = shard.text.tobytes()
         lists = [body[s:e].split() for s, e in zip(shard.bounds, shard.bounds[1:], strict=False)]
         self.words = [w for x in lists for w in x]
         self.bounds = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-        digest = xxhash.xxh64_intdigest
-        self.symbols = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
+        numbers: dict[bytes, int] = {}
+        self.numbers = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, len(self.words))
+        of_word = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+        self.symbols = of_word[self.numbers] if len(numbers) else np.empty(0, np.uint64)
+        self.distinct = len(numbers)
+
+    def stream(self, letters: int = LETTERS) -> tuple[str, int]:
+        """The words as a string with a letter for each word, or with two where one cannot tell all words apart."""
+        parts = [self.numbers] if self.distinct <= letters else [self.numbers // letters, self.numbers % letters]
+        points = np.stack(parts, 1).reshape(-1) + 1
+        points[points >= 0xD800] += 0x800
+        return points.astype("<u4").tobytes().decode("utf-32-le"), len(parts)
 
 
 def window_hashes(symbols: np.ndarray, starts: np.ndarray, width: int):
@@ -46,57 +61,91 @@ class OpenWindows:
         self.order = np.lexsort((self.starts, keys[doc], two, one))
         one, two = one[self.order], two[self.order]
         self.first = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
-        self.one, self.two, self.key = one[self.first], two[self.first], keys[doc][self.order][self.first]
+        self.keys = keys[doc]
+        self.one, self.two, self.key = one[self.first], two[self.first], self.keys[self.order][self.first]
 
     def lines(self, bits):
         return [(r, repeats.packed(self.one[s], self.two[s], self.key[s])) for r, s in repeats.by_range(self.one, bits)]
 
-    def repeated(self, answers):
-        """Starts of the windows that also start earlier."""
-        told = answers[np.cumsum(self.first) - 1] if len(self.first) else np.empty(0, np.uint8)
-        return self.starts[self.order[~self.first | (told == 0)]]
 
+class Passages:
+    """Confirmed passages of a shard: stretches of words of which another occurrence may start earlier.
 
-def locate(words: Words, phrases: set[bytes]) -> np.ndarray:
-    """Marks every word at which one of the phrases (PHRASE words, joined by spaces) starts.
-
-    The phrases are compiled into one automaton, and each document of the shard is streamed through it;
-    phrases stand between spaces, so that they match whole words.
+    Each has the place of an occurrence in the shard, its length in words, and its owner (document key, shard,
+    start), the first occurrence that the exchange knows of. An owner in another shard needs no start.
     """
-    found = np.zeros(len(words.words), bool)
-    if not phrases:
-        return found
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases:
-        automaton.add_word(" " + p.decode("latin-1") + " ")
-    automaton.make_automaton()
-    for s, e in zip(words.bounds, words.bounds[1:], strict=False):
-        if e - s < PHRASE:
-            continue
-        stream = " " + b" ".join(words.words[s:e]).decode("latin-1") + " "
-        hits = [end - n + 1 for end, n in automaton.iter(stream)]
-        if hits:
-            spaces = np.flatnonzero(np.frombuffer(stream.encode("latin-1"), np.uint8) == 32)
-            found[s + np.searchsorted(spaces, hits)] = True
-    return found
-
-
-def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+
+    def __init__(self):
+        self.lo, self.n, self.owner = [], [], []
+
+    def add(self, lo: np.ndarray, n: np.ndarray, key: np.ndarray, shard: np.ndarray, start: np.ndarray) -> None:
+        self.lo.append(lo)
+        self.n.append(n)
+        self.owner.append(np.stack([key, shard, start], 1))
+
+    def add_groups(self, number: int, first: np.ndarray, told, lo, n, key) -> None:
+        """Groups of equal stretches (rows sorted, `first` marks each group's first) that more than one place has.
+
+        `told`: for each group whether an earlier one is elsewhere, and the key and the shard of that one.
+        """
+        at = np.flatnonzero(first)
+        elsewhere, of_key, of_shard = told
+        chosen = elsewhere | (np.diff(np.r_[at, len(first)]) > 1)
+        at, elsewhere = at[chosen], elsewhere[chosen]
+        self.add(lo[at], n[at], np.where(elsewhere, of_key[chosen], key[at]), np.where(elsewhere, of_shard[chosen], number), lo[at])
+
+    def located(self, words: Words, keys: np.ndarray, number: int, letters: int = LETTERS) -> np.ndarray:
+        """Marks every word of an occurrence that starts after its passage's owner.
+
+        The passages are compiled into one automaton over words as letters, and every document is streamed
+        through it. What it finds, and nothing else, is marked.
+        """
+        gone = np.zeros(len(words.words), bool)
+        lo, n = (np.concatenate(x) for x in (self.lo, self.n))
+        if not len(lo):
+            return gone
+        owner = np.concatenate(self.owner)
+        stream, width = words.stream(letters)
+        # Of equal passages the one with the earliest owner counts, which is entered last.
+        order = np.lexsort((*owner.T[::-1], n))[::-1]
+        lo, n, owner = lo[order], n[order], owner[order]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, (s, e) in enumerate(zip((lo * width).tolist(), ((lo + n) * width).tolist(), strict=True)):
+            automaton.add_word(stream[s:e], k)
+        automaton.make_automaton()
+        ends, found = [], []
+        for s, e in zip(words.bounds.tolist(), words.bounds[1:].tolist(), strict=False):
+            for end, k in automaton.iter(stream[s * width : e * width]):
+                ends.append(s * width + end + 1)
+                found.append(k)
+        ends, found = np.array(ends, np.int64), np.array(found, np.int64)
+        whole = ends % width == 0
+        ends, found = ends[whole] // width, found[whole]
+        starts = ends - n[found]
+        key, (of_key, of_shard, of_start) = keys[np.searchsorted(words.bounds, starts, "right") - 1], owner[found].T
+        later = (key > of_key) | (key == of_key) & ((number > of_shard) | (number == of_shard) & (starts > of_start))
+        edge = np.bincount(starts[later], minlength=len(gone) + 1) - np.bincount(ends[later], minlength=len(gone) + 1)
+        return np.cumsum(edge)[: len(gone)] > 0
+
+
+def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False, shard_bytes: int = repeats.SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row of `docs`.
 
-    A word goes if a window of `window` words that covers it also starts earlier. Shards tell each other
-    which phrases recur, and which recurring passages are the first of their kind; then each shard
-    compiles its recurring phrases into an automaton, streams its documents through it to find every
-    occurrence, and takes away the repeated windows round them. No task holds more than one shard or one
-    range of hashes, and every hash range has few entries for each shard, so hot passages stay small.
+    A word goes if a window of `window` words that covers it also starts earlier. Shards exchange hashes of
+    runs of windows, and of the windows where runs part, which confirms the passages that recur and says
+    where each occurs first. A passage is routed to the shards that hold it: each shard compiles its
+    confirmed passages into an automaton, streams all its documents through it, and every occurrence found
+    after the first one goes. No task holds more than one shard or one range of hashes, and every hash
+    range has few entries for each shard, so hot passages stay small.
 
     Null text has no words; texts shorter than a window are kept; rows tied in doc_id follow each other by
-    shard and place in it; null ids come first; an empty table gives an empty result.
+    shard and place in it; null ids come first; an empty table gives an empty result. A text longer than
+    `shard_bytes` is a shard of its own, held whole in one task (about 40 times its bytes in arrays).
     """
     scratch = Scratch(docs.sparkSession, "phrases")
-    shards = repeats.deal_shards(docs, doc_id, text, scratch)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    bits = repeats.range_bits(total // 6)
+    bits = repeats.range_bits(total // 6, shard_bytes)
+    shards = repeats.deal_shards(docs, doc_id, text, scratch, total, shard_bytes)
 
     def prepared(number, heads, texts):
         shard = repeats.Shard(number, heads, texts)
@@ -117,15 +166,25 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
                 _, is_open, _ = classes.judge(repeats.bits_of(row["classes"]))
                 yield repeats.lines_of(row["shard"], OpenWindows(words.symbols, runs, is_open, shard.keys, window).lines(bits))
 
+    def confirmed(row, shard, words, runs, classes):
+        passages, sizes = Passages(), runs.hi - runs.lo + window
+        told, *owner = repeats.answers_of(row["classes"])
+        entry = classes.entry[classes.first_here]
+        elsewhere = ~classes.many[classes.first_here] & (told[entry] & repeats.FIRST == 0)
+        of = classes.order
+        passages.add_groups(shard.number, classes.first_here, (elsewhere, *(x[entry] for x in owner)), runs.lo[of], sizes[of], shard.keys[runs.doc[of]])
+        _, is_open, _ = classes.judge(told)
+        windows = OpenWindows(words.symbols, runs, is_open, shard.keys, window)
+        told, *owner = repeats.answers_of(row["windows"])
+        lo = windows.starts[windows.order]
+        passages.add_groups(shard.number, windows.first, (told == 0, *owner), lo, np.full(len(lo), window), windows.keys[windows.order])
+        return passages
+
     def finish(batches):
         for b in batches:
             for row in b.to_pylist():
                 shard, words, runs, classes = prepared(row["shard"], row["heads"], row["texts"])
-                repeated, is_open, recurring = classes.judge(repeats.bits_of(row["classes"]))
-                phrases = {b" ".join(words.words[p : p + PHRASE]) for p in runs.anchor[recurring].tolist()}
-                located = locate(words, phrases)
-                again = OpenWindows(words.symbols, runs, is_open, shard.keys, window).repeated(repeats.bits_of(row["windows"]))
-                gone = repeats.covered(len(words.words), window, runs, repeated & located[runs.anchor], again)
+                gone = confirmed(row, shard, words, runs, classes).located(words, shard.keys, shard.number)
                 out = [[], [], [], [], []]
                 for k, (s, e) in enumerate(zip(words.bounds, words.bounds[1:], strict=False)):
                     lost = gone[s:e]
@@ -138,14 +197,21 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
                 columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)][: 5 if with_text else 4]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
 
-    classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), repeats.judge_classes, scratch, "classes")
-    known = shards.join(classes, "shard", "left")
-    windows = repeats.exchange(known.mapInArrow(ask_windows, repeats.LINES), repeats.judge_windows, scratch, "windows")
-    known = known.join(windows, "shard", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    result = scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
-    repeats.drop_shards(scratch, "classes_answers", "windows_answers")
-    return result
+    def judge_classes(table):
+        return repeats.judge_classes(table, owners=True)
+
+    def judge_windows(table):
+        return repeats.judge_windows(table, owners=True)
+
+    try:
+        classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), judge_classes, scratch, "classes")
+        known = shards.join(classes, "shard", "left")
+        windows = repeats.exchange(known.mapInArrow(ask_windows, repeats.LINES), judge_windows, scratch, "windows")
+        known = known.join(windows, "shard", "left")
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        return scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    finally:
+        repeats.drop_shards(scratch, "classes_answers", "windows_answers")
 
 
 def op7_phrase_dedup(spark, sf_dir: str) -> DataFrame:

@@ -156,11 +156,11 @@ def unpacked_rows(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
 
 
-def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard_bytes: int = SHARD_BYTES, carry: list[str] | None = None) -> DataFrame:
+def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, total: int, shard_bytes: int = SHARD_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Whole texts in shards of about `shard_bytes` (a longer text is a shard of its own), written bucketed.
 
     (shard long, heads binary, texts binary); later joins on the shard's number leave the texts in place.
-    With `carry`, names of columns, each row's values of them travel with it in `rest` (binary).
+    `total`: the bytes of all texts. With `carry`, names of columns, each row's values of them travel with it in `rest` (binary).
     """
     spark = docs.sparkSession
     taken = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *([F.struct(*carry).alias("rest")] if carry else []))
@@ -193,7 +193,6 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard
         if keys:
             yield made()
 
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     name = shard_table(scratch)
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -207,12 +206,14 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, shard
     return spark.table(name)
 
 
-def range_bits(total_windows: int) -> int:
+def range_bits(total_windows: int, shard_bytes: int = SHARD_BYTES) -> int:
     """Bits of a hash that number the ranges: about a million runs of 32 windows to each, 64 ranges at least.
 
-    A shard's line for a range so holds SHARD_BYTES * 2^20 / total_windows runs: hundreds of them up to tens
-    of gigabytes, some up to terabytes, where larger shards keep the lines from getting short.
+    Larger shards get as much larger ranges. A shard's line for a range holds shard_bytes * 2^20 / total_windows
+    runs: hundreds of them up to tens of gigabytes with the shards given, some up to terabytes; beyond, callers
+    pass larger shards to keep the lines from getting short.
     """
+    total_windows = total_windows * SHARD_BYTES // max(shard_bytes, SHARD_BYTES)
     return max(6, (total_windows >> 25).bit_length())
 
 
@@ -235,10 +236,10 @@ def lines_of(number: int, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def answered(table: pa.Table, bits: np.ndarray, sizes: list[int]) -> pa.Table:
-    """The bits of a range, cut into what each line gets."""
+def answered(table: pa.Table, sizes: list[int], *columns: np.ndarray) -> pa.Table:
+    """The answers of a range (bits, and owners where asked for), cut into what each line gets."""
     cuts = np.r_[0, np.cumsum(sizes)].astype(int)
-    blobs = [packed(bits[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+    blobs = [packed(*(x[s:e] for x in columns)) for s, e in zip(cuts, cuts[1:], strict=False)]
     return pa.table({"shard": table.column("shard"), "r": table.column("r"), "bits": pa.array(blobs, pa.binary())})
 
 
@@ -250,10 +251,23 @@ def exchange(lines: DataFrame, answer, scratch: Scratch, name: str) -> DataFrame
     return back.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("r", "bits"))).alias(name))
 
 
+def answers_of(cell, kinds=(np.uint8, np.int64, np.int64)) -> list[np.ndarray]:
+    """The answers of one shard, one after another: bits, keys and shards of owners (empty where not asked for)."""
+    parts = [unpacked(x["bits"]) for x in cell or []]
+    return [np.concatenate([x[k] for x in parts if k < len(x)] or [np.empty(0, kind)]) for k, kind in enumerate(kinds)]
+
+
 def bits_of(cell) -> np.ndarray:
-    """The answers of one shard, one after another."""
-    parts = [unpacked(x["bits"])[0] for x in cell or []]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    return answers_of(cell)[0]
+
+
+def owners_of(order: np.ndarray, new: np.ndarray, key: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+    """Key and shard of the first row of each row's group; zeros for the first rows themselves. `order` sorts the groups."""
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = [np.empty(len(order), np.int64) for _ in range(2)]
+    for column, values in zip(out, (key, shard), strict=True):
+        column[order] = np.where(new, 0, values[first])
+    return out
 
 
 #: Contents under one anchor hash that a shard tells apart before it leaves them to the windows.
@@ -298,8 +312,8 @@ class Classes:
         return out
 
 
-def judge_classes(table: pa.Table) -> pa.Table:
-    """Answers for one range of anchor hashes."""
+def judge_classes(table: pa.Table, *, owners: bool = False) -> pa.Table:
+    """Answers for one range of anchor hashes: bits, and with `owners` who holds the first of each content."""
     blobs = [unpacked(x) for x in table.column("blob").to_pylist()]
     sizes = [len(x[0]) for x in blobs]
     g, c, key, many = (np.concatenate([x[k] for x in blobs]) for k in range(4))
@@ -313,20 +327,21 @@ def judge_classes(table: pa.Table) -> pa.Table:
     told |= np.where((np.bincount(of_g) > 1)[of_g], RECURRING, 0)
     bits = np.empty(len(order), np.uint8)
     bits[order] = told
-    return answered(table, bits, sizes)
+    return answered(table, sizes, bits, *(owners_of(order, new_c, key, shard) if owners else ()))
 
 
-def judge_windows(table: pa.Table) -> pa.Table:
-    """For one range of window hashes: 1 for the first of each content."""
+def judge_windows(table: pa.Table, *, owners: bool = False) -> pa.Table:
+    """For one range of window hashes: 1 for the first of each content, and with `owners` who holds it."""
     blobs = [unpacked(x) for x in table.column("blob").to_pylist()]
     sizes = [len(x[0]) for x in blobs]
     one, two, key = (np.concatenate([x[k] for x in blobs]) for k in range(3))
     shard = np.repeat(table.column("shard").to_numpy(), sizes)
     order = np.lexsort((shard, key, two, one))
     one, two = one[order], two[order]
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
     bits = np.empty(len(order), np.uint8)
-    bits[order] = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-    return answered(table, bits, sizes)
+    bits[order] = new
+    return answered(table, sizes, bits, *(owners_of(order, new, key, shard) if owners else ()))
 
 
 def covered(n: int, width: int, runs: Runs, repeated: np.ndarray, windows: np.ndarray) -> np.ndarray:

@@ -93,7 +93,7 @@ class SortedWindows:
         return self.starts[self.order[~self.first | (told[np.cumsum(self.first) - 1] == 0)]]
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, carry: list[str] | None = None, shard_bytes: int = repeats.SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for every row of `docs`.
 
     `carry` names columns whose values come back with their row, as the fields of a struct `rest`.
@@ -108,8 +108,9 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     and place in it; null ids come first; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    shards = repeats.deal_shards(docs, doc_id, text, scratch, carry=carry)
-    bits = repeats.range_bits(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    shards = repeats.deal_shards(docs, doc_id, text, scratch, total, shard_bytes, carry)
+    bits = repeats.range_bits(total, shard_bytes)
 
     def prepared(row):
         shard = repeats.Shard(row["shard"], row["heads"], row["texts"])

@@ -28,8 +28,9 @@ def same_rows(got, expected):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
-def test_suffix_dedup(spark):
-    docs = fx.documents(spark)
+@pytest.mark.parametrize("shard_bytes", [repeats.SHARD_BYTES, 1500])
+def test_suffix_dedup(spark, shard_bytes):
+    docs = fx.documents(spark).coalesce(1)
     rows = ordered(docs)
     bodies = [t.encode() for _, t in rows]
     expected = []
@@ -38,12 +39,13 @@ def test_suffix_dedup(spark):
         kept = bytes(b for b, g in zip(body, gone, strict=True) if not g)
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         expected.append((key, len(body), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    same_rows([tuple(r) for r in suffix_dedup.remove_repeated_strings(docs).collect()], expected)
+    same_rows([tuple(r) for r in suffix_dedup.remove_repeated_strings(docs, shard_bytes=shard_bytes).collect()], expected)
     assert suffix_dedup.remove_repeated_strings(fx.empty(spark)).count() == 0
 
 
-def test_phrase_dedup(spark):
-    docs = fx.documents(spark)
+@pytest.mark.parametrize("shard_bytes", [repeats.SHARD_BYTES, 1500])
+def test_phrase_dedup(spark, shard_bytes):
+    docs = fx.documents(spark).coalesce(1)
     rows = ordered(docs)
     lists = [WORD.findall(t) for _, t in rows]
     expected = []
@@ -51,10 +53,36 @@ def test_phrase_dedup(spark):
         gone = fx.spans_of(len(words), starts, 20)
         kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
         expected.append((key, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    same_rows([tuple(r) for r in phrase_dedup.remove_repeated_passages(docs).collect()], expected)
+    same_rows([tuple(r) for r in phrase_dedup.remove_repeated_passages(docs, shard_bytes=shard_bytes).collect()], expected)
     assert phrase_dedup.remove_repeated_passages(fx.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [phrase_dedup.LETTERS, 7])
+def test_automaton_locates_later_occurrences(letters):
+    shard = repeats.Shard.__new__(repeats.Shard)
+    texts = [b"z " * 3 + b"a b c d e f", b"a b c d x a b c d e", b"b c d", b""]
+    shard.text = np.frombuffer(b"".join(texts), np.uint8)
+    shard.bounds = np.cumsum([0, *map(len, texts)])
+    words, keys = phrase_dedup.Words(shard), np.array([5, 3, 9, 9])
+    whole = " ".join(w.decode() for w in words.words)
+
+    def removed(*passages):
+        found = phrase_dedup.Passages()
+        for lo, n, *owner in passages:
+            found.add(*(np.array([x]) for x in (lo, n, *owner)))
+        return " ".join(w.decode() for w, g in zip(words.words, found.located(words, keys, 0, letters), strict=True) if not g)
+
+    none = np.empty(0, np.int64)
+    assert removed((3, 4, 5, 0, 3)) == whole  # all others stand in documents before the owner
+    assert removed((3, 4, 3, 0, 9)) == "z z z e f a b c d x e b c d"  # the owner is in document 3
+    assert removed((4, 3, 1, 7, 0)) == "z z z a e f a x a e"  # the owner is elsewhere, and earlier
+    assert removed((4, 3, 5, 7, 0), (4, 3, 3, 7, 0)) == removed((4, 3, 3, 7, 0))
+    assert removed((4, 3, 9, -1, 0)) == "z z z a b c d e f a b c d x a b c d e"
+    empty = phrase_dedup.Passages()
+    empty.add(none, none, none, none, none)
+    assert not empty.located(words, keys, 0).any()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=60))
 def test_suffix_array(x):
