@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,51 +17,74 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']
 
 # Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe xmp noembed noframes textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe xmp noembed noframes textarea title".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym area b base bdi bdo big cite code data del dfn em embed font i img input ins kbd label link map mark math meta mi mn mo mrow msub msup mtext object param "
+    "picture q rb rp rt ruby s samp small source span strike strong sub sup svg time track tt u var wbr".split()
 )
-JUNK_TAGS = frozenset("nav header footer aside form button select option menu dialog head".split())
+FOREIGN = ("svg", "math")
+JUNK_TAGS = frozenset("nav header footer aside form button select option menu dialog head svg".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 KEPT_TAGS = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td th blockquote li dd dt figcaption div section article main body center".split())
+TEXT_BLOCKS = frozenset("p pre blockquote ul ol dl figure table address details".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("table ul ol dl article section main div body html blockquote aside form nav header footer".split())
-JUNK_WORD = (
-    "ads?|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
-    "footer|foot|header|masthead|comments?|commentlist|replies|disqus|respond|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|"
-    "share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|toolbar|widget|pagination|pager|skip-link|copyright|disclaimer"
-)
-JUNK_NAME = re.compile(rf"(?:{JUNK_WORD})(?:[-_].*)?|(?!has[-_]|with[-_]|no[-_]).*[-_](?:{JUNK_WORD})", re.I)
-
 
-#: Ancestors that a paragraph passes points to; the next would get less than a thirtieth.
-ANCESTORS = 10
+# Words in class names and ids. A listed name lowers the score of what an element holds; nothing is dropped by it alone.
+COMMENT_WORDS = frozenset("comment comments commentlist replies disqus".split())
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "cookie cookies gdpr consent popup modal share sharing related recommended subscribe newsletter signup pagination pager".split()
+)
+WEAK_WORDS = frozenset(
+    "banner header head foot respond notice notices notification alert overlay social login search toolbar widget copyright disclaimer skip".split()
+)
+STATES = frozenset("has with without no is open closed on off enabled allowed".split())
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+PLAIN, WEAK, STRONG, COMMENT, NEVER = range(5)
+#: What is left of the points of an element's paragraphs, by the kind of its name.
+FACTORS = (1.0, 0.5, 0.15, 0.05, 0.0)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "junk", "score", "chars", "linked", "commas", "own", "links")
-
-    def __init__(self, tag, parent, junk=False):
-        self.tag, self.parent, self.items, self.junk = tag, parent, [], junk
-        self.score = self.chars = self.linked = self.commas = self.own = self.links = 0
-
-
-def is_junk(tag: str, attributes: str) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment by its name."""
-    if tag in JUNK_TAGS:
-        return True
-    if not attributes or tag in KEPT_TAGS and "comment" not in attributes.lower() and "hidden" not in attributes.lower():
-        return False
+    __slots__ = ("tag", "parent", "items", "kind", "factor", "score", "points", "total", "chars", "linked", "commas", "own", "heads")
+
+    def __init__(self, tag, parent, kind=PLAIN):
+        self.tag, self.parent, self.items, self.kind, self.factor = tag, parent, [], kind, 1.0
+        self.score = self.points = self.total = 0.0
+        self.chars = self.linked = self.commas = self.own = self.heads = 0
+
+
+def kind_of_name(name: str) -> int:
+    """Whether a class name or id names a comment, a menu, advert, sidebar and the like, or may do so."""
+    parts = [x.lower() for x in NAME_PART.findall(name)]
+    if not parts or parts[0] in STATES or parts[-1] in STATES:
+        return PLAIN
+    if any(x in COMMENT_WORDS for x in parts):
+        return COMMENT
+    if any(x in STRONG_WORDS for x in parts) or len(parts) == 1 and parts[0] in WEAK_WORDS:
+        return STRONG
+    return WEAK if any(x in WEAK_WORDS for x in parts) else PLAIN
+
+
+def kind_of(tag: str, attributes: str) -> int:
+    """What an element's tag, role, visibility and names say of it."""
+    kind = {"form": STRONG, "header": WEAK}.get(tag, NEVER) if tag in JUNK_TAGS else PLAIN
+    if not attributes or kind == NEVER:
+        return kind
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if hidden or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return NEVER
         if name == "role" and value.lower() in JUNK_ROLES:
-            return True
-        if name in ("class", "id") and any(JUNK_NAME.fullmatch(x) for x in value.split()):
-            return tag not in KEPT_TAGS or "comment" in value.lower()
-    return False
+            return NEVER
+        if name in ("class", "id"):
+            named = max(map(kind_of_name, value.split()), default=PLAIN)
+            if tag not in KEPT_TAGS or named == COMMENT:
+                kind = max(kind, named)
+    return kind
 
 
 def parse(html: str) -> Node:
@@ -99,11 +121,18 @@ def parse(html: str) -> Node:
                     lower = re.sub("[A-Z]", lambda x: x[0].lower(), html)
                 end = lower.find(f"</{tag}", at)
                 close = html.find(">", end) if end >= 0 else -1
-                at = text_from = close + 1 if close >= 0 else len(html)
+                if close >= 0:
+                    at = text_from = close + 1
+                elif tag in ("script", "style"):
+                    at = text_from = len(html)
             continue
         if tag == "html" or tag == "body" and opened[tag]:
             continue
         if tag not in INLINE:
+            if opened["svg"] or opened["math"]:  # left open: pages go on in HTML
+                while opened["svg"] or opened["math"]:
+                    opened[node.tag] -= 1
+                    node = node.parent
             for ended in ({"p"}, CLOSES.get(tag, ())):
                 if any(opened[x] for x in ended):
                     up = node
@@ -116,7 +145,7 @@ def parse(html: str) -> Node:
         if tag in VOID:
             node.items.append(Node(tag, node))
             continue
-        child = Node(tag, node, is_junk(tag, attributes))
+        child = Node(tag, node, kind_of(tag, attributes))
         node.items.append(child)
         if not attributes.endswith("/") or tag in ("p", "div", "a", "span"):
             node = child
@@ -125,22 +154,28 @@ def parse(html: str) -> Node:
     return root
 
 
-def _line(node):
-    while node:
-        yield node
-        node = node.parent
+def density(node: Node) -> float:
+    return node.linked / node.chars if node.chars else 0.0
 
 
 def measure(root: Node) -> list[Node]:
-    """Sums characters, commas and linked characters bottom-up; returns the nodes outside junk."""
+    """Characters, commas, linked characters and points of all nodes; returns those that can count, in page order.
+
+    A paragraph's points are 1, its commas, and a point for each 100 characters (3 at most), less its share of
+    linked text and what its own and its ancestors' names take off. Its parent gets them in full, every
+    further ancestor half of what the one below it got.
+    """
     nodes, todo = [], [(root, False)]
     while todo:
         node, linked = todo.pop()
-        if node.junk:
+        if node.kind == NEVER:
             continue
         nodes.append(node)
+        if node.parent:
+            node.factor = node.parent.factor
+        node.factor *= FACTORS[node.kind]
         linked = linked or node.tag == "a"
-        node.links = node.tag == "a"
+        below = []
         for x in node.items:
             if isinstance(x, str):
                 n = len(" ".join(x.split()))
@@ -149,66 +184,113 @@ def measure(root: Node) -> list[Node]:
                 node.commas += x.count(",") + x.count("،") + x.count("，") + x.count("、")
                 node.linked += n if linked else 0
             else:
-                todo.append((x, linked))
+                below.append((x, linked))
+        todo.extend(reversed(below))
     for node in reversed(nodes):
+        if node.tag in PARAGRAPHS and node.own >= 25:
+            node.points = (1 + node.commas + min(node.own / 100, 3)) * (1 - density(node))
+            node.total += node.points
+            if node.tag in FENCES:
+                node.score += node.points * node.factor
         up = node.parent
         if up:
             up.chars += node.chars
             up.linked += node.linked
-            up.links += node.links
+            up.total += node.total
+            up.heads += node.heads + (node.tag in ("h1", "h2"))
+            up.score += node.score / 2 + (0 if node.tag in FENCES else node.points * node.factor)
             if node.tag in INLINE:
                 up.own += node.own
                 up.commas += node.commas
     return nodes
 
 
-def density(node: Node) -> float:
-    return node.linked / node.chars if node.chars else 0.0
+def _ancestors(node: Node):
+    while node := node.parent:
+        yield node
 
 
-def main_nodes(root: Node) -> list[Node]:
+def main_nodes(root: Node) -> list[Node | str]:
     """The best container and those of its siblings that belong to it, in page order.
 
-    A paragraph passes 1 + its commas + a point for each 100 characters (3 at most), less its share of
-    linked text, to its parent in full, to the next ancestor by half, to the n-th by a third of 1 / n.
+    The best is the node with the highest score after its own share of linked text is taken off; of equal
+    ones the first. Inside an article (or a main element of which it holds most) that element takes its place.
     """
     nodes = measure(root)
-    for node in nodes:
-        if node.tag in PARAGRAPHS and node.own >= 25:
-            points = (1 + node.commas + min(node.own / 100, 3)) * (1 - density(node))
-            ups = islice(_line(node if node.tag in FENCES else node.parent), ANCESTORS)
-            for k, up in enumerate(ups):
-                up.score += points / (1, 2)[k] if k < 2 else points / (3 * k)
     for node in nodes:
         node.score *= 1 - density(node)
         if node.tag in ("article", "main") and node.chars:
-            node.score += 25
+            node.score += 25 * node.factor
     best = max((n for n in nodes if n.tag not in INLINE and n.tag != "p"), key=lambda n: n.score, default=None)
     if best is None or best.score <= 0:
         return [root]
-    if best.parent is None:
+    for up in _ancestors(best):
+        if up.tag == "article" and 3 * best.total >= up.total or up.tag == "main" and 2 * best.total >= up.total:
+            best = up
+            break
+    if best.parent is None or best.tag == "article":
         return [best]
-    line = max(10.0, 0.2 * best.score)
-    out = []
-    for x in best.parent.items:
+    return _with_siblings(best)
+
+
+def _with_siblings(best: Node) -> list[Node | str]:
+    line, out, kept_after = max(10.0, 0.2 * best.score), [], False
+    for run in reversed(_runs(best.parent.items)):
+        x = run[0]
         if x is best:
-            out.append(x)
-        elif isinstance(x, Node) and not x.junk:
-            long_text = x.tag in ("p", "pre", "blockquote") and x.chars > 80 and density(x) < 0.25
-            if x.score >= line or long_text:
-                out.append(x)
+            keep = True
+        elif isinstance(x, str) or x.tag in INLINE:
+            chars = sum(len(" ".join(i.split())) if isinstance(i, str) else i.chars for i in run)
+            linked = sum(0 if isinstance(i, str) else i.linked for i in run)
+            if not chars:
+                continue  # blank, so it stands between nothing
+            keep = chars >= 25 and linked < 0.25 * chars
+        elif x.kind != PLAIN:
+            keep = x.kind == WEAK and x.score >= line
+        elif x.tag in HEADINGS:
+            keep = kept_after and density(x) < 0.5
+        else:
+            keep = x.score >= line or x.tag in TEXT_BLOCKS and x.chars > 0 and density(x) < 0.25
+        kept_after = keep
+        if keep:
+            out.extend(reversed(run))
+    return out[::-1]
+
+
+def _runs(items):
+    """Children one by one, but texts and inline elements that follow each other together."""
+    out, inline = [], False
+    for x in items:
+        now = isinstance(x, str) or x.tag in INLINE
+        if now and inline:
+            out[-1].append(x)
+        else:
+            out.append([x])
+        inline = now
     return out
 
 
-def text_of(kept: list[Node]) -> str:
-    """The texts of nodes, blocks joined by one space; junk and lists of links inside them are left out."""
-    parts, todo = [], list(reversed(kept))
+def _dropped(x: Node, total: float) -> bool:
+    """Whether an element inside what is kept (of `total` points) is none of the article.
+
+    Comments go unless they are nearly all there is, other listed names unless they hold most of the points,
+    and names that only may be junk where the element is also short or full of links.
+    """
+    if x.kind == WEAK:
+        return density(x) > 0.33 or x.chars < 80 and not x.heads
+    return x.kind == NEVER or x.kind == STRONG and 2 * x.total <= total or x.kind == COMMENT and x.total <= 0.9 * total
+
+
+def text_of(kept: list[Node | str]) -> str:
+    """The texts of nodes, blocks joined by one space, without the elements that are none of the article."""
+    total = sum(x.total for x in kept if isinstance(x, Node))
+    parts, todo, chosen = [], list(reversed(kept)), set(map(id, kept))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x.junk or x.tag in ("ul", "ol", "div", "table") and x.links >= 3 and density(x) > 0.8:
+        if x.kind == NEVER or x.kind != PLAIN and id(x) not in chosen and _dropped(x, total):
             continue
         if x.tag not in INLINE:
             parts.append(" ")
@@ -225,9 +307,11 @@ def main_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every row of `pages` without its html, with text and n_chars (code points).
 
-    Null html is empty; broken markup is read as browsers do, more or less: open elements end with their
-    parent, unknown end tags are passed over; every row is judged alone, so nothing is shuffled. Columns
-    named text or n_chars are replaced.
+    Null html is empty and has an empty text; broken markup is read as browsers do, more or less: open
+    elements end with their parent, unknown end tags are passed over. Every row is judged alone, so nothing
+    is shuffled and repeated rows and ids keep their rows; of equally good containers the first counts; an
+    empty table gives an empty result. A page of any length is read whole, in time linear in it, with some
+    30 times its bytes in its task. Columns named text or n_chars are replaced, others are kept.
     """
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
 
@@ -237,8 +321,8 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*kept, "text", "n_chars"])
 
-    taken = pages.select(*kept, F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    return taken.mapInArrow(run, taken.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    taken = pages.select(*kept, F.coalesce(F.col(html), F.lit("")).alias(html))
+    return taken.mapInArrow(run, pages.select(*kept).schema.add("text", "string").add("n_chars", "long"))
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
