@@ -14,44 +14,52 @@ THRESHOLD = 0.93
 TILE = 1024
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither vanish nor overflow; cosines stay the same bit for bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
 def quantise(vectors: np.ndarray):
-    """Unit rows as s * q with q in -127..127; e bounds the length of what is lost. (q, s, e)"""
+    """Unit rows as s * q with q in int8 (-127..127); e bounds the length of what is lost. (q, s, e)"""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     scale = np.abs(unit).max(1) / 127
-    q = np.rint(unit / scale[:, None])
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
     lost = np.linalg.norm(unit - q * scale[:, None], axis=1) + 1e-12
     return q, scale, lost
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
-    """Index pairs (i, j) with cosine >= threshold between rows of `a` and `b` (of `a` alone, i < j, if None).
+def tile_pairs(a: tuple, b: tuple | None, threshold: float):
+    """Strips of index pairs (i, j) by the codes (q, s, e) alone: yields (sure i, sure j, open i, open j).
 
-    With unit u = s q + r, |r| <= e, a cosine differs from s s' (q . q') by e + e' + e e' at most. Integer
-    products are exact in single precision up to 1,040 dimensions, in double beyond. Only pairs whose
-    bound reaches the threshold are computed again from the full vectors in double precision.
+    With unit u = s q + r, |r| <= e, a cosine differs from s s' (q . q') by e + e' + e e' at most. Pairs
+    that are above the threshold by more than that are sure, those within it are open, the rest are apart.
+    `b` is another tile, or None for the pairs i < j of `a`. Integer products are exact in single precision
+    up to 1,040 dimensions, in double beyond.
     """
-    qa, sa, ea = quantise(a)
-    qb, sb, eb = (qa, sa, ea) if b is None else quantise(b)
-    other = a if b is None else b
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(other, axis=1)
+    (qa, sa, ea), (qb, sb, eb) = a, b or a
+    kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64
     right = qb.astype(kind).T
-    out_i, out_j = [], []
-    for k in range(0, len(a), 512):
+    for k in range(0, len(qa), 512):
         part = slice(k, k + 512)
-        bound = (qa[part].astype(kind) @ right) * sa[part, None] * sb
-        bound += ea[part, None] + eb + ea[part, None] * eb + 1e-9
-        i, j = np.nonzero(bound >= threshold)
+        near = (qa[part].astype(kind) @ right) * sa[part, None] * sb - threshold
+        off = ea[part, None] + eb + ea[part, None] * eb + 1e-9
+        i, j = np.nonzero(near >= -off)
+        sure = near[i, j] > off[i, j]
         i += k
         if b is None:
-            i, j = i[i < j], j[i < j]
-        for m in range(0, len(i), 1 << 16):
-            x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
-            sure = np.einsum("ij,ij->i", a[x], other[y]) / (na[x] * nb[y]) >= threshold
-            out_i.append(x[sure])
-            out_j.append(y[sure])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+            once = i < j
+            i, j, sure = i[once], j[once], sure[once]
+        yield i[sure], j[sure], i[~sure], j[~sure]
+
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of rows i of `a` and j of `b`, in double precision, reaches the threshold."""
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    out = np.empty(len(i), bool)
+    for m in range(0, len(i), 1 << 16):
+        x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
+        out[m : m + (1 << 16)] = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y]) >= threshold
+    return out
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -75,11 +83,14 @@ def embedding_components(
     Vectors of equal label (not null) and length link at cosine >= threshold. Equal vectors are collapsed
     to one with a count first, so copies cost one row. The distinct vectors of a label are dealt by hash
     to tiles of about `tile` rows; each pair of tiles is a group of its own, so a hot label is many tasks.
-    A task gives back, for each vector, the number of vectors it links with, and one link to the least
-    vector of its component in that pair of tiles: linear in its rows, however many pairs link.
+    Tiles travel as int8 codes with a scale and an error bound. Their products decide most pairs; vectors
+    with a pair inside the bounds are fetched once for each pair of tiles, in full, and only such pairs are
+    computed again. A task gives back, for each vector, the number of vectors it links with, and one link to
+    the least vector of its component there: linear in its rows, however many pairs link.
 
     Rows whose label or vector is null, whose vector is empty, zero, or holds null or non-finite values
-    link with nothing; a null vec_id never names a component; an empty table gives an empty result.
+    link with nothing; repeated rows and ids keep their rows; a null vec_id never names a component; an empty
+    table gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -90,39 +101,102 @@ def embedding_components(
     reps = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
-    sizes = reps.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = reps.select("rep", "label", "copies", "v", F.size("v").alias("dim")).join(sizes, ["label", "dim"])
+    def encode(batches):
+        for b in batches:
+            flat = b.column(3)
+            codes = [pa.array([], pa.binary()), pa.array([], pa.float64()), pa.array([], pa.float64())]
+            if b.num_rows:
+                sizes = np.diff(flat.offsets.to_numpy())
+                values, at = flat.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
+                q, s, e = [b""] * b.num_rows, np.empty(b.num_rows), np.empty(b.num_rows)
+                for size in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == size)
+                    qs, s[rows], e[rows] = quantise(scaled(values[at[rows][:, None] + np.arange(size)]))
+                    for k, x in zip(rows.tolist(), qs, strict=True):
+                        q[k] = x.tobytes()
+                codes = [pa.array(q, pa.binary()), pa.array(s), pa.array(e)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *codes], names=["rep", "grp_label", "copies", "q", "s", "e"])
+
+    of_label = F.xxhash64(F.col("label").cast("string")).alias("grp_label")
+    codes = reps.select("rep", of_label, "copies", "v").mapInArrow(encode, "rep long, grp_label long, copies long, q binary, s double, e double")
+    codes = scratch.write(codes.withColumn("dim", F.octet_length("q")), "codes")
+    # Labels whose hashes agree would share tiles: the label itself is compared where there are such.
+    if reps.select("label").distinct().count() != codes.select("grp_label").distinct().count():
+        raise ValueError("two labels have one 64-bit hash")
+    sizes = codes.groupBy("grp_label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = codes.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["grp_label", "dim"])
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     dealt = dealt.select(
-        F.xxhash64(F.col("label").cast("string"), "dim", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"),
-        (F.col("tile") > F.col("other")).alias("right"),
-        (F.col("tile") == F.col("other")).alias("own"),
+        F.xxhash64("grp_label", "dim", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"),
+        F.signum(F.col("tile") - F.col("other")).cast("int").alias("side"),  # -1 and 1: two tiles; 0: one with itself
         "rep",
         "copies",
-        "v",
+        "q",
+        "s",
+        "e",
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        copies = table.column("copies").to_numpy()
-        flat = table.column("v").combine_chunks()
-        v = flat.flatten().to_numpy().reshape(len(rep), -1)
-        # A power of two for each row, so that squares neither vanish nor overflow; cosines stay the same bit for bit.
-        v = np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
-        right = np.asarray(table.column("right").to_pylist(), bool)
-        if np.asarray(table.column("own").to_pylist(), bool).all():
-            i, j = tile_links(v, None, threshold)
-        else:
-            left, over = np.flatnonzero(~right), np.flatnonzero(right)
-            i, j = tile_links(v[left], v[over], threshold) if len(left) and len(over) else (np.empty(0, np.int64),) * 2
-            i, j = left[i], over[j]
+    def tiles_of(side):
+        """Rows of the tile or of the two tiles that a group holds; None where there is nothing to compare."""
+        if side.all():
+            left, over = np.flatnonzero(side < 0), np.flatnonzero(side > 0)
+            return (left, over) if len(left) and len(over) else None
+        return np.arange(len(side)), None
+
+    def links_of(rep, copies, i, j):
         links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
         at = np.flatnonzero(links)
         low = least_labels(len(rep), i, j) if len(i) else np.arange(len(rep))
-        return pa.table({"a": rep[at], "b": rep[low[at]], "n": links[at].astype(np.int64)})
+        return rep[at], rep[low[at]], links[at].astype(np.int64)
 
-    found = scratch.write(dealt.groupBy("grp").applyInArrow(compare, "a long, b long, n long"), "found")
+    def coded(table, rows):
+        q = np.frombuffer(b"".join(table.column("q").take(pa.array(rows)).to_pylist()), np.int8).reshape(len(rows), -1)
+        return q, table.column("s").to_numpy()[rows], table.column("e").to_numpy()[rows]
+
+    def compare(table: pa.Table) -> pa.Table:
+        """Sure links as (a, b, n); vectors with open pairs as (a, null, null) beside them."""
+        rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
+        i, j, is_open = [], [], np.zeros(len(rep), bool)
+        if (tiles := tiles_of(side)) is not None:
+            left, over = tiles
+            for si, sj, oi, oj in tile_pairs(coded(table, left), None if over is None else coded(table, over), threshold):
+                right = left if over is None else over
+                i.append(left[si])
+                j.append(right[sj])
+                is_open[left[oi]] = is_open[right[oj]] = True
+        none = np.empty(0, np.int64)
+        a, b, n = links_of(rep, copies, np.concatenate([none, *i]), np.concatenate([none, *j]))
+        asked = rep[is_open]
+        blank = pa.nulls(len(asked), pa.int64())
+        return pa.table({
+            "grp": pa.array(np.full(len(a) + len(asked), table.column("grp")[0].as_py())),
+            "a": pa.array(np.r_[a, asked]),
+            "b": pa.concat_arrays([pa.array(b, pa.int64()), blank]),
+            "n": pa.concat_arrays([pa.array(n, pa.int64()), blank]),
+            "side": pa.array(np.r_[np.zeros(len(a), np.int64), side[is_open]].astype(np.int32)),
+        })
+
+    def decide(table: pa.Table) -> pa.Table:
+        """Links of the open pairs of a group, from the full vectors."""
+        rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        v, i, j = scaled(v), [], []
+        if (tiles := tiles_of(side)) is not None:
+            left, over = tiles
+            right = left if over is None else over
+            for *_, oi, oj in tile_pairs(quantise(v[left]), None if over is None else quantise(v[over]), threshold):
+                linked = exact(v[left], v[right], oi, oj, threshold)
+                i.append(left[oi[linked]])
+                j.append(right[oj[linked]])
+        none = np.empty(0, np.int64)
+        a, b, n = links_of(rep, copies, np.concatenate([none, *i]), np.concatenate([none, *j]))
+        return pa.table({"a": a, "b": b, "n": n})
+
+    told = scratch.write(dealt.groupBy("grp").applyInArrow(compare, "grp long, a long, b long, n long, side int"), "told")
+    asked = told.where("b is null").select("grp", F.col("a").alias("rep"), "side").join(reps.select("rep", "copies", "v"), "rep")
+    more = scratch.write(asked.groupBy("grp").applyInArrow(decide, "a long, b long, n long"), "more")
+    found = told.where("b is not null").select("a", "b", "n").unionByName(more)
     comps = connected_components(found.select("a", "b"), scratch)
     degree = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     joined = reps.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
