@@ -64,15 +64,16 @@ def tempered_weights(sizes: dict[str, int], units: int = 1000) -> dict[str, int]
     return {s: max(1, round(units * r / total)) for s, r in roots.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, chars: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, chars: str | None = None, broadcast_phases: int = 20_000) -> DataFrame:
     """Adds block, slot and start to every row: read in order of (slot, start), sources stand in their weights.
 
     Each source's rows, in an order by hash of the id, are a stream of code points (one more for each
     row); a row belongs to the block of `block_chars` in which it starts, and a row longer than that
     leaves blocks empty that still take their slots. `weights` are whole numbers; a source without one
     gets 1; without any, they follow the square roots of the sources' sizes. Every row is kept: when a
-    source ends, the rest share its slots. The driver holds one number for each source and one period of
-    the schedule.
+    source ends, the rest share its slots. The driver holds one number for each source and a row for each
+    source with blocks in each phase between two such ends. Up to `broadcast_phases` of these rows are
+    broadcast; more are laid out as a table of blocks, which rows are joined with by (source, block).
 
     `chars` names a column that has the lengths of the texts, where the texts themselves are not at hand.
 
@@ -84,7 +85,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     kept = [c for c in docs.columns if c not in ("block", "slot", "start")]
     of = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
     size = (F.coalesce(F.col(chars) if chars else F.length(text), F.lit(0)) + 1).cast("long")
-    rows = docs.select(*kept, of.alias("_source"), size.alias("_size"), F.xxhash64(F.lit("mix"), F.col(doc_id)).alias("_order"))
+    doc = F.struct(*kept).alias("doc")
+    rows = docs.select(doc, of.alias("_source"), size.alias("_size"), F.xxhash64(F.lit("mix"), F.col(doc_id)).alias("_order"), F.col(doc_id).alias("_id"))
     sums = {r["_source"]: (r["chars"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("chars"), F.count("*").alias("n")).collect()}
     if not sums:
         return docs.select(*kept, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("start"))
@@ -93,18 +95,24 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     per = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(per, ["_source", "_bucket"])
     placed = placed.withColumn("start", F.col("_before") + F.col("_inside")).withColumn("block", F.expr(f"start div {int(block_chars)}"))
 
     sizes = {s: c for s, (c, _) in sums.items()}
     target = tempered_weights(sizes) if weights is None else {s: int(weights.get(s, 1)) for s in sizes}
     plan = phases({s: -(-c // block_chars) for s, c in sizes.items()}, target)
+    small = len(plan) <= broadcast_phases
     plan = spark.createDataFrame(plan, "_source string, lo long, hi long, base long, period long, slots array<long>")
-    # One row for each source still live in each phase, of one period's slots at most.
-    found = placed.join(F.broadcast(plan), "_source").where("block >= lo and block < hi")
     slot = F.expr("base + (block - lo) div size(slots) * period + slots[int(pmod(block - lo, size(slots)))]")
-    return found.select(*kept, F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("start").cast("long").alias("start"))
+    if small:
+        found = placed.join(F.broadcast(plan), "_source").where("block >= lo and block < hi")
+    else:
+        # A row for each block, laid out in parallel; a block holds block_chars rows at most, so no key is hot.
+        blocks = plan.repartition("_source", "lo").withColumn("block", F.explode(F.expr("sequence(lo, hi - 1)")))
+        found = placed.join(blocks.select("_source", "block", slot.alias("slot")).hint("merge"), ["_source", "block"])
+        slot = F.col("slot")
+    return found.select(*(F.col("doc")[c].alias(c) for c in kept), F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("start").cast("long").alias("start"))
 
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
