@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import Scratch
+
 #: host, path, action
 RULES = [
     ("com", "/", "allow"),
@@ -19,6 +21,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
+    """A short list of rules as a table, without Python workers."""
+    rows = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in r) + ")" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, action)")
+
+
 def with_host_path(df: DataFrame, url: str) -> DataFrame:
     """Adds host and path; both are empty for null urls and those without `://`."""
     u = F.coalesce(F.col(url), F.lit(""))
@@ -46,58 +54,56 @@ def url_filter(
     an exact hash join with the list, which removes false positives. A list longer than the filter is
     made for costs more false positives and no wrong verdict.
 
-    Null urls have empty host and path and get the default; repeated rows are kept; an empty list leaves
-    the default; columns named host, path, rule or verdict are replaced.
+    Null urls have empty host and path and get the default, as do all without a host, and none of them is
+    joined with anything; repeated rows are kept; an empty list leaves the default; an empty table gives an
+    empty result; a URL of any length is judged whole in its row. Columns named host, path, rule or verdict
+    are replaced, all others come back, whatever their names.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    scratch = Scratch(pages.sparkSession, "urls")
     listed = (
         rules.where("host is not null and path is not null and action is not null")
         .select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action")
         .groupBy(F.concat("host", "path").alias("key"), "host", "path")
         .agg(F.max("action").alias("action"))  # block comes after allow
     )
+    listed = scratch.write(listed, "listed")
     n = listed.count()
     n_blocks = max(16, min(max_blocks, -(-n * 12 // (64 * BLOCK_WORDS))))
-    # One row for each shape of the list, so at most 127 labels by the path lengths that URLs have.
-    shapes = [(r[0], r[1]) for r in listed.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect()]
-    rows = with_host_path(pages.select(*kept), url)
-    if not shapes:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-
-    labels = F.split("host", r"\.")
-    probes = F.filter(
-        F.array(
-            *[
-                F.when(
-                    (F.size("_labels") >= k) & (F.length("path") >= m) & (F.col("host") != ""),
-                    F.struct(F.array_join(F.slice("_labels", -k, k), ".").alias("host"), F.substring("path", 1, m).alias("path")),
-                )
-                for k, m in sorted(shapes)
-            ]
-        ),
-        lambda x: x.isNotNull(),
+    doc = F.struct(*kept).alias("doc") if kept else F.struct(F.lit(0)).alias("doc")
+    rows = with_host_path(pages.select(doc, F.col(url).alias("url")), "url").drop("url")
+    # The shapes of the list as one value: the path lengths there are for each number of host labels.
+    shapes = listed.groupBy(F.size(F.split("host", r"\.")).alias("k")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    shapes = shapes.agg(F.map_from_entries(F.collect_list(F.struct("k", "lengths"))).alias("shapes")).scalar()
+    distinct = rows.select("host", "path").where("host <> ''").distinct()
+    distinct = distinct.withColumn("shapes", shapes).withColumn("labels", F.split("host", r"\."))
+    probes = F.expr(
+        "flatten(transform(filter(map_keys(shapes), k -> k <= size(labels)),"
+        " k -> transform(filter(shapes[k], m -> m <= length(path)),"
+        " m -> struct(array_join(slice(labels, -k, k), '.') as host, substring(path, 1, m) as path))))"
     )
-    distinct = rows.select("host", "path").distinct().withColumn("_labels", labels)
-    asked = distinct.select("host", "path", F.explode(probes).alias("_probe")).withColumn("key", F.concat("_probe.host", "_probe.path"))
+    asked = distinct.select("host", "path", F.explode(probes).alias("probe")).withColumn("key", F.concat("probe.host", "probe.path"))
     bloom = blocked_bloom(listed.select("key"), n_blocks)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))).withColumn("_h", F.xxhash64(F.lit("bit"), "key"))
     all_set = " and ".join(f"shiftright(words[{w}], int(shiftrightunsigned(_h, {6 * w}) & 63)) & 1 = 1" for w in range(BLOCK_WORDS))
     passed = asked.join(F.broadcast(bloom), "block").where(F.expr(all_set))
-    passed = passed.select("host", "path", F.col("_probe.host").alias("rule_host"), F.col("_probe.path").alias("rule_path"))
+    passed = passed.select("host", "path", F.col("probe.host").alias("rule_host"), F.col("probe.path").alias("rule_path"))
     exact = listed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action")
     exact = F.broadcast(exact) if n <= broadcast_rows else exact.hint("shuffle_hash")
     hits = passed.join(exact, ["rule_host", "rule_path"]).withColumn("rule", F.concat("rule_host", "rule_path"))
     order = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "action", "rule")
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("_best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    # Written first: a join with an aggregate on its own key could not be split where one URL is hot.
+    best = scratch.write(hits.groupBy("host", "path").agg(F.max(order).alias("best")).select("host", "path", "best.rule", "best.action"), "best")
+    out = rows.where("host <> ''").join(best, ["host", "path"], "left")
+    none = rows.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
+    out = out.unionByName(none)
+    return out.select(*(F.col("doc")[c].alias(c) for c in kept), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
     """Every row of pages: page_id, host, path, rule, verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
-    return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter(pages, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP8_SQL = r"""
