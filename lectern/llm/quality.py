@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ._common import SPACE_CLASS, SPACES, Scratch, split_words
 
 
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def _packed_windows() -> Column:
     """Sorted longs of the three-word windows of `_w`: hash bits above, window number below."""
     return F.expr(
@@ -23,8 +26,15 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     their numbers, keeps neighbours with equal hash bits, compares their words, and counts the words
     that the kept windows cover. The work stays in the row; nothing is exploded or shuffled.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", split_words(F.col(text))).withColumn("_n", F.size("_w"))
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
+    return _statistics(held).select("doc.*", *STATISTICS)
+
+
+def _statistics(df: DataFrame) -> DataFrame:
+    """The columns of `df`, whose text is in `text`, with STATISTICS and the array of the lines with a word."""
+    kept = df.columns
+    t = F.coalesce(F.col("text"), F.lit(""))
+    df = df.withColumn("_w", split_words(F.col("text"))).withColumn("_n", F.size("_w"))
     df = df.withColumn("_b", F.expr("int(ceil(log2(_n + 1))) + 1"))
     df = df.withColumn("_p", F.when(F.col("_n") >= 4, _packed_windows()).otherwise(F.expr("cast(array() as array<bigint>)")))
     df = df.withColumn(
@@ -41,7 +51,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     df = df.withColumn("_l", lines)
     return df.select(
-        *docs.columns,
+        *kept,
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -49,7 +59,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr(
             "cast(aggregate(transform(_r, (i, k) -> least(3, coalesce(get(_r, k + 1) - i, 3))), 0, (s, x) -> s + x) as bigint)"
         ).alias("n_repeat_words"),
-        F.col("_l").alias("_lines"),
+        F.col("_l").alias("lines"),
     )
 
 
@@ -85,48 +95,42 @@ def quality_rules(
     kept_text, the text without struck lines; `carry_text` keeps the text's own column.
 
     Null text is empty (base_failed); a null host is a host of its own; repeated rows and ids each keep
-    their own row; an empty table gives an empty result. Columns named as a result replace the input's.
+    their own row; an empty table gives an empty result. A text of any length is judged whole in its row
+    (some 60 times its bytes in arrays meanwhile). Columns named as a result replace the input's; all
+    others come back, whatever their names.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "kept_text"]
-    keep = [c for c in docs.columns if c not in made and not c.startswith("_") and c != text]
-    keep = [*keep, text]
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
+    made = [*STATISTICS, "base_failed", "removed_words", "kept", "kept_text"]
+    back = [c for c in docs.columns if c not in made and (carry_text or c != text)]
+    scratch = Scratch(docs.sparkSession, "quality")
     norm = lambda x: F.lower(F.btrim(F.regexp_replace(x, SPACE_CLASS + "+", " "), F.lit(" ")))
-    judged = base_statistics(docs.select(*keep), text)
-    if not with_text and not carry_text:
-        judged = judged.drop(text)
-    judged = judged.withColumn(
-        "_lines", F.transform("_lines", lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), F.size(split_words(x)).alias("words")))
-    )
-    judged = scratch.write(judged.withColumn("_row", F.monotonically_increasing_id()), "judged")
-
-    lines = F.array_sort(F.array_distinct(F.col("_lines.line")))
-    each = judged.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.xxhash64(lines).alias("copy"), lines.alias("_set"))
-    each = each.distinct().select("host", "copy", F.explode("_set").alias("line"))
-    totals = judged.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host")).agg(F.count("*").alias("host_docs"))
+    doc = F.struct(*back).alias("doc") if back else F.struct(F.lit(0)).alias("doc")
+    held = docs.select(doc, F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.col(text).alias("text"))
+    judged = _statistics(held)
+    if not with_text:
+        judged = judged.drop("text")
+    judged = judged.withColumn("lines", F.transform("lines", lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), F.size(split_words(x)).alias("words"))))
+    judged = scratch.write(judged.withColumn("row", F.monotonically_increasing_id()), "judged")
+
+    lines = F.array_sort(F.array_distinct(F.col("lines.line")))
+    each = judged.select("host", F.xxhash64(lines).alias("copy"), lines.alias("held")).distinct()
+    each = each.select("host", "copy", F.explode("held").alias("line"))
+    totals = judged.groupBy("host").agg(F.count("*").alias("host_docs"))
     struck = scratch.write(line_frequency(each, min_docs, max_share, totals), "struck")
 
-    found = (
-        judged.select("_row", F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.explode("_lines").alias("_line"))
-        .select("_row", "host", F.col("_line.line").alias("line"), F.col("_line.words").alias("words"))
-        .join(struck, ["host", "line"])
-    )
+    found = judged.select("row", "host", F.explode("lines").alias("one")).select("row", "host", "one.line", "one.words").join(struck, ["host", "line"])
     lost = [F.sum("words").cast("long").alias("removed_words")]
     if with_text:
-        lost.append(F.collect_set("line").alias("_struck"))
-    removed = found.groupBy("_row").agg(*lost)
-    out = judged.join(removed, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+        lost.append(F.collect_set("line").alias("struck"))
+    removed = found.groupBy("row").agg(*lost)
+    out = judged.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = 100 * F.col("removed_words") > max_removed_percent * F.col("n_words")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    results = [*STATISTICS, failed.alias("base_failed"), "removed_words", (~failed & ~depleted).alias("kept")]
     if with_text:
-        struck_here = F.coalesce("_struck", F.array().cast("array<bigint>"))
-        out = out.withColumn(
-            "kept_text",
-            F.array_join(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(struck_here, F.xxhash64(norm(x)))), "\n"),
-        )
-    return out.drop("_row", "_lines", "_struck", *([] if carry_text else [text]))
+        here = F.coalesce("struck", F.array().cast("array<bigint>"))
+        left = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(here, F.xxhash64(norm(x))))
+        results.append(F.array_join(left, "\n").alias("kept_text"))
+    return out.select(*(F.col("doc")[c].alias(c) for c in back), *results)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
