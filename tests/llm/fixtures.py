@@ -21,12 +21,12 @@ def texts():
     return out
 
 
-DOCUMENTS = "doc_id long, text string, source string, lang string, n_chars long, block string, kept string, fp string, start string, row string"
+DOCUMENTS = "doc_id long, text string, source string, lang string, n_chars long, block string, kept string, fp string, start string, row string, doc string, _row string, _size string, _source string, _lines string, _order string, id string"
 
 
 def documents(spark):
-    rows = [(k, t, None if k % 7 == 0 else f"src{k % 3}", "en", len(t or ""), "clash", "clash", "clash", "clash", "clash") for k, t in enumerate(texts())]
-    rows += [rows[5], rows[7], (None, "row without an id", None, None, None, *["clash"] * 5)]
+    rows = [(k, t, None if k % 7 == 0 else f"src{k % 3}", "en", len(t or ""), *["clash"] * 12) for k, t in enumerate(texts())]
+    rows += [rows[5], rows[7], (None, "row without an id", None, None, None, *["clash"] * 12)]
     return spark.createDataFrame(rows, DOCUMENTS).repartition(3)
 
 

@@ -61,7 +61,9 @@ def test_quantisation_bound():
     v = rng.normal(size=(200, 64))
     q, s, e = embedding_dedup.quantise(v)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    off = np.abs(unit @ unit.T - (q @ q.T) * s[:, None] * s)
+    assert q.dtype == np.int8
+    wide = q.astype(np.int64)
+    off = np.abs(unit @ unit.T - (wide @ wide.T) * s[:, None] * s)
     assert np.abs(q).max() <= 127 and (off <= e[:, None] + e + e[:, None] * e + 1e-12).all()
 
 
@@ -133,7 +135,7 @@ def verdict(url, rules):
 def test_urls(spark):
     urls = [None, "", "x", "http://EXAMPLE.com/en/a?b#c", "https://www.example.com/en/", "http://a.net/es/x", "http://net/fr/", "http://notnet/fr/", "http://example.com", "http://m.example.com/en", "ftp://a.b.com/x://y", "http://É.COM/en/", "http://www.example.com/en/../x", "a://?q", "http://a..net/es/"]
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls + urls[3:5])], "page_id long, url string, rule string")
-    rules = spark.createDataFrame(url_filters.RULES, "host string, path string, action string")
+    rules = url_filters.rule_table(spark)
     got = sorted(tuple(r) for r in url_filters.url_filter(df, rules).select("page_id", "host", "path", "rule", "verdict").collect())
     assert got == [(k, *verdict(u, url_filters.RULES)) for k, u in enumerate(urls + urls[3:5])]
     none = url_filters.url_filter(df, rules.limit(0))

@@ -355,10 +355,11 @@ def test_pfair_deviation(weights):
             assert abs(sum(x < t for x in slots[s]) - t * n / total) < 1
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("broadcast_phases", [20_000, 0])
+def test_mixing(spark, broadcast_phases):
     docs = fx.documents(spark)
     weights = {"src0": 3, "src1": 2, mixing.NO_SOURCE: 1}
-    rows = mixing.mix_sources(docs, weights, block_chars=200).collect()
+    rows = mixing.mix_sources(docs, weights, block_chars=200, broadcast_phases=broadcast_phases).collect()
     assert len(rows) == docs.count()
     blocks = {}
     for r in rows:
