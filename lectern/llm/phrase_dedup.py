@@ -18,30 +18,30 @@ from ._common import Scratch
 WINDOW, PHRASE = 20, 5
 
 
-#: Code points that stand for words, without those of surrogates.
-LETTERS = 0x10FFFF - 0x800
+#: Letters of the alphabet in which words are spelled; the automaton looks through a node's children one by one.
+LETTERS = 1000
 
 
 class Words:
-    """Words of a shard: bytes, numbers (equal words, equal numbers), hashes, and where each document's begin."""
+    """Words of a shard: bytes, hashes, and where each document's begin."""
 
     def __init__(self, shard: repeats.Shard):
         body = shard.text.tobytes()
         lists = [body[s:e].split() for s, e in zip(shard.bounds, shard.bounds[1:], strict=False)]
         self.words = [w for x in lists for w in x]
         self.bounds = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-        numbers: dict[bytes, int] = {}
-        self.numbers = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, len(self.words))
-        of_word = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        self.symbols = of_word[self.numbers] if len(numbers) else np.empty(0, np.uint64)
-        self.distinct = len(numbers)
+        self.symbols = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
     def stream(self, letters: int = LETTERS) -> tuple[str, int]:
-        """The words as a string with a letter for each word, or with two where one cannot tell all words apart."""
-        parts = [self.numbers] if self.distinct <= letters else [self.numbers // letters, self.numbers % letters]
-        points = np.stack(parts, 1).reshape(-1) + 1
-        points[points >= 0xD800] += 0x800
-        return points.astype("<u4").tobytes().decode("utf-32-le"), len(parts)
+        """All words, each spelled with the same number of letters (which is returned): equal words alike, unlike ones not."""
+        numbers = dict.fromkeys(self.words)
+        numbers = dict(zip(numbers, range(len(numbers)), strict=True))
+        of_word = np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words))
+        width = 1
+        while letters**width < len(numbers):
+            width += 1
+        spelled = np.stack([of_word // letters**k % letters for k in range(width)], 1)
+        return (spelled.reshape(-1) + 1).astype("<u4").tobytes().decode("utf-32-le"), width
 
 
 def window_hashes(symbols: np.ndarray, starts: np.ndarray, width: int):
@@ -97,7 +97,7 @@ class Passages:
     def located(self, words: Words, keys: np.ndarray, number: int, letters: int = LETTERS) -> np.ndarray:
         """Marks every word of an occurrence that starts after its passage's owner.
 
-        The passages are compiled into one automaton over words as letters, and every document is streamed
+        The passages are compiled into one automaton over spelled words, and every document is streamed
         through it. What it finds, and nothing else, is marked.
         """
         gone = np.zeros(len(words.words), bool)
