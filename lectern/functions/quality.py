@@ -5,40 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .language import arabic_count, latin_count
+from .language import KINDS, arabic_count, arabic_letters, latin_letters
 from .text import let
 
-LETTERS = r"[A-Za-z\u00C0-\u00FF\u0600-\u06FF]"
 WORD = r"[A-Za-z\u00C0-\u00FF\u0600-\u06FF0-9]+"
 
 
-def dominance(c: Column) -> Column:
-    """Greatest share of one letter, case aside, among the letters."""
-    letters = F.lower(F.regexp_replace(c, r"[^A-Za-z\u00C0-\u00FF\u0600-\u06FF]", ""))
+def _letters(c: Column) -> Column:
+    return F.struct(arabic_letters(c).alias("ar"), latin_letters(c).alias("la"))
+
+
+def _dominance(s: Column) -> Column:
+    """Of struct(ar, la), the letters of either script: those of a fixed alphabet are counted one by one, in place."""
 
-    def share(one: Column) -> Column:
-        each = F.filter(F.array_distinct(F.split(one, "")), lambda x: x != "")
-        most = F.array_max(F.transform(each, lambda x: F.length(one) - F.length(F.replace(one, x, F.lit("")))))
-        return F.coalesce(F.try_divide(most.cast("double"), F.length(one).cast("double")), F.lit(0.0))
+    def most(text: Column, alphabet: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(alphabet, lambda x: F.length(text) - F.length(F.replace(text, x, F.lit(""))))), F.lit(0))
 
-    # Bound once as a lambda's variable, so the letters are not extracted again for every letter.
-    return let(letters, share)
+    latin = most(s["la"], F.array(*map(F.lit, KINDS)))
+    arabic = F.when(F.length(s["ar"]) > 0, most(s["ar"], F.filter(F.array_distinct(F.split(s["ar"], "")), lambda x: x != ""))).otherwise(F.lit(0))
+    return F.coalesce(F.try_divide(F.greatest(latin, arabic).cast("double"), (F.length(s["ar"]) + F.length(s["la"])).cast("double")), F.lit(0.0))
+
+
+def dominance(c: Column) -> Column:
+    """Greatest share of one letter, case aside, among the letters."""
+    return let(_letters(c), _dominance)
 
 
 def quality_score(c: Column, language: Column) -> Column:
     """0..1 by amount, share and variety of letters and digits and the expected script, less repetition."""
     text = F.coalesce(c, F.lit(""))
-    words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lower)
-    counts = F.struct(
-        F.regexp_count(text, F.lit(LETTERS)).cast("double").alias("letters"),
-        F.regexp_count(text, F.lit(r"(?U)\d")).alias("digits"),
-        F.greatest(F.length(F.regexp_replace(text, r"(?U)\s", "")), F.lit(1)).cast("double").alias("visible"),
-        F.size(F.array_distinct(words)).alias("words"),
-        arabic_count(text).alias("ar"),
-        latin_count(text).alias("la"),
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1))
+    counted = lambda s: F.struct(
+        (F.length(s["ar"]) + F.length(s["la"])).cast("double").alias("letters"),
+        F.length(F.regexp_replace(text, r"(?U)\D+", "")).alias("digits"),
+        F.greatest(F.length(F.regexp_replace(text, r"(?U)\s+", "")), F.lit(1)).cast("double").alias("visible"),
+        F.size(F.array_distinct(F.transform(words, F.lower))).alias("words"),
+        F.length(s["ar"]).alias("ar"),
+        F.length(s["la"]).alias("la"),
         F.regexp_count(text, F.lit(r"(.)\1{5,}")).alias("runs"),
-        dominance(text).alias("dominance"),
+        _dominance(s).alias("dominance"),
     )
+    counts = let(_letters(text), counted)
 
     def scored(s: Column) -> Column:
         one, meaningful = F.lit(1.0), s["letters"] + s["digits"]

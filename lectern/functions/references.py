@@ -24,20 +24,35 @@ def document_number_prefix(c: Column) -> Column:
     return F.coalesce(*each)
 
 
+# How catalogue cells and file names write number and year, and dates.
+NUMBER_OF_YEAR = r"(?:عدد|رقم)\s*(\d{1,5})\s*(?:لسنة|سنة)\s*(\d{4})"
+YEAR_SLASH_NUMBER = r"(?i)(?:n(?:°|o)?|num(?:é|e)ro)\s*(\d{4})\s*[-/]\s*(\d{1,5})"
+NUMBER_YEAR = r"(?<!\d)(\d{1,5})[_-](\d{4})(?!\d)"
+FILE_YEAR_NUMBER, FILE_NUMBER_YEAR, FILE_DATE = r"^(\d{4})[_-](\d{1,5})(?!\d)", r"^(\d{1,5})[_-](\d{4})(?!\d)", r"^\d{4}-\d{2}-\d{2}[_-]*"
+DAY_FIRST, YEAR_FIRST = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b"
+# How an answer names its sources.
+NAMED_FILE_END = r"(?i)\s*[^.!؟\n]*[\w.-]+\.pdf[^.!؟\n]*(?:[.!؟]\s*)$"
+SOURCE_END = r"(?i)\s*\(?\s*(?:Source\s*:|المصدر\s*:).*?(?:page|الصفحة)\s*\d+\s*\)?[.۔]?\s*$"
+SOURCE_LINE, SOURCE_START = r"(?im)^\s*(?:source|المصدر)\s*:\s*(.+)$", r"(?im)^\s*(?:source|المصدر)\s*:"
+CITED_PAGE, FROM_PAGE = r"(?i)(?:الصفحة|page)\s*[:#-]?\s*(\d+)\b", r"(?i)(?:الصفحة|page)\s*[:#-]?\s*\d+\b.*$"
+THOUGHT, FINAL = r"(?is)<think\b[^>]*>.*?(?:</think>|$)", r"(?is)^.*(?:final answer|réponse finale|الإجابة النهائية)\s*:\s*"
+LEAKED = r"(?i)\[(?:context|document)\s+\d+\]|\b(?:content|excerpt):"
+
+
 def record_number(values: Column, pdf_url: Column) -> Column:
     """Number of a catalogue record from its cells, else from the file name."""
     combined = F.array_join(F.filter(values, lambda x: x != ""), " ")
     named = lambda c, p, n, y: F.when(_found(c, p).isNotNull(), F.concat(zfill(F.regexp_extract(c, p, n)), F.lit("_"), F.regexp_extract(c, p, y)))
-    pairs = r"(?<!\d)(\d{1,5})[_-](\d{4})(?!\d)"
+    pairs = NUMBER_YEAR
     last = F.element_at(F.regexp_extract_all(combined, F.lit(pairs), 0), -1)
     file = F.regexp_replace(F.element_at(F.split(url_path(pdf_url), "/"), -1), r"(?<=.)\.[^.]*$", "")
-    undated = F.regexp_replace(file, r"^\d{4}-\d{2}-\d{2}[_-]*", "")
+    undated = F.regexp_replace(file, FILE_DATE, "")
     return F.coalesce(
-        named(combined, r"(?:عدد|رقم)\s*(\d{1,5})\s*(?:لسنة|سنة)\s*(\d{4})", 1, 2),
-        named(combined, r"(?i)(?:n(?:°|o)?|num(?:é|e)ro)\s*(\d{4})\s*[-/]\s*(\d{1,5})", 2, 1),
+        named(combined, NUMBER_OF_YEAR, 1, 2),
+        named(combined, YEAR_SLASH_NUMBER, 2, 1),
         F.when(F.size(F.regexp_extract_all(combined, F.lit(pairs), 0)) > 0, F.concat(zfill(F.regexp_extract(last, pairs, 1)), F.lit("_"), F.regexp_extract(last, pairs, 2))),
-        named(undated, r"^(\d{4})[_-](\d{1,5})(?!\d)", 2, 1),
-        named(undated, r"^(\d{1,5})[_-](\d{4})(?!\d)", 1, 2),
+        named(undated, FILE_YEAR_NUMBER, 2, 1),
+        named(undated, FILE_NUMBER_YEAR, 1, 2),
         F.nullif(collapse(file), F.lit("")),
         F.lit("document"),
     )
@@ -45,8 +60,8 @@ def record_number(values: Column, pdf_url: Column) -> Column:
 
 def record_date(values: Column, pdf_url: Column) -> Column:
     combined = F.array_join(F.filter(values, lambda x: x != ""), " ")
-    iso = _found(F.concat_ws(" ", combined, url_path(pdf_url)), r"\b\d{4}-\d{2}-\d{2}\b")
-    return F.coalesce(_found(combined, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b"), iso, F.lit(""))
+    iso = _found(F.concat_ws(" ", combined, url_path(pdf_url)), YEAR_FIRST)
+    return F.coalesce(_found(combined, DAY_FIRST), iso, F.lit(""))
 
 
 def record_title(values: Column, number: Column, date: Column) -> Column:
@@ -58,30 +73,30 @@ def record_title(values: Column, number: Column, date: Column) -> Column:
 
 def evidence_terms(c: Column) -> Column:
     """Distinct numbers and words of two letters or more that are no stop-words."""
-    terms = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|[a-zÀ-ÿ]{2,}|[ء-ي]{2,})"), 1)
+    terms = F.regexp_extract_all(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(r"(\d+|[a-zÀ-ÿ]{2,}|[ء-ي]{2,})"), 1)
     return F.array_except(terms, F.array(*map(F.lit, P.EVIDENCE_STOPWORDS)))
 
 
 def strip_trailing_source(c: Column) -> Column:
-    named = rstrip(F.regexp_replace(c, r"(?i)\s*[^.!؟\n]*[\w.-]+\.pdf[^.!؟\n]*(?:[.!؟]\s*)$", ""))
-    return rstrip(F.regexp_replace(named, r"(?i)\s*\(?\s*(?:Source\s*:|المصدر\s*:).*?(?:page|الصفحة)\s*\d+\s*\)?[.۔]?\s*$", ""))
+    named = rstrip(F.regexp_replace(c, NAMED_FILE_END, ""))
+    return rstrip(F.regexp_replace(named, SOURCE_END, ""))
 
 
 def citation_line(c: Column) -> Column:
-    return strip(_found(c, r"(?im)^\s*(?:source|المصدر)\s*:\s*(.+)$", 1))
+    return strip(_found(c, SOURCE_LINE, 1))
 
 
 def cited_page(c: Column) -> Column:
-    return F.regexp_extract(citation_line(c), r"(?i)(?:الصفحة|page)\s*[:#-]?\s*(\d+)\b", 1).try_cast("int")
+    return F.regexp_extract(citation_line(c), CITED_PAGE, 1).try_cast("int")
 
 
 def cited_source(c: Column) -> Column:
-    before = F.regexp_replace(citation_line(c), r"(?i)(?:الصفحة|page)\s*[:#-]?\s*\d+\b.*$", "")
+    before = F.regexp_replace(citation_line(c), FROM_PAGE, "")
     return F.nullif(strip(F.regexp_replace(before, r"[ ،,.\-]+$", "")), F.lit(""))
 
 
 def answer_body(c: Column) -> Column:
-    return F.element_at(F.split(c, r"(?im)^\s*(?:source|المصدر)\s*:", 2), 1)
+    return F.element_at(F.split(c, SOURCE_START, 2), 1)
 
 
 def is_unavailable(c: Column) -> Column:
@@ -95,8 +110,8 @@ def unavailable_answer(question: Column) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """An answer without thinking, fences and reasoning lines; what follows the last final marker if there is one."""
-    bare = F.replace(F.regexp_replace(c, r"(?is)<think\b[^>]*>.*?(?:</think>|$)", ""), F.lit("`" * 3), F.lit(""))
-    final = F.regexp_replace(bare, r"(?is)^.*(?:final answer|réponse finale|الإجابة النهائية)\s*:\s*", "")
+    bare = F.replace(F.regexp_replace(c, THOUGHT, ""), F.lit("`" * 3), F.lit(""))
+    final = F.regexp_replace(bare, FINAL, "")
     lines = F.transform(F.split(final, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(P.REASONING_LINE)), "\n")
 
@@ -122,7 +137,7 @@ def long_copy(answer: Column, chunk: Column, size: int = 240, step: int = 120) -
 
 def needs_repair(answer: Column, language_matches: Column, copied: Column, words: int = 120) -> Column:
     lines = F.split(F.coalesce(answer, F.lit("")), r"\R")
-    leaked = answer.rlike(r"(?i)\[(?:context|document)\s+\d+\]|\b(?:content|excerpt):")
+    leaked = answer.rlike(LEAKED)
     reasoning = F.exists(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+", "").rlike(P.REASONING_LINE))
     empty = F.coalesce(answer, F.lit("")) == ""
     return empty | ~language_matches | (F.size(F.split(collapse(answer), " ")) > words) | leaked | reasoning | copied

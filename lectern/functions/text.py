@@ -84,5 +84,29 @@ def strip_source_footer(c: Column) -> Column:
     return F.regexp_replace(c, r"(?is)\n+\s*(?:sources?|documents?|r[eé]f[eé]rences?|المصدر|المصادر)\s*[:：].*$", "")
 
 
+#: Lines at an answer's end among which a footer is looked for.
+FOOTER_LINES = 8
+
+
+def shown_answer(c: Column) -> Column:
+    """An answer as it is shown: cut at the last line that begins a footer and is followed by a page or document.
+
+    Only the last FOOTER_LINES lines can begin one.
+    """
+    text = strip(F.replace(c, F.lit("\r\n"), F.lit("\n")))
+    label = r"(?i)^\s*(?:sources?|documents?|références?|المصدر|المصادر)\s*[:：]"
+    named = r"(?i)(?:\bpages?\s*[:：]?\s*\d+|(?:الصفحة|صفحة)\s*[:：]?\s*\d+)|(?:\.pdf\b|\b\d{1,4}[_/-]\d{4}\b)"
+
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        rest = lambda k: F.array_join(F.slice(lines, k + 1, n), "\n")
+        places = F.sequence(F.greatest(n - FOOTER_LINES, F.lit(0)), n - 1)
+        footers = F.filter(places, lambda k: F.get(lines, k).rlike(label) & rest(k).rlike(named))
+        last = F.array_max(footers)
+        return F.when(last.isNull(), F.array_join(lines, "\n")).otherwise(rstrip(F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(0))), "\n")))
+
+    return let(F.split(text, "\n"), cut)
+
+
 def ellipsis(c: Column, limit: int = 70) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…")))

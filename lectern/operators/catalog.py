@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.language import record_language, url_path
 from ..functions.references import record_date, record_number, record_title
-from ..functions.language import record_language
+
+
+def is_official(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a URL's host is one of the official ones."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(*hosts), F.lit(False))
+
+
+def is_document_url(url: Column) -> Column:
+    """Whether a URL's path names a PDF anywhere, whatever the case."""
+    return F.lower(url_path(url)).contains(".pdf")
+
+
+def crawl(pages: DataFrame, links: DataFrame, start: str, limit: int = 20, url: str = "url") -> DataFrame:
+    """(url, place) of the pages that a crawl from `start` visits: first come, first served, `limit` at most.
+
+    `pages` are those that can be fetched, `links` (page_url, link) what they point at. A page's links join
+    the queue in alphabetical order, each once; what cannot be fetched takes no place. Each round is a level
+    of the queue joined with both tables, so there are at most `limit` rounds, and the driver holds at most
+    `limit` rows, as the feature says.
+    """
+    spark = pages.sparkSession
+    have = pages.select(F.col(url).alias("url")).distinct()
+    level = spark.createDataFrame([(start, 0)], "url string, turn long").join(have, "url").collect()
+    visited = [r["url"] for r in level]
+    while level and len(visited) < limit:
+        turns = spark.createDataFrame([(r["url"], r["turn"]) for r in level], "page_url string, turn long")
+        known = spark.createDataFrame([(u,) for u in visited], "url string")
+        found = links.join(F.broadcast(turns), "page_url").groupBy(F.col("link").alias("url")).agg(F.min("turn").alias("turn"))
+        found = found.join(F.broadcast(known), "url", "left_anti").join(have, "url", "left_semi")
+        level = found.orderBy("turn", "url").limit(limit - len(visited)).collect()
+        level = [{"url": r["url"], "turn": len(visited) + k} for k, r in enumerate(level)]
+        visited += [r["url"] for r in level]
+    return spark.createDataFrame([(u, k) for k, u in enumerate(visited)], "url string, place long")
 
 
 def first_by_url(records: DataFrame, url: str = "pdf_url", order: str = "ordinal") -> DataFrame:
@@ -42,16 +75,33 @@ def unique_names(rows: DataFrame, name: str, digest: str, order: str) -> DataFra
 
 
 def counters(rows: DataFrame) -> DataFrame:
-    """One row: records by action and by language."""
+    """One row: records by action and by language, renamed and failed downloads. `rows` may have error, name, destination."""
+    ok = F.col("error").isNull() if "error" in rows.columns else F.lit(True)
+    moved = F.col("destination") != F.col("name") if "destination" in rows.columns else F.lit(False)
+    fetched = F.col("action") == "download"
     return rows.agg(
-        *[F.count_if(F.col("action") == a).alias(a) for a in ("download", "skip_url", "duplicate_hash")],
+        F.count("*").alias("discovered"), F.count_if(fetched & ok).alias("download"), F.count_if(fetched & ~ok).alias("failed"),
+        F.count_if(F.col("action").isin("skip_url", "duplicate_hash")).alias("skipped"),
+        *[F.count_if(F.col("action") == a).alias(a) for a in ("skip_url", "duplicate_hash")],
+        F.count_if(fetched & ok & moved).alias("collisions"),
         *[F.count_if(F.col("language") == x).alias(f"language_{x}") for x in ("ar", "fr")],
-    )
+    )
+
+
+def metadata_rows(records: DataFrame, root: str) -> DataFrame:
+    """Catalogue rows of downloads: `records` has the nine fields with local_path as a full path, which becomes relative to `root`."""
+    from ..sources.files import METADATA_FIELDS, relative_to
+
+    rows = records.withColumn("local_path", relative_to(F.col("local_path"), root))
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in METADATA_FIELDS))
 
 
 def records_from_values(rows: DataFrame) -> DataFrame:
-    """Catalogue records of `rows` (values array<string>, pdf_url, page_url)."""
+    """Catalogue records of `rows` (values array<string>, pdf_url, page_url); cells `named` by a header come before what is inferred."""
     v, url = F.col("values"), F.col("pdf_url")
     out = rows.withColumn("document_number", record_number(v, url)).withColumn("date", record_date(v, url))
-    out = out.withColumn("title", record_title(v, F.col("document_number"), F.col("date")))
+    named = lambda f: F.try_element_at("named", F.lit(f)) if "named" in rows.columns else F.lit(None).cast("string")
+    title = record_title(v, F.col("document_number"), F.col("date"))
+    out = out.withColumns({"title": F.coalesce(named("title"), title)})
+    out = out.withColumns({f: F.coalesce(named(f), F.col(f)) for f in ("document_number", "date")})
     return out.withColumn("language", record_language(F.col("title"), url, F.col("page_url")))

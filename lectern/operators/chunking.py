@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import language as L
 from ..functions import quality as Q
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def windows_of(text: Column, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap) -> Column:
@@ -72,13 +72,11 @@ def document_language(pages: DataFrame, by: str = "relative_path") -> DataFrame:
     """(by, language, language_source) from file name, the text of all pages, then the folder.
 
     Script counts are sums over pages, so the text is never put together: shares come from the sums, the
-    kinds of Latin letters from the union of each page's.
+    kinds of Latin letters from the OR of each page's mask.
     """
-    ar, la = L.arabic_count(F.col("text")), L.latin_count(F.col("text"))
-    kinds = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({L.LATIN})"), 1), F.lower))
-    per = pages.groupBy(by, "source", "folder").agg(F.sum(ar).alias("ar"), F.sum(la).alias("la"), F.size(F.array_distinct(F.flatten(F.collect_set(kinds)))).alias("kinds"))
-    total = F.col("ar") + F.col("la")
-    script = F.when(total < 10, None).when(L.share(F.col("ar"), total) >= 0.3, "ar").when((L.share(F.col("la"), total) >= 0.7) & (F.col("kinds") >= 4), "fr")
+    per = pages.select(by, "source", "folder", L.scripts(F.col("text")).alias("s"))
+    per = per.groupBy(by, "source", "folder").agg(F.struct(F.sum("s.ar").alias("ar"), F.sum("s.la").alias("la"), F.bit_or("s.mask").alias("mask")).alias("s"))
+    script = L.language_of_scripts(F.col("s"))
     named = L.filename_language(F.col("source"))
     inherited = F.when(F.col("folder").isin("ar", "fr"), F.col("folder"))
     origin = F.when(named.isNotNull(), "filename").when(script.isNotNull(), "text").when(inherited.isNotNull(), "inherited").otherwise("unknown")
@@ -94,13 +92,19 @@ def chunk_table(pages: DataFrame, metadata: DataFrame | None = None, config: Eng
     """
     docs = document_language(pages)
     rows = pages.join(docs, "relative_path")
-    page = L.detect_language(F.coalesce("text", F.lit("")), F.col("source"), F.col("document_language"))
+    page = L.detect_language(L.scripts(F.coalesce("text", F.lit(""))), F.col("source"), F.col("document_language"))
     rows = rows.withColumn("page_language", page["language"])
     chunks = split_pages(rows, config)
-    told = L.detect_language(F.col("document"), F.col("source"), F.col("page_language"))
-    chunks = chunks.withColumn("_l", told).withColumn("language", F.col("_l.language")).withColumn("language_source", F.col("_l.language_source"))
-    readable = L.is_readable(F.col("document"), F.col("language")) & (F.col("extraction_quality") >= config.usable_quality)
-    chunks = chunks.withColumn("readable", readable).withColumn("arabic_ratio", L.arabic_ratio(F.col("document")))
+    # Scripts are counted once for each chunk: its language, readability and ratio all come from them.
+    def told(s):
+        return let(
+            L.detect_language(s, F.col("source"), F.col("page_language")),
+            lambda d: F.struct(d["language"].alias("language"), d["language_source"].alias("language_source"), L.readable_scripts(s, d["language"]).alias("readable"), L.arabic_ratio(s).alias("arabic_ratio")),
+        )
+
+    chunks = chunks.withColumn("_l", let(L.scripts(F.col("document")), told))
+    sound = F.col("extraction_quality") >= config.usable_quality
+    chunks = chunks.withColumns({"language": F.col("_l.language"), "language_source": F.col("_l.language_source"), "readable": F.col("_l.readable") & sound, "arabic_ratio": F.col("_l.arabic_ratio")})
     chunks = chunks.withColumn("ocr_used", F.col("extraction_method").startswith("ocr_"))
     names = ["source_url", "source_page_url", "document_number", "document_title"]
     if metadata is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import is_follow_up, rewrite_question
+from ..functions.text import email, session_title, strip
 from ..functions.unicode import follow_up_udf
 
 
@@ -45,6 +46,46 @@ def claim(sessions: DataFrame, session_id, user_id) -> DataFrame:
     return sessions.withColumn("user_id", F.when(mine, F.lit(user_id)).otherwise(F.col("user_id")))
 
 
+def create_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """`sessions` and the new ones (id, user_id, first message, created_at): their title is the message's beginning."""
+    made = new.select("id", "user_id", session_title(F.col("first")).alias("title"), "created_at", F.col("created_at").alias("updated_at"))
+    return sessions.unionByName(made.select(*sessions.columns))
+
+
+def create_users(users: DataFrame, new: DataFrame) -> DataFrame:
+    """`users` and those of the new ones whose normalised address nobody has; of several with one address the first by id.
+
+    Passwords come hashed: the engine neither sees nor stores them in the clear.
+    """
+    rows = new.withColumns({"email": email(F.col("email")), "full_name": strip(F.col("full_name"))})
+    rows = rows.join(users.select("email"), "email", "left_anti")
+    first = F.row_number().over(Window.partitionBy("email").orderBy("id"))
+    rows = rows.withColumn("_n", first).where("_n = 1").withColumn("is_active", F.lit(True))
+    return users.unionByName(rows.select(*users.columns))
+
+
+def session_by_id(sessions: DataFrame, session_id) -> DataFrame:
+    return sessions.where(F.col("id") == F.lit(session_id))
+
+
+def session_for_user(sessions: DataFrame, session_id, user_id) -> DataFrame:
+    """A session if it is the user's own; an anonymous user's if it has no owner."""
+    return session_by_id(sessions, session_id).where(owned_by(F.col("user_id"), F.lit(user_id)))
+
+
+def user_by_email(users: DataFrame, address: str) -> DataFrame:
+    """Addresses are compared in their normalised form, in which they are stored."""
+    return users.where(F.col("email") == email(F.lit(address)))
+
+
+def user_by_id(users: DataFrame, user_id) -> DataFrame:
+    return users.where(F.col("id") == F.lit(user_id))
+
+
+def users_by_age(users: DataFrame) -> DataFrame:
+    return users.orderBy("created_at", "id")
+
+
 def append_message(messages: DataFrame, sessions: DataFrame, new: DataFrame) -> DataFrame:
     """`messages` and those of `new` whose session exists."""
     known = new.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")

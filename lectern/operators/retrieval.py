@@ -5,13 +5,15 @@ Every operator takes any number of questions at once: all windows are partitione
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 
 KEY = ["question_id"]
-#: Questions that are broadcast to the chunk scan; beyond, Spark plans the join.
+#: Questions that are broadcast to a pass over the chunks.
 BROADCAST_QUESTIONS = 10_000
 
 
@@ -25,15 +27,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.round(1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
 
 
-def scored(chunks: DataFrame, questions: DataFrame, condition: Column | None = None) -> DataFrame:
+def scored(chunks: DataFrame, questions: DataFrame, condition: Column | None = None, block: int = BROADCAST_QUESTIONS) -> DataFrame:
     """Every chunk that may answer a question with its distance. `questions`: question_id, query, ... .
 
-    The stated questions meet all chunks in one pass over the chunk table; filters on chunk columns stay
-    below the join and reach the scan.
+    The stated questions meet all chunks in one pass over the chunk table: `block` questions at most are
+    broadcast, more are dealt to blocks by hash, with a pass for each. Filters on chunk columns stay below
+    the join and reach the scan.
     """
-    few = questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
-    side = F.broadcast(questions) if few else questions
-    pairs = chunks.join(side, F.lit(True) if condition is None else condition)
+    on = F.lit(True) if condition is None else condition
+    n = -(-questions.count() // block) or 1
+    of = F.pmod(F.xxhash64("question_id"), F.lit(n))
+    parts = [chunks.join(F.broadcast(questions.where(of == k) if n > 1 else questions), on) for k in range(n)]
+    pairs = reduce(DataFrame.unionByName, parts)
     return pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("query"))).drop("embedding", "query")
 
 
@@ -64,46 +69,58 @@ def language_ranked(rows: DataFrame, bonus: float = DEFAULT.language_bonus) -> D
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(w))
 
 
-def select_context(ranked: DataFrame, config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
-    """What of the ranked chunks goes to the answer; `ranked` has rank, expand (boolean), source, page.
-
-    The first k are selected. If the first two have one source and their pages are adjacent, or expand
-    is set, all ranked chunks of that source on a selected or adjacent page are taken, 4 at most. If
-    they have two sources and the second is farther by the gap, only the first is taken.
-    """
-    k = k or config.top_k
-    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
-    first = ranked.where(F.col("rank") <= k).groupBy(*KEY).agg(
-        at(1, "source").alias("s1"), at(2, "source").alias("s2"), at(1, "page").alias("p1"), at(2, "page").alias("p2"),
-        at(1, "distance").alias("d1"), at(2, "distance").alias("d2"), F.bool_or("expand").alias("any_expand"), F.count("*").alias("n"), F.array_agg("page").alias("pages"),
+def _context_places(ranked: DataFrame, config: EngineConfig, k: int) -> DataFrame:
+    """Adds mode and place (null: not selected) to rows with rank (null: no candidate), in windows of a question."""
+    w = Window.partitionBy(*KEY)
+    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c))).over(w)
+    chosen = F.col("rank") <= k
+    rows = ranked.withColumns(
+        {
+            "_s1": at(1, "source"), "_s2": at(2, "source"), "_p1": at(1, "page"), "_p2": at(2, "page"), "_d1": at(1, "distance"), "_d2": at(2, "distance"),
+            "_any": F.coalesce(F.bool_or(F.when(chosen, F.col("expand"))).over(w), F.lit(False)),
+            "_of": F.count_if(chosen).over(w), "_pages": F.collect_list(F.when(chosen, F.col("page"))).over(w),
+        }
     )
-    near = F.abs(F.col("p1") - F.col("p2")) <= 1
+    near = F.abs(F.col("_p1") - F.col("_p2")) <= 1
     mode = (
-        F.when((F.col("n") < 2) | (F.lit(k) < 2), "plain")
-        .when(F.col("s1") == F.col("s2"), F.when(near | F.col("any_expand"), "expand").otherwise("plain"))
-        .when(F.round(F.col("d2") - F.col("d1"), 6) >= config.distance_gap, "first")
+        F.when((F.col("_of") < 2) | (F.lit(k) < 2), "plain")
+        .when(F.col("_s1") == F.col("_s2"), F.when(near | F.col("_any"), "expand").otherwise("plain"))
+        .when(F.round(F.col("_d2") - F.col("_d1"), 6) >= config.distance_gap, "first")
         .otherwise("plain")
     )
-    told = ranked.join(first.withColumn("mode", mode), KEY)
-    beside = F.exists("pages", lambda p: F.abs(F.col("page") - p) <= 1)
+    beside = F.exists("_pages", lambda p: F.abs(F.col("page") - p) <= 1)
     keep = (
-        F.when(F.col("mode") == "expand", (F.col("source") == F.col("s1")) & beside)
+        F.when(F.col("mode") == "expand", (F.col("source") == F.col("_s1")) & beside)
         .when(F.col("mode") == "first", F.col("rank") == 1)
-        .otherwise(F.col("rank") <= k)
+        .otherwise(chosen)
     )
-    w = Window.partitionBy(*KEY).orderBy("rank")
-    out = told.where(keep).withColumn("place", F.row_number().over(w))
-    return out.where((F.col("mode") != "expand") | (F.col("place") <= config.context_chunks)).select(*ranked.columns, "mode", "place")
+    rows = rows.withColumn("mode", mode).withColumn("_keep", F.coalesce(keep & F.col("rank").isNotNull(), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*KEY, "_keep").orderBy("rank"))
+    place = F.when(F.col("_keep") & ((F.col("mode") != "expand") | (place <= config.context_chunks)), place)
+    return rows.withColumn("place", place).drop("_s1", "_s2", "_p1", "_p2", "_d1", "_d2", "_any", "_of", "_pages", "_keep")
+
+
+def select_context(ranked: DataFrame, config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
+    """What of the ranked chunks goes to the answer; `ranked` has rank, expand (boolean), source, page.
+
+    The first k are selected. If the first two have one source and their pages are adjacent, or expand
+    is set, all ranked chunks of that source on a selected or adjacent page are taken, 4 at most. If
+    they have two sources and the second is farther by the gap, only the first is taken.
+    """
+    return _context_places(ranked, config, k or config.top_k).where(F.col("place").isNotNull())
 
 
 def foreign_best(rows: DataFrame, limit: int = 2) -> DataFrame:
-    """Best chunk of each source in another language than the question's, the nearest `limit` of them."""
-    other = rows.where(F.col("language") != F.col("question_language"))
+    """Best chunk of each source in another language than the question's, or in none, the nearest `limit` of them."""
+    other = rows.where(~F.col("language").eqNullSafe(F.col("question_language")))
     w = Window.partitionBy(*KEY, "source").orderBy("distance", "id")
     each = other.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *({"rank"} & set(rows.columns)))
     return top_k(each, limit)
 
 
+ROUTED, OWN, WIDE = range(3)
+
+
 def search(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """The whole search for a batch of questions (question_id, query, question_language, prefix, expand).
 
@@ -111,30 +128,52 @@ def search(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAU
     it finds there. Others rank the nearest chunks of their own language together with the nearest of
     all; chunks marked unreadable are dropped after the global limit, not before. A weak best match in
     the own language lets the best foreign documents in.
+
+    One pass: every chunk is scored once, and a partial top-k keeps a few rows for each question and each
+    of the three ways to find them. All that follows are windows over these rows, partitioned by question.
     """
     k = k or config.top_k
-    pairs = scored(chunks, questions)
-    routed = pairs.where("prefix is not null and startswith(lower(source), lower(prefix)) and readable")
-    routed = top_k(routed, max(4 * k, 8)).withColumn("expand", F.lit(False))
-    answered = routed.select(*KEY).distinct()
-
-    open_ = pairs.join(answered, KEY, "left_anti")
-    own = top_k(open_.where("language = question_language and readable"), k).withColumn("_from", F.lit(0))
-    wide = top_k(open_, max(10 * k, 20)).where("coalesce(readable, true)").withColumn("_from", F.lit(1))
-    both = first_of_each(own.unionByName(wide), ["_from", "rank"]).drop("_from")
-    chosen = select_context(language_ranked(both.drop("rank")), config, k)
-    weak = questions.select(*KEY).join(own.groupBy(*KEY).agg(F.min("distance").alias("best")), KEY, "left")
-    weak = weak.where(F.coalesce("best", F.lit(1.0)) > config.weak_match).select(*KEY)
-    extra = foreign_best(wide.drop("_from")).join(weak, KEY, "left_semi")
-    names = ["question_id", "id", "source", "page", "chunk", "language", "distance"]
-    chosen = chosen.join(weak.withColumn("_weak", F.lit(True)), KEY, "left").where(F.col("_weak").isNull() | (F.col("place") <= k))
-    merged = chosen.select(*names, F.lit(0).alias("_part"), F.col("place").alias("_at")).unionByName(
-        extra.select(*names, F.lit(1).alias("_part"), F.col("rank").alias("_at"))
-    )
-    merged = first_of_each(merged, ["_part", "_at"], max(config.context_chunks, k))
-    found = select_context(routed, config, k).select(*names, F.lit(0).alias("_part"), F.col("place").alias("_at"))
-    w = Window.partitionBy(*KEY).orderBy("_part", "_at")
-    return found.unionByName(merged).withColumn("place", F.row_number().over(w)).select(*names, "place")
+    names = ["id", "source", "page", "chunk", "language", "distance"]
+    pairs = scored(chunks, questions).select(*KEY, *names, "readable", "question_language", "prefix", "expand")
+    named = F.col("prefix").isNotNull() & F.startswith(F.lower("source"), F.lower("prefix")) & F.col("readable")
+    own = (F.col("language") == F.col("question_language")) & F.col("readable")
+    ways = F.array_compact(F.array(F.when(named, ROUTED), F.when(own, OWN), F.lit(WIDE)))
+    limits = {ROUTED: max(4 * k, 8), OWN: k, WIDE: max(10 * k, 20)}
+    way = F.col("_way")
+    rows = top_k_by_way(pairs.withColumn("_way", F.explode(ways)), max(limits.values()))
+    rows = rows.where(F.col("rank") <= F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[way])
+
+    q = Window.partitionBy(*KEY)
+    rows = rows.withColumn("_routed", F.bool_or(way == ROUTED).over(q))
+    rows = rows.where(F.when(F.col("_routed"), way == ROUTED).otherwise((way == OWN) | (way == WIDE) & F.coalesce("readable", F.lit(True))))
+    rows = rows.withColumn("expand", F.col("expand") & ~F.col("_routed"))
+    # Candidates: all that a number led to; else each (source, page, chunk) once, own language first.
+    once = F.row_number().over(Window.partitionBy(*KEY, "source", "page", "chunk").orderBy("_way", "rank")) == 1
+    bonus = F.when((F.col("language") == F.col("question_language")) & ~F.col("_routed"), config.language_bonus).otherwise(0.0)
+    rows = rows.withColumn("_candidate", F.col("_routed") | once).withColumn("_score", F.round(F.col("distance") - bonus, 6))
+    place = F.row_number().over(Window.partitionBy(*KEY, "_candidate").orderBy("_score", "distance", "id"))
+    rows = _context_places(rows.withColumn("rank", F.when(F.col("_candidate"), place)), config, k)
+
+    best = F.min(F.when(way == OWN, F.col("distance"))).over(q)
+    rows = rows.withColumn("_weak", ~F.col("_routed") & (F.coalesce(best, F.lit(1.0)) > config.weak_match))
+    rows = rows.withColumn("_foreign", (way == WIDE) & ~F.col("language").eqNullSafe(F.col("question_language")))
+    rows = rows.withColumn("_foreign", F.col("_foreign") & (F.row_number().over(Window.partitionBy(*KEY, "_foreign", "source").orderBy("distance", "id")) == 1))
+    nth = F.row_number().over(Window.partitionBy(*KEY, "_foreign").orderBy("distance", "id"))
+    extra = F.when(F.col("_weak") & F.col("_foreign") & (nth <= 2), nth)
+    first = F.when(~F.col("_weak") | (F.col("place") <= k), F.col("place"))
+    rows = rows.withColumn("_extra", extra).withColumn("_at", F.when(first.isNotNull(), F.struct(F.lit(0).alias("part"), first.alias("at"))).when(F.col("_extra").isNotNull(), F.struct(F.lit(1).alias("part"), F.col("_extra").alias("at"))))
+    rows = rows.where(F.col("_at").isNotNull())
+    once = F.row_number().over(Window.partitionBy(*KEY, "source", "page", "chunk").orderBy("_at", "id"))
+    rows = rows.withColumn("_once", once).where(F.col("_routed") | (F.col("_once") == 1))
+    rows = rows.withColumn("place", F.row_number().over(q.orderBy("_at", "id")))
+    rows = rows.where(F.col("_routed") | (F.col("place") <= max(config.context_chunks, k)))
+    return rows.select(*KEY, *names, "place")
+
+
+def top_k_by_way(rows: DataFrame, k: int) -> DataFrame:
+    """First k rows of each question and way of finding them; tasks drop the rest before they are exchanged."""
+    w = Window.partitionBy(*KEY, "_way").orderBy("distance", "id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def format_context(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -16,10 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of up to so many bytes are dealt to all cores before work on their texts.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may be one row group and so one task, in a partition for each core; larger ones as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 1 << 20 < size <= SMALL_BYTES else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages: one file for each source and language, doc_id as the page's number."""
     file = F.concat("source", F.lit("_"), "lang", F.lit(".pdf"))
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return docs.select(
         "doc_id", file.alias("source"), F.concat("lang", F.lit("/"), file).alias("relative_path"), F.col("lang").alias("folder"),
         (F.col("doc_id") + 1).cast("int").alias("page"), "text",
@@ -48,12 +58,12 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable chunks: embeddings with the document of the same number; readable from its label (may be null)."""
+    """Searchable chunks: embeddings with the document of the same number; readable from its label (may be null), and some without a language."""
     docs = pages(spark, sf_dir).select("doc_id", "source", "folder", "page", F.col("text").alias("content"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).join(labels, "doc_id", "left")
     return rows.select(
-        F.col("vec_id").alias("id"), "embedding", "source", (F.col("page") % 7).alias("page"), F.lit(0).alias("chunk"), F.col("folder").alias("language"),
+        F.col("vec_id").alias("id"), "embedding", "source", (F.col("page") % 7).alias("page"), F.lit(0).alias("chunk"), F.when(F.col("doc_id") % 11 != 5, F.col("folder")).alias("language"),
         (F.col("quality") == 1).alias("readable"), "content",
     )
 

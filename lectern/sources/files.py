@@ -27,12 +27,30 @@ def is_pdf(content):
     return F.substring(content, 1, 5) == F.lit(b"%PDF-")
 
 
+def checked_downloads(files: DataFrame) -> DataFrame:
+    """content_sha256 of fetched files (path, content), and error where a file is empty or no PDF."""
+    why = F.when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "empty file").when(~is_pdf(F.col("content")), "not a PDF")
+    return files.select("path", F.octet_length("content").cast("long").alias("length"), F.when(why.isNull(), F.sha2("content", 256)).alias("content_sha256"), why.alias("error"))
+
+
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """content_sha256 and the first path that has it."""
+    """content_sha256 and the first path that has it. Files are hashed where they are read, up to Spark's 2 GB a cell."""
     files = scan_files(spark, root, pattern, content=True).withColumn("content_sha256", F.sha2("content", 256))
     return files.groupBy("content_sha256").agg(F.min("path").alias("path"), F.count("*").alias("files"))
 
 
+def relative_to(path, root: str):
+    """A path below `root` without it; any other path as it is."""
+    below = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(below)), F.substring(path, F.lit(len(below) + 1), F.length(path))).otherwise(path)
+
+
+def full_path(path, root: str):
+    """The place of a catalogue row's file: null for blank paths, absolute ones as they are, others below `root`."""
+    bare = F.btrim(F.coalesce(path, F.lit("")))
+    return F.when(bare == "", F.lit(None).cast("string")).when(bare.startswith("/") | bare.rlike("^[a-z][a-z0-9+.-]*:/"), bare).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), bare))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue CSV, all strings, with the line's ordinal in its file."""
     rows = spark.read.schema(METADATA).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -42,8 +60,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 def metadata_by_path(metadata: DataFrame, root: str) -> DataFrame:
     """Last row of each file below `root`, by relative_path; rows without a path or outside it go."""
     below = root.rstrip("/") + "/"
-    rows = metadata.where((F.coalesce(F.btrim("local_path"), F.lit("")) != "") & F.startswith("local_path", F.lit(below)))
-    rows = rows.withColumn("relative_path", F.substring("local_path", F.lit(len(below) + 1), F.length("local_path")))
+    rows = metadata.withColumn("_full", full_path(F.col("local_path"), root)).where(F.startswith("_full", F.lit(below)))
+    rows = rows.withColumn("relative_path", relative_to(F.col("_full"), root))
     last = rows.groupBy("relative_path").agg(F.max_by(F.struct(*METADATA_FIELDS), "ordinal").alias("r"))
     return last.select(
         "relative_path", F.col("r.pdf_url").alias("source_url"), F.col("r.source_page").alias("source_page_url"), "r.document_number", F.col("r.title").alias("document_title")
@@ -79,3 +97,24 @@ def write_report(report: DataFrame, path: str) -> None:
 def with_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Schema evolution: missing columns are added as null."""
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
+
+
+def safe_where(df: DataFrame, condition: str) -> DataFrame:
+    """Rows that a filter keeps; none where the table cannot answer it, for want of a column or a type that fits."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return df.where(condition)
+    except AnalysisException:
+        return df.limit(0)
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """(place, line): the one row of a summary as `name: value` lines, lists with their members below, for a console."""
+    each = []
+    for k, f in enumerate(summary.schema):
+        value = F.coalesce(F.col(f.name).cast("string"), F.lit("-")) if not isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.to_json(F.struct(f.name))
+        if isinstance(f.dataType, T.ArrayType):
+            value = F.concat(F.size(f.name).cast("string"), F.array_join(F.transform(f.name, lambda x: F.concat(F.lit("\n  - "), x.cast("string"))), ""))
+        each.append(F.struct(F.lit(k).alias("place"), F.concat(F.lit(f.name + ": "), value).alias("line")))
+    return summary.select(F.explode(F.array(*each)).alias("l")).select("l.*").orderBy("place")

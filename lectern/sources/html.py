@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +52,7 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("")
+        self.open = Counter()  # elements from the root to `at`, so that stray end tags cost nothing
         self.feed(html)
         self.close()
 
@@ -58,21 +61,21 @@ class Tree(HTMLParser):
         self.at.items.append(child)
         if tag not in VOID:
             self.at = child
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        x = self.at
-        while x is not None and x.name != tag:
-            x = x.parent
-        if x is not None and x.parent is not None:
-            self.at = x.parent
+        if self.open[tag]:
+            while self.at.name != tag:
+                self.open[self.at.name] -= 1
+                self.at = self.at.parent
+            self.open[tag] -= 1
+            self.at = self.at.parent
 
     def handle_data(self, data):
         self.at.items.append(data)
 
 
 def is_document(url: str, hosts) -> bool:
-    from urllib.parse import urlsplit
-
     parts = urlsplit(url)
     return ".pdf" in parts.path.lower() and (parts.hostname or "") in hosts
 
@@ -116,7 +119,8 @@ def rows_of(html: str, page_url: str, hosts):
             continue
         seen.add(url)
         box = a.ancestor("li", "p", "td")
-        stem = url.rpartition("/")[2].rpartition(".")[0]
+        name = urlsplit(url).path.rstrip("/").rpartition("/")[2]
+        stem = name.rpartition(".")[0] or name
         labels = (a.text(), box.text() if box is not None else "", stem)
         yield [next((x for x in labels if x.casefold() not in GENERIC_LABELS), "")], {}, url
 
@@ -138,16 +142,13 @@ def records(pages: DataFrame, hosts: tuple[str, ...], **columns) -> DataFrame:
     from ..operators.catalog import records_from_values
 
     made = records_from_values(page_rows(pages, hosts, **columns))
-    over = lambda f: F.coalesce(F.try_element_at("named", F.lit(f)), F.col(f))
-    return made.select(over("document_number").alias("document_number"), over("date").alias("date"), over("title").alias("title"), "language", "pdf_url", F.col("page_url").alias("source_page"))
+    return made.select("document_number", "date", "title", "language", "pdf_url", F.col("page_url").alias("source_page"))
 
 
 def relevant_links(pages: DataFrame, slug: str, hosts: tuple[str, ...], url: str = "url", html: str = "html") -> DataFrame:
     """Distinct links to official pages, no documents, whose path holds the topic's slug."""
 
     def run(batches):
-        from urllib.parse import urlsplit
-
         for b in batches:
             out = set()
             for u, h in zip(b["url"], b["html"], strict=True):

@@ -93,8 +93,9 @@ def test_evaluation(spark):
     assert (x["facts"], x["matched"], x["ratio"]) == (2, 1, 0.5)
     needed = spark.range(0, 12).select(evaluation.facts_needed(F.col("id"), F.lit(None))).collect()
     assert [r[0] for r in needed] == [max(1, (n * 7 + 9) // 10) for n in range(12)]
-    signal = spark.createDataFrame([(1, "Cela n'est pas disponible"), (2, "Oui")], "k int, a string")
-    assert {r["k"]: r["unavailable"] for r in evaluation.unavailable_signal(signal, "a", "k").collect()} == {1: True, 2: False}
+    signal = spark.createDataFrame([(1, "Cela n'est pas disponible"), (2, "Oui"), (3, "Oui\nSource: non disponible"), (4, None)], "k int, a string")
+    told = signal.select("k", evaluation.unavailable_signal(F.col("a")).alias("u"))
+    assert {r["k"]: r["u"] for r in told.collect()} == {1: True, 2: False, 3: False, 4: None}
     failed = spark.createDataFrame([("e", None, None)], "error string, citation_honest boolean, hallucination_risk string")
     assert tuple(evaluation.with_error_defaults(failed).first())[1:] == (False, "high")
 
