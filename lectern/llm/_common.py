@@ -9,8 +9,9 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as in `[^\x20\x09-\x0D]+`: these six characters part words.
@@ -33,6 +34,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None):
+    """Rows in an Arrow batch meanwhile, so that batches of whole texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 class Scratch:
     """Parquet tables below the shared checkpoint folder that cut lineage and survive lost executors.
 
@@ -54,16 +68,10 @@ class Scratch:
     def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         """Write `df` once; what is returned reads it back with the same columns.
 
-        `batch`: rows in an Arrow batch meanwhile, so that batches of whole texts stay small.
+        `batch`: rows in an Arrow batch meanwhile.
         """
-        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        held = conf.get(key)
-        if batch:
-            conf.set(key, str(batch))
-        try:
+        with arrow_batches(self.spark, batch):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            conf.set(key, held)
         table = self.spark.read.schema(df.schema).parquet(self.path(name))
         index = table._jdf.queryExecution().analyzed().relation().location()
         self.indexes.append(self.spark._jvm.java.lang.ref.WeakReference(index))
@@ -100,6 +108,12 @@ def split_words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
+def aside(columns: list[str]) -> tuple[list[Column], list[Column]]:
+    """Input columns under names that no operator uses (c0, c1, ...), and the way back to their own."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    return [F.col(q).alias(f"c{k}") for k, q in enumerate(quoted)], [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Smallest reachable vertex of every vertex that has an edge.
 

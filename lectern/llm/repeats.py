@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, arrow_batches
 
 #: Windows that one pass of the arrays takes; places in it have to fit PLACE_BITS.
 CHUNK = 1 << 21
@@ -195,14 +195,9 @@ def deal_shards(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, total
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     name = shard_table(scratch)
-    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held_conf = conf.get(key)
-    conf.set(key, "500")
-    try:
+    with arrow_batches(spark, 500):
         shards = taken.mapInArrow(run, "shard long, heads binary, texts binary" + ", rest binary" * bool(carry))
         shards.write.format("parquet").option("path", scratch.path("shards")).option("compression", "none").bucketBy(buckets, "shard").saveAsTable(name)
-    finally:
-        conf.set(key, held_conf)
     return spark.table(name)
 
 

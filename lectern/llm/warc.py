@@ -5,18 +5,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tempfile
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, arrow_batches
 
 DATE = "2000-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Ends every record, so the text sink writes it as its line separator.
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: Bytes of a gzip member before compression: below 16 MB the last byte of its length, and so of the member, is zero.
+MEMBER_BYTES = (1 << 24) - 1
+#: The text sink ends each value with its line separator: here the zero that ends a member.
+MEMBER_END = "\0"
+#: Payloads beyond this go to files of their own, of about LARGE_FILE bytes or one record.
+LARGE, LARGE_FILE = 1 << 18, 1 << 28
+RECORDS_PER_FILE = 1000
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Rows of the repeated-payload table that are broadcast: 48 bytes each, so 10 MB at most.
 BROADCAST_ROWS = 200_000
@@ -31,18 +38,33 @@ def digest(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0, records_per_file: int = 2000, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes a record for each row of `pages` to gzipped WARC files below `path`.
+def members(record: bytes) -> bytes:
+    """A record as gzip: one member, or several where it is longer than MEMBER_BYTES. The last byte is zero."""
+    out = []
+    for k in range(0, len(record), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [packer.compress(record[k : k + MEMBER_BYTES]), packer.flush()]
+    return b"".join(out)
+
+
+def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Writes a record for each row of `pages` to WARC files below `path`, each compressed for itself.
 
     Of payloads of at least `min_bytes` that are equal (length and SHA-1), the row with the smallest
     page_id is a response and the others are revisits of it, without payload. Payloads are not shuffled
     unless the table of repeated payloads is too large to broadcast; then the join is split by Spark.
+    Files are written by Spark's text sink, which commits them in any store: a record is a string of the
+    bytes of its gzip member but for the last, a zero, which is the sink's line separator. Its offset in the
+    file is so a place from which it can be read alone. A file holds `records_per_file` payloads of up to
+    256 KB; longer ones are written beside them, so that a file stays far below 2 GB.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("digest", digest(F.col("body")))
     groups = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = scratch.write(groups.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).drop("n"), "repeated")
+    groups = scratch.write(groups, "payloads")
+    longest = groups.agg(F.max("bytes")).first()[0] or 0
+    repeated = groups.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).drop("n")
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
     known = rows.join(repeated, ["digest", "bytes"], "left")
@@ -71,9 +93,20 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0
         line("Content-Length", length.cast("string")),
         F.lit("\r\n" + HTTP_HEAD),
     )
-    record = F.concat(head.cast("binary"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("body"))).cast("string")
-    writer = known.select(record.alias("value")).write.mode("overwrite").option("lineSep", RECORD_END)
-    writer.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    record = F.concat(head.cast("binary"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("body")), F.lit(RECORD_END))
+
+    def compress(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([members(x.as_buffer().to_pybytes())[:-1] for x in b.column(0)], pa.binary())], names=["value"])
+
+    def write(rows, folder, per_file, batch):
+        with arrow_batches(scratch.spark, batch):
+            packed = rows.select(record.alias("record")).mapInArrow(compress, "value binary").select(F.col("value").cast("string"))
+            packed.write.mode("overwrite").option("lineSep", MEMBER_END).option("maxRecordsPerFile", per_file).text(f"{path}/{folder}")
+
+    write(known.where(F.col("bytes") <= LARGE), "small", records_per_file, 200)
+    if longest > LARGE:
+        write(known.where(F.col("bytes") > LARGE), "large", max(1, LARGE_FILE // longest), 1)
 
 
 def url_key(url: str) -> str:
@@ -86,41 +119,32 @@ def url_key(url: str) -> str:
 
 
 def records(data: bytes):
-    """(offset, headers, block) of each record in a gzipped WARC file."""
-    inflate, held, base, at = zlib.decompressobj(31), bytearray(), 0, 0
-
-    def more() -> bool:
-        nonlocal at, inflate
-        while at < len(data):
-            got = inflate.decompress(data[at : at + (1 << 20)])
-            at += 1 << 20
-            if inflate.eof and inflate.unused_data:
-                at -= len(inflate.unused_data)
-                inflate = zlib.decompressobj(31)
-            held.extend(got)
-            if got:
-                return True
-        return False
-
-    while True:
-        while (end := held.find(b"\r\n\r\n")) < 0 and more():
-            pass
-        if end < 0:
-            if held.strip():
-                raise ValueError("a WARC file ends inside a record's headers")
-            return
-        lines = bytes(held[:end]).decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    """(offset, headers, block) of each record in a WARC file; offsets are those of the record's gzip member."""
+    data, at, held, begun = memoryview(data), 0, b"", 0
+    while at < len(data):
+        if not held:
+            begun = at
+        inflate, parts = zlib.decompressobj(31), [held]
+        while not inflate.eof:
+            if at >= len(data):
+                raise ValueError("a WARC file ends inside a record")
+            chunk = data[at : at + (1 << 16)]
+            parts.append(inflate.decompress(chunk))
+            at += len(chunk) - len(inflate.unused_data)
+        held = b"".join(parts)
+        end = held.find(b"\r\n\r\n")
+        if not held.startswith(b"WARC/") or end < 0:
             raise ValueError("not a WARC record")
+        lines = held[:end].decode("utf-8", "surrogateescape").split("\r\n")
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         size = end + 4 + int(headers["Content-Length"]) + len(RECORD_END)
-        while len(held) < size and more():
-            pass
-        if len(held) < size:
-            raise ValueError("a WARC file ends inside a record")
-        yield base, headers, bytes(held[end + 4 : size - len(RECORD_END)])
-        del held[:size]
-        base += size
+        if len(held) > size:
+            raise ValueError("a gzip member goes on beyond its record")
+        if len(held) == size:
+            yield begun, headers, held[end + 4 : size - len(RECORD_END)]
+            held = b""
+    if held:
+        raise ValueError("a WARC file ends inside a record")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -144,10 +168,9 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((of(h["WARC-Record-ID"]), n, mark, h["WARC-Type"], of(h.get("WARC-Refers-To", "")), url_key(target), h["WARC-Date"], name, offset))
                 rows.sort(key=order)
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=ARROW)
 
-    arrow = pa.schema([(n, pa.int64() if "long" in t else pa.string()) for n, t in (x.split() for x in INDEX.split(", "))])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", "[^/]*$", 0), "content").mapInArrow(run, INDEX)
 
 
@@ -191,37 +214,88 @@ class LoserTree:
             self.winner = at
 
 
-def merge_captures(index: DataFrame) -> DataFrame:
+#: Rows of a run that are in memory at a time while it is merged, and runs that are merged at a time.
+STRIP, FAN_IN = 256, 512
+#: Captures of a range, about.
+RANGE_ROWS = 1_000_000
+ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in INDEX.split(", "))])
+
+
+class Spill:
+    """Runs of captures in a file of the task's own, which the system removes with it; a lost task writes its own again."""
+
+    def __init__(self):
+        self.file, self.runs, self.strips = tempfile.TemporaryFile(), [], 0  # noqa: SIM115
+        self.out = pa.ipc.new_file(self.file, ARROW)
+
+    def put(self, batch: pa.RecordBatch, new_run: bool) -> None:
+        """Appends rows in order to the last run, or to a new one."""
+        if new_run or not self.runs:
+            self.runs.append([])
+        for k in range(0, batch.num_rows, STRIP):
+            self.out.write_batch(batch.slice(k, STRIP))
+            self.runs[-1].append(self.strips)
+            self.strips += 1
+
+    def readers(self) -> list:
+        """An iterator over the rows of each run, strip by strip."""
+        self.out.close()
+        self.file.seek(0)
+        held = pa.ipc.open_file(self.file)
+
+        def rows(strips):
+            for k in strips:
+                yield from zip(*(c.to_pylist() for c in held.get_batch(k).columns), strict=True)
+
+        return [rows(strips) for strips in self.runs]
+
+
+def batched(rows, size: int = 10_000):
+    """Arrow batches of the rows of an iterator."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), ARROW, strict=True)], schema=ARROW)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
+def merged(batches, fan_in: int = FAN_IN):
+    """Batches of sorted runs, one run after another, as one sorted stream of batches.
+
+    Rows come in the order in which the runs were written. A row below the one before it starts another run,
+    so a run that arrives in parts is merged all the same. Runs wait on disk; in memory are a strip of each of
+    the `fan_in` runs that are merged at a time. More runs than that are merged in several passes.
+    """
+    spill, last = Spill(), None
+    for b in batches:
+        keys = [order(row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        cuts = [k for k, key in enumerate(keys) if (last if k == 0 else keys[k - 1]) is None or key < (last if k == 0 else keys[k - 1])]
+        for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if e > s:
+                spill.put(b.slice(s, e - s), s in cuts)
+        last = keys[-1] if keys else last
+    runs = spill.readers()
+    while len(runs) > fan_in:
+        spill = Spill()
+        for k in range(0, len(runs), fan_in):
+            for n, b in enumerate(batched(LoserTree(runs[k : k + fan_in], order))):
+                spill.put(b, n == 0)
+        runs = spill.readers()
+    yield from batched(LoserTree(runs, order))
+
+
+def merge_captures(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Globally ordered captures: partitions follow each other, and inside each the runs are merged.
 
     Ranges are cut over URL key, time and page, so the captures of one hot URL spread over many; a range
-    holds a slice of every run, in order, which a loser tree merges.
+    holds a slice of every run, in order, which a loser tree merges from disk.
     """
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = index.columns
-
-    def run(batches):
-        runs: dict[str, list] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs.setdefault(row[7], []).append(row)
-        for r in runs.values():
-            r.sort(key=order)  # already in order but where Spark spilled between two blocks of a run
-        out = []
-        for row in LoserTree(list(runs.values()), order):
-            out.append(row)
-            if len(out) == 10_000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-
-    def batch(rows):
-        columns = zip(*rows, strict=True)
-        kinds = [pa.int64() if "long" in x else pa.string() for x in INDEX.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return index.repartitionByRange(parts, "url_key", "ts", "page_id", "run", "offset").mapInArrow(run, INDEX)
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // range_rows))
+    ranged = index.repartitionByRange(parts, "url_key", "ts", "page_id", "run", "offset")
+    return ranged.mapInArrow(merged, INDEX)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
@@ -229,7 +303,8 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, path: str | None = None)
 
     Null html is an empty payload; null urls give an empty target; rows that tie for the smallest page_id
     of a payload are all responses; a null page_id stays null and is never referred to; an empty table
-    gives an empty result; other columns are not archived.
+    gives an empty result; other columns are not archived. A payload of any length that Spark's cells hold
+    is one record, read again whole in a task.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
