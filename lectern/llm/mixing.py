@@ -8,6 +8,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import aside
+
 
 #: Code points of a block.
 BLOCK_CHARS = 1 << 16
@@ -85,8 +87,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
     kept = [c for c in docs.columns if c not in ("block", "slot", "start")]
     of = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
     size = (F.coalesce(F.col(chars) if chars else F.length(text), F.lit(0)) + 1).cast("long")
-    doc = F.struct(*kept).alias("doc")
-    rows = docs.select(doc, of.alias("_source"), size.alias("_size"), F.xxhash64(F.lit("mix"), F.col(doc_id)).alias("_order"), F.col(doc_id).alias("_id"))
+    away, back = aside(kept)
+    rows = docs.select(*away, of.alias("_source"), size.alias("_size"), F.xxhash64(F.lit("mix"), F.col(doc_id)).alias("_order"), F.col(doc_id).alias("_id"))
     sums = {r["_source"]: (r["chars"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("chars"), F.count("*").alias("n")).collect()}
     if not sums:
         return docs.select(*kept, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("start"))
@@ -112,15 +114,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, source:
         blocks = plan.repartition("_source", "lo").withColumn("block", F.explode(F.expr("sequence(lo, hi - 1)")))
         found = placed.join(blocks.select("_source", "block", slot.alias("slot")).hint("merge"), ["_source", "block"])
         slot = F.col("slot")
-    return found.select(*(F.col("doc")[c].alias(c) for c in kept), F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("start").cast("long").alias("start"))
+    return found.select(*back, F.col("block").cast("long").alias("block"), slot.alias("slot"), F.col("start").cast("long").alias("start"))
 
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
     """The columns of `docs`, its rows range-partitioned and sorted into the mixed order."""
-    kept = docs.columns
-    mixed = mix_sources(docs, **how)
+    away, back = aside(docs.columns)
+    named = {k: f"c{docs.columns.index(how.get(k, k))}" for k in ("source", "text", "doc_id")}
+    mixed = mix_sources(docs.select(*away), **{**how, **named})
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "slot", "start").sortWithinPartitions("slot", "start").select(*kept)
+    return mixed.repartitionByRange(parts, "slot", "start").sortWithinPartitions("slot", "start").select(*back)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
