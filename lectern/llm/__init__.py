@@ -31,4 +31,5 @@ def oracle_sql():
         "op4_warc": warc.OP4_SQL,
         "op7_phrase_dedup": phrase_dedup.OP7_SQL,
         "op8_url_filters": url_filters.OP8_SQL,
+        "op10_quality_rules": quality.OP10_SQL,
     }

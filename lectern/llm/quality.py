@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, SPACES, Scratch, split_words
+from ._common import SPACE_CLASS, SPACES, Scratch, aside, split_words
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -26,8 +26,8 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     their numbers, keeps neighbours with equal hash bits, compares their words, and counts the words
     that the kept windows cover. The work stays in the row; nothing is exploded or shuffled.
     """
-    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
-    return _statistics(held).select("doc.*", *STATISTICS)
+    away, back = aside(docs.columns)
+    return _statistics(docs.select(*away, F.col(text).alias("text"))).select(*back, *STATISTICS)
 
 
 def _statistics(df: DataFrame) -> DataFrame:
@@ -100,11 +100,10 @@ def quality_rules(
     others come back, whatever their names.
     """
     made = [*STATISTICS, "base_failed", "removed_words", "kept", "kept_text"]
-    back = [c for c in docs.columns if c not in made and (carry_text or c != text)]
+    away, back = aside([c for c in docs.columns if c not in made and (carry_text or c != text)])
     scratch = Scratch(docs.sparkSession, "quality")
     norm = lambda x: F.lower(F.btrim(F.regexp_replace(x, SPACE_CLASS + "+", " "), F.lit(" ")))
-    doc = F.struct(*back).alias("doc") if back else F.struct(F.lit(0)).alias("doc")
-    held = docs.select(doc, F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.col(text).alias("text"))
+    held = docs.select(*away, F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.col(text).alias("text"))
     judged = _statistics(held)
     if not with_text:
         judged = judged.drop("text")
@@ -130,7 +129,14 @@ def quality_rules(
         here = F.coalesce("struck", F.array().cast("array<bigint>"))
         left = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(here, F.xxhash64(norm(x))))
         results.append(F.array_join(left, "\n").alias("kept_text"))
-    return out.select(*(F.col("doc")[c].alias(c) for c in back), *results)
+    return out.select(*back, *results)
+
+
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", **how) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns as they were."""
+    away, back = aside(docs.columns)
+    of_text, of_host = (f"c{docs.columns.index(c)}" for c in (text, host))
+    return quality_rules(docs.select(*away), of_text, of_host, carry_text=True, **how).where("kept").select(*back)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -139,3 +145,23 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+nl AS (SELECT doc_id, host, list_transform(ls, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))) AS nls FROM w),
+copies AS (SELECT DISTINCT host, list_sort(list_distinct(nls)) AS held FROM nl),
+freq AS (SELECT host, line, count(*) AS docs FROM (SELECT host, unnest(held) AS line FROM copies) GROUP BY host, line),
+struck AS (SELECT host, line FROM freq JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) USING (host) WHERE docs > greatest(20, 0.05 * n)),
+lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM (SELECT doc_id, host, unnest(nls) AS line FROM nl) JOIN struck USING (host, line) GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS removed_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 50 * n_words AS kept FROM r
+"""
