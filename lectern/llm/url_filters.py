@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, aside
 
 #: host, path, action
 RULES = [
@@ -70,8 +70,8 @@ def url_filter(
     listed = scratch.write(listed, "listed")
     n = listed.count()
     n_blocks = max(16, min(max_blocks, -(-n * 12 // (64 * BLOCK_WORDS))))
-    doc = F.struct(*kept).alias("doc") if kept else F.struct(F.lit(0)).alias("doc")
-    rows = with_host_path(pages.select(doc, F.col(url).alias("url")), "url").drop("url")
+    away, back = aside(kept)
+    rows = with_host_path(pages.select(*away, F.col(url).alias("url")), "url").drop("url")
     # The shapes of the list as one value: the path lengths there are for each number of host labels.
     shapes = listed.groupBy(F.size(F.split("host", r"\.")).alias("k")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
     shapes = shapes.agg(F.map_from_entries(F.collect_list(F.struct("k", "lengths"))).alias("shapes")).scalar()
@@ -94,10 +94,10 @@ def url_filter(
     order = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "action", "rule")
     # Written first: a join with an aggregate on its own key could not be split where one URL is hot.
     best = scratch.write(hits.groupBy("host", "path").agg(F.max(order).alias("best")).select("host", "path", "best.rule", "best.action"), "best")
-    out = rows.where("host <> ''").join(best, ["host", "path"], "left")
+    out = rows.where("host <> ''").join(best.hint("merge"), ["host", "path"], "left")  # URLs grow with the table: never broadcast
     none = rows.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
     out = out.unionByName(none)
-    return out.select(*(F.col("doc")[c].alias(c) for c in kept), "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    return out.select(*back, "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
