@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from ._common import Scratch
-from .suffix_sort import suffix_array
+from .suffix_sort import MEMORY, sorted_suffixes
 
 WIDTH, GRAM = 100, 32
 #: Windows at neighbouring places before an anchor that are judged by the bytes they share.
@@ -46,11 +46,12 @@ class Pieces:
 class SortedWindows:
     """Windows of the pieces still open: grouped by a suffix array of their bytes.
 
-    Each group of equal windows is a stretch of neighbours with a common prefix of WIDTH bytes; its first
-    window in the shard is sent to the range of its hash, to be compared with the other shards' firsts.
+    Each group of equal windows is a stretch of suffixes that share WIDTH bytes with the ones before them, as
+    the prefixes carried through the sort tell; its first window in the shard is sent to the range of its
+    hash, to be compared with the other shards' firsts.
     """
 
-    def __init__(self, text: np.ndarray, symbols: np.ndarray, pieces: Pieces, is_open: np.ndarray, keys: np.ndarray):
+    def __init__(self, text: np.ndarray, symbols: np.ndarray, pieces: Pieces, is_open: np.ndarray, keys: np.ndarray, memory: int = MEMORY):
         self.starts = repeats.starts_in(pieces, is_open)
         sizes = (pieces.hi - pieces.lo + 1)[is_open]
         doc = np.repeat(pieces.doc[is_open], sizes)
@@ -59,18 +60,14 @@ class SortedWindows:
         cut = np.r_[0, np.cumsum(spans)[:-1]][: len(spans)].astype(np.int64)
         inside = np.arange(spans.sum()) - np.repeat(cut, spans)
         at = np.repeat(pieces.lo[is_open], spans) + inside - 1
-        joined = np.where(inside == 0, 1, text[np.maximum(at, 0)].astype(np.int64) + 2)
+        joined = np.where(inside == 0, 1, text[np.maximum(at, 0)].astype(np.uint16) + 2).astype(np.uint16)
         window_of = np.full(len(joined), -1, np.int64)
         window_of[np.repeat(cut + 1, sizes) + np.arange(len(self.starts)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]][: len(sizes)], sizes)] = np.arange(len(self.starts))
-        order = window_of[suffix_array(joined)]
-        order = order[order >= 0]
-        body = text.tobytes()
-        group, last, number = np.empty(len(order), np.int64), None, -1
-        for w, s in zip(order.tolist(), self.starts[order].tolist(), strict=True):
-            window = body[s : s + WIDTH]
-            if window != last:
-                number, last = number + 1, window
-            group[w] = number
+        order, shared = sorted_suffixes(joined, WIDTH, memory)
+        number = np.cumsum(shared < WIDTH)
+        window = window_of[order]
+        group = np.empty(len(self.starts), np.int64)
+        group[window[window >= 0]] = number[window >= 0]
         self.order = np.lexsort((self.starts, keys[doc], group))
         group = group[self.order]
         self.first = np.r_[True, group[1:] != group[:-1]][: len(group)]

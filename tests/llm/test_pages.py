@@ -1,9 +1,13 @@
 """Operators on pages and vectors against brute force."""
 
 import base64
+import gzip
 import hashlib
+import random
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import embedding_dedup, html_extract, url_filters, warc
@@ -120,6 +124,45 @@ def test_loser_tree():
     assert list(warc.LoserTree([], lambda x: x)) == [] and list(warc.LoserTree([[1, 2]], lambda x: x)) == [1, 2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000, (1 << 24) - 1, 1 << 24, (1 << 25) + 5])
+def test_members_end_in_zero(n):
+    record = (random.Random(n).randbytes(1000) * (n // 1000 + 1))[:n] or b"x"
+    packed = warc.members(record)
+    assert packed[-1] == 0 and gzip.decompress(packed) == record
+
+
+def test_records_are_read_alone():
+    bodies = [b"", b"a" * 10, b"\r\n\r\nWARC/1.1\r\n\r\n", b"q" * ((1 << 24) + 100), b"z"]
+    data = b"".join(warc.members(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n") for b in bodies)
+    got = list(warc.records(data))
+    assert [x[2] for x in got] == bodies and all(next(warc.records(data[at:]))[2] == body for at, _, body in got)
+    for broken in (data[:-1], data[:30], b"x" * 50, warc.members(b"no record")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(broken))
+
+
+@pytest.mark.parametrize("fan_in", [512, 3, 2])
+def test_runs_merged_from_disk(fan_in):
+    rng = random.Random(3)
+    runs = [[(rng.choice([None, *range(100)]), 1, "d", "response", None, rng.choice("abc"), "t", f"run{k}", i) for i in range(rng.randrange(30))] for k in range(40)]
+    stream = [r for run in runs for r in sorted(run, key=warc.order)]
+    assert [r for b in warc.merged(warc.batched(iter(stream), 37), fan_in) for r in map(tuple, map(dict.values, b.to_pylist()))] == sorted(stream, key=warc.order)
+    assert list(warc.merged(iter([]), fan_in)) == []
+
+
+def test_warc_of_long_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 100)
+    monkeypatch.setattr(warc, "LARGE_FILE", 2500)
+    rows = [(k, f"http://h{k % 3}.org/{k}", "x" * (k * 37 % 1100)) for k in range(40)]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path=str(tmp_path / "a")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in out) == [(k, len(t)) for k, _, t in rows]
+    files = [x for x in (tmp_path / "a").rglob("part-*")]
+    assert len(files) > 10
+    one = next(r for r in out if r["payload_bytes"] > 900)
+    body = next(x for x in files if x.name == one["run"]).read_bytes()[one["offset"] :]
+    assert next(warc.records(body))[1]["WARC-Record-ID"] == f"<urn:page:{one['page_id']}>"
+
+
 def verdict(url, rules):
     host = path = ""
     if url is not None and "://" in url:

@@ -11,8 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import mixing, packing, phrase_dedup, quality, repeats, simhash, simhash_similar, suffix_dedup
-from lectern.llm.suffix_sort import suffix_array
+from lectern.llm import mixing, packing, phrase_dedup, quality, repeats, simhash, simhash_similar, suffix_dedup, suffix_sort
 
 from . import fixtures as fx
 
@@ -83,19 +82,63 @@ def test_automaton_locates_later_occurrences(letters):
     assert not empty.located(words, keys, 0).any()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=60))
-def test_suffix_array(x):
-    assert suffix_array(np.array(x, np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
-
-
-def test_suffix_array_through_disk(monkeypatch):
-    from lectern.llm import suffix_sort
-
-    monkeypatch.setattr(suffix_sort, "BLOCK", 8)
-    monkeypatch.setattr(suffix_sort, "LEAST", 2)
-    x = np.random.default_rng(1).integers(1, 3, 400)
-    assert suffix_array(x).tolist() == sorted(range(400), key=lambda i: x[i:].tolist())
+def sorted_by_brute_force(x, width):
+    order = sorted(range(len(x)), key=lambda i: x[i:])
+    shared = [0] * len(x)
+    for k in range(1, len(x)):
+        a, b = x[order[k - 1] :][:width], x[order[k] :][:width]
+        shared[k] = next((j for j, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+    return order, shared
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=60), st.integers(1, 4), st.sampled_from([4, 1 << 20]), st.sampled_from([5, 1 << 16]))
+def test_suffixes_and_shared_prefixes(x, times, memory, block):
+    """In memory, and with queues, arrays and recursion beyond a memory of 4 elements."""
+    x, held = x * times, suffix_sort.BLOCK
+    suffix_sort.BLOCK = block
+    try:
+        order, shared = suffix_sort.sorted_suffixes(np.array(x, np.uint16), 1000, memory)
+        assert (order.tolist(), shared.tolist()) == sorted_by_brute_force(x, 1000)
+        order, shared = suffix_sort.sorted_suffixes(np.array(x, np.uint16), 6, memory)
+        first = [x[i : i + 6] for i in order.tolist()]
+        assert first == sorted(first) and sorted(order.tolist()) == list(range(len(x)))
+        equal = [False, *(a == b and len(a) == 6 for a, b in zip(first, first[1:], strict=False))][: len(x)]
+        assert [n == 6 for n in shared.tolist()] == equal
+    finally:
+        suffix_sort.BLOCK = held
+
+
+def test_suffixes_beyond_memory_use_disk(monkeypatch):
+    blocks = []
+    put = suffix_sort.Disk.put
+    monkeypatch.setattr(suffix_sort.Disk, "put", lambda self, a: blocks.append(len(a)) or put(self, a))
+    monkeypatch.setattr(suffix_sort, "BLOCK", 256)
+    x = np.random.default_rng(1).integers(1, 5, 20_000).astype(np.uint16)
+    order, shared = suffix_sort.sorted_suffixes(x, 100, 500)
+    assert sum(blocks) > 20_000 and isinstance(order.base, np.memmap)
+    body = x.astype(np.uint8).tobytes()
+    assert order.tolist() == sorted(range(len(x)), key=lambda i: body[i:])
+
+
+def test_windows_are_grouped_by_the_sort(spark, monkeypatch):
+    """Where the sort says that no suffixes share a window, windows that only it can tell are no longer removed."""
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 122, 6000).astype(np.uint8))
+    body = text[:1000] + b"#" + text[200:420] + b"!" + text[300:520]
+    symbols, bounds = suffix_dedup.SYMBOLS[np.frombuffer(body, np.uint8)], np.array([0, len(body)])
+    runs = repeats.Runs(symbols, bounds, 100, 32)
+    pieces = suffix_dedup.Pieces(symbols, runs, np.ones(len(runs.lo), bool))
+
+    def groups():
+        w = suffix_dedup.SortedWindows(np.frombuffer(body, np.uint8), symbols, pieces, np.ones(len(pieces.lo), bool), np.zeros(1, np.int64), 50)
+        return len(w.starts), int(w.first.sum())
+
+    n, distinct = groups()
+    assert distinct == len({body[s : s + 100] for s in range(len(body) - 99)}) < n == len(body) - 99
+    real = suffix_dedup.sorted_suffixes
+    monkeypatch.setattr(suffix_dedup, "sorted_suffixes", lambda x, w, m: (real(x, w, m)[0], np.zeros(len(x), np.uint8)))
+    assert groups() == (n, n)
 
 
 def test_runs_over_chunks(monkeypatch):
