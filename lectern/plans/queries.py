@@ -570,6 +570,18 @@ def _(spark, d):
     return best.select("doc_id", "method", F.length("text").cast("long").alias("chars"))
 
 
+@query(
+    "top5_longest_title",
+    r"""WITH v AS (SELECT doc_id, [lang, source, regexp_extract(text, '^\S+'), '', CAST(doc_id AS VARCHAR), regexp_extract(text, '\S+\s*$')] AS vs, CAST(doc_id AS VARCHAR) AS number, source AS date FROM documents),
+    e AS (SELECT doc_id, number, date, unnest(vs) AS x, unnest(range(0, 6)) AS i FROM v)
+    SELECT doc_id, coalesce(arg_max(x, length(x) * 100 - i) FILTER (WHERE x <> '' AND x <> number AND x <> date), any_value(number)) AS title FROM e GROUP BY doc_id""",
+)
+def _(spark, d):
+    """Of a row's cells the longest that is neither number nor date, the first of equally long ones."""
+    cells = F.array("lang", "source", F.regexp_extract("text", r"^\S+", 0), F.lit(""), F.col("doc_id").cast("string"), F.regexp_extract("text", r"\S+\s*$", 0))
+    return docs(spark, d).select("doc_id", R.record_title(cells, F.col("doc_id").cast("string"), F.col("source")).alias("title"))
+
+
 # Joins ------------------------------------------------------------------------------------------------
 
 
@@ -1547,6 +1559,20 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(names).alias("documents"))
 
 
+@query(
+    "evl11_error_defaults",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(quality = 1 AND doc_id % 2 = 0, false) WHEN doc_id % 2 = 0 THEN quality = 1 END AS citation_honest,
+    CASE WHEN doc_id % 3 = 0 THEN 'low' WHEN doc_id % 5 = 0 THEN 'high' END AS hallucination_risk FROM labels""",
+)
+def _(spark, d):
+    """Each fifth question failed; half of the rest, and of those, were judged before."""
+    n = F.col("doc_id")
+    rows = fr.table(spark, d, "labels").select(
+        "doc_id", F.when(n % 5 == 0, "timeout").alias("error"), F.when(n % 2 == 0, F.col("quality") == 1).alias("citation_honest"), F.when(n % 3 == 0, "low").alias("hallucination_risk")
+    )
+    return evaluation.with_error_defaults(rows).select("doc_id", "citation_honest", "hallucination_risk")
+
+
 # Sessions --------------------------------------------------------------------------------------------------
 
 

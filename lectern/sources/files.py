@@ -15,6 +15,17 @@ QUESTION = (
 )
 
 
+def ensure_folders(spark: SparkSession, *paths: str) -> list[str]:
+    """Makes the folders that are missing, in whatever store they are; those that it made."""
+    made = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path) and fs.mkdirs(path):
+            made.append(p)
+    return made
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.[pP][dD][fF]", content: bool = False) -> DataFrame:
     """Files below `root` with path, relative_path, length (and content), whatever the case of the suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)

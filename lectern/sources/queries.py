@@ -97,11 +97,34 @@ def _summary(spark, d):
 SUMMARY = """SELECT 0 AS place, 'documents: ' || count(*) AS line FROM documents UNION ALL SELECT 1, 'languages: ' || count(DISTINCT lang) FROM documents
 UNION ALL SELECT 2, 'names: ' || count(*) || string_agg(chr(10) || '  - ' || lang, '' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)"""
 
+def _catalogue(spark, d):
+    """Catalogue rows of the pages: files of which every tenth page is another version, some without a path or outside the root."""
+    n = F.col("page_id")
+    file = F.concat((n % 10).cast("string"), F.lit(".pdf"))
+    path = F.when(n % 4 == 0, F.concat(F.lit("raw/fr/"), file)).when(n % 4 == 1, F.concat(F.lit("/data/raw/fr/"), file)).when(n % 4 == 2, F.concat(F.lit("/other/"), file)).otherwise(" ")
+    made = {c: F.lit("") for c in files.METADATA_FIELDS} | {"document_number": n.cast("string"), "title": F.concat(F.lit("t"), n.cast("string")), "local_path": path, "pdf_url": F.when(n % 7 > 0, F.concat(F.lit("u"), (n % 7).cast("string"))).otherwise(" ")}
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id").withColumns(made)
+    return rows.withColumnRenamed("page_id", "ordinal")
+
+
+def _by_path(spark, d):
+    return files.metadata_by_path(_catalogue(spark, d), "/data/raw").select("relative_path", "document_number", "document_title")
+
+
+def _by_url(spark, d):
+    return files.metadata_by_url(_catalogue(spark, d)).select("pdf_url", "document_number")
+
+
+BY_PATH = """SELECT 'fr/' || (page_id % 10) || '.pdf' AS relative_path, CAST(max(page_id) AS VARCHAR) AS document_number, 't' || max(page_id) AS document_title FROM pages WHERE page_id % 4 < 2 GROUP BY page_id % 10"""
+BY_URL = """SELECT 'u' || (page_id % 7) AS pdf_url, CAST(max(page_id) AS VARCHAR) AS document_number FROM pages WHERE page_id % 7 > 0 GROUP BY page_id % 7"""
+
 QUERIES |= {
+    "src4_metadata_by_path": _by_path, "src5_metadata_by_url": _by_url,
     "src1_scan_files": _scan, "src6_file_hashes": _hashes, "src3_load_pages": _load, "ing3_failed_files": _failed, "ing6_recognised_pages": _recognised,
     "src9_checked_downloads": _checked, "fil5_safe_filter": _safe, "str13_relative_paths": _relative, "snk5_summary_lines": _summary,
 }
 ORACLES |= {
+    "src4_metadata_by_path": BY_PATH, "src5_metadata_by_url": BY_URL,
     "src3_load_pages": LOADED, "ing3_failed_files": f"SELECT {PATH} AS path, 'UnicodeDecodeError' AS error FROM documents WHERE doc_id % 50 = 7", "ing6_recognised_pages": RECOGNISED,
     "src9_checked_downloads": CHECKED, "fil5_safe_filter": "SELECT 0 AS filter, doc_id FROM documents WHERE lang = 'fr'", "str13_relative_paths": RELATIVE, "snk5_summary_lines": SUMMARY,
 }

@@ -41,14 +41,16 @@ def test_ask(spark):
 
 
 class Scripted:
-    """Says what it is told to, by what the prompt asks for."""
+    """Says what it is told to for each case that a question names, by what the prompt asks for."""
 
-    def __init__(self, first, repaired="", consistent=""):
-        self.first, self.repaired, self.consistent = first, repaired, consistent
+    def __init__(self, cases):
+        self.cases = cases
 
     def generate(self, prompt):
-        t = answering.TEMPLATES["fr"]
-        said = F.when(prompt.contains(t["consistency"][:30]), self.consistent).when(prompt.contains(t["repair"]), self.repaired).otherwise(self.first)
+        t, said = answering.TEMPLATES["fr"], F.lit("")
+        for k, (first, repaired, consistent) in enumerate(self.cases):
+            one = F.when(prompt.contains(t["consistency"][:30]), consistent).when(prompt.contains(t["repair"]), repaired).otherwise(first)
+            said = F.when(prompt.contains(f"cas {k}."), one).otherwise(said)
         return F.when(said == "", "").otherwise(F.to_json(F.struct(said.alias("answer"))))
 
 
@@ -56,20 +58,24 @@ def test_prompts_again(spark):
     rows = [(1, "Le texte 026/2021 fixe le délai de dépôt à dix jours. Le texte 030/2021 est abrogé.", "a_fr.pdf", 1)]
     chunks = spark.createDataFrame(rows, "id long, content string, source string, page int").withColumns({"language": F.lit("fr"), "readable": F.lit(True), "chunk": F.lit(0), "document": F.col("content")})
     e = answering.HashEmbedder()
-    chunks = answering.embed_passages(chunks, e).drop("document")
-    asked = answering.embed_questions(spark.createDataFrame([(1, "Quel délai fixe la note 026/2021 ?")], "question_id int, question string"), e).withColumn("prefix", F.lit(None).cast("string"))
-    say = lambda *texts: answering.ask(chunks, asked, Scripted(*texts)).first()
-    footer = "\n\nSource : a_fr.pdf, page 1"
-    plain = "Le texte 026/2021 fixe le délai de dépôt à dix jours."
-    assert say(plain)["answer"] == plain + footer
-    assert say("Excerpt: copie du contexte", plain)["answer"] == plain + footer
+    chunks = answering.embed_passages(chunks, e).drop("document").persist()
+    footer, plain = "\n\nSource : a_fr.pdf, page 1", "Le texte 026/2021 fixe le délai de dépôt à dix jours."
     other = "La note 030/2021 fixe le délai de dépôt à vingt jours."
-    assert say(other, "", plain)["answer"] == plain + footer
-    assert say(other, "", "La note 031/2021 fixe un autre délai de dépôt.")["answer"] == other + footer  # no better, so the first stays
-    assert say("", "")["error"] == "empty answer" and say("نعم", "نعم")["error"] == "invalid answer"
-    engine = answering.Engine(chunks, e, Scripted(plain))
-    assert engine.health() == {"status": "ok"}
-    m = spark.createDataFrame([(7, 0, "user", "Quel délai fixe le dépôt ?"), (7, 1, "assistant", "x"), (7, 2, "user", "Pourquoi ?")], "session_id int, turn int, role string, text string")
+    cases = [
+        (plain, "", ""),
+        ("Excerpt: copie du contexte", plain, ""),
+        (other, "", plain),
+        (other, "", "La note 031/2021 fixe un autre délai de dépôt."),  # no better, so the first stays
+        ("", "", ""),
+        ("نعم", "نعم", ""),
+    ]
+    asked = spark.createDataFrame([(k, f"Quel délai fixe la note 026/2021 ? cas {k}.") for k in range(len(cases))], "question_id int, question string")
+    asked = answering.embed_questions(asked, e).withColumn("prefix", F.lit(None).cast("string"))
+    answers, seconds = answering.timed(chunks, asked, Scripted(cases))
+    got = {r["question_id"]: (r["answer"], r["error"]) for r in answers.collect()}
+    assert got == {0: (plain + footer, None), 1: (plain + footer, None), 2: (plain + footer, None), 3: (other + footer, None), 4: (None, "empty answer"), 5: (None, "invalid answer")}
+    assert seconds["total_seconds"] >= seconds["generation_seconds"] >= 0
+    engine = answering.Engine(chunks, e, Scripted([(plain, "", "")]))
+    m = spark.createDataFrame([(7, 0, "user", "Quel délai fixe le dépôt ? cas 0."), (7, 1, "assistant", "x"), (7, 2, "user", "Pourquoi ?")], "session_id int, turn int, role string, text string")
     assert {r["turn"]: r["answer"] for r in engine.chat(m).collect()} == {0: plain + footer, 2: plain + footer}
-    answers, seconds = answering.timed(chunks, asked, Scripted(plain))
-    assert answers.count() == 1 and seconds["total_seconds"] >= seconds["generation_seconds"] >= 0
+    assert answering.Engine(chunks, e, answering.ExtractiveGenerator()).health() == {"status": "ok"}

@@ -43,6 +43,22 @@ def test_load_pages(spark):
     assert empty.count() == 0
 
 
+def test_folders(spark, tmp_path):
+    new = [str(tmp_path / "a" / "b"), str(tmp_path)]
+    assert files.ensure_folders(spark, *new) == new[:1] and files.ensure_folders(spark, *new) == []
+
+
+def test_command_line(sf_dir, tmp_path, capsys):
+    from lectern import __main__ as cli
+
+    cli.main(["list"])
+    assert "ret1_search" in capsys.readouterr().out.split()
+    cli.main(["run", "fil6_question_selection", "--tables", sf_dir, "--limit", "3"])
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    cli.main(["run", "src10_collection_count", "--tables", sf_dir, "--out", str(tmp_path / "out")])
+    assert [x for x in (tmp_path / "out").iterdir() if x.suffix == ".json"]
+
+
 def test_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS lectern_test")
     try:
