@@ -29,6 +29,7 @@ def oracle_sql():
     return {
         "op2_embedding_dedup": embedding_dedup.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
+        "op6_suffix_dedup": suffix_dedup.OP6_SQL,
         "op7_phrase_dedup": phrase_dedup.OP7_SQL,
         "op8_url_filters": url_filters.OP8_SQL,
         "op10_quality_rules": quality.OP10_SQL,

@@ -193,3 +193,18 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+win AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM n WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+isl AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM again)),
+sp AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM isl GROUP BY doc_id, g),
+kp AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS pe FROM sp),
+ag AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, string_agg(substring(h, 2 * pe + 1, 2 * (s - pe)), '' ORDER BY s) AS body, max(e) AS last
+  FROM kp JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(body || substring(h, 2 * last + 1), h))) AS kept_sha256
+FROM n LEFT JOIN ag USING (doc_id)
+"""
