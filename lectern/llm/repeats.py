@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, arrow_batches
 
-#: Windows that one pass of the arrays takes; places in it have to fit PLACE_BITS.
-CHUNK = 1 << 21
+#: Windows that one pass of the arrays takes, few enough for a core's cache; places in it have to fit PLACE_BITS.
+CHUNK = 1 << 16
 PLACE_BITS = 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -27,12 +28,24 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
+    return _few_powers(base)[:n] if n <= FEW else _powers(base, n)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
+    out[0] = 1
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+#: Powers that a process keeps, enough for a pass.
+FEW = 1 << 17
+
+
+@lru_cache(maxsize=2)
+def _few_powers(base: np.uint64) -> np.ndarray:
+    return _powers(base, FEW)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of a polynomial hash spread over the word."""
     x = x ^ (x >> np.uint64(31))

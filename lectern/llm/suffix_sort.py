@@ -143,10 +143,29 @@ def shared_prefix(x: np.ndarray, a: int, b: int, width: int) -> int:
 def neighbours_share(x: np.ndarray, order: np.ndarray, width: int, kind) -> np.ndarray:
     """Symbols that each suffix of `order` shares with the one before it, `width` at most; 0 for the first."""
     out = np.zeros(len(order), kind)
+    four = None
+    if x.dtype.itemsize <= 2 and x.nbytes <= MEMORY * 4 and len(x) > 4:  # four symbols in a word, at every place
+        wide = x.astype(np.uint64)
+        four = wide[:-3] << np.uint64(48) | wide[1:-2] << np.uint64(32) | wide[2:-1] << np.uint64(16) | wide[3:]
     for k in range(1, len(order), BLOCK):
         a, b = order[k - 1 : k - 1 + BLOCK], order[k : k + BLOCK]
         a = a[: len(b)]
         live, n = np.arange(len(b)), 0
+        if four is not None:
+            last = np.full(len(b), -1)
+            while len(live) and n + 4 <= width:
+                live = live[np.maximum(a[live], b[live]) + n < len(four)]
+                live = live[four[a[live] + n] == four[b[live] + n]]
+                n += 4
+                last[live] = n
+            out[k : k + len(b)] = np.maximum(last, 0)
+            live = np.arange(len(b))
+            for _ in range(3):  # what is left of a word
+                at = out[k : k + len(b)].astype(np.int64)
+                live = live[(at[live] < width) & (np.maximum(a[live], b[live]) + at[live] < len(x))]
+                live = live[x[a[live] + at[live]] == x[b[live] + at[live]]]
+                out[k + live] += 1
+            continue
         while len(live) and n < width:
             live = live[np.maximum(a[live], b[live]) + n < len(x)]
             live = live[x[a[live] + n] == x[b[live] + n]]
@@ -286,12 +305,12 @@ def doubled(x: np.ndarray, depth: int) -> np.ndarray:
     n, k = len(x), 1
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64) + 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         if k >= depth or rank[order[-1]] == n:
             return order
         key = rank * (n + 1)
         key[:-k] += rank[k:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]])
         k *= 2
