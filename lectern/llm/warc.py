@@ -104,7 +104,7 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0
             packed = rows.select(record.alias("record")).mapInArrow(compress, "value binary").select(F.col("value").cast("string"))
             packed.write.mode("overwrite").option("lineSep", MEMBER_END).option("maxRecordsPerFile", per_file).text(f"{path}/{folder}")
 
-    write(known.where(F.col("bytes") <= LARGE), "small", records_per_file, 200)
+    write(known.where(F.col("bytes") <= LARGE), "small", records_per_file, 16)
     if longest > LARGE:
         write(known.where(F.col("bytes") > LARGE), "large", max(1, LARGE_FILE // longest), 1)
 
