@@ -68,10 +68,13 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ordinal", F.monotonically_increasing_id())
 
 
-def metadata_by_path(metadata: DataFrame, root: str) -> DataFrame:
-    """Last row of each file below `root`, by relative_path; rows without a path or outside it go."""
+def metadata_by_path(metadata: DataFrame, root: str, project: str | None = None) -> DataFrame:
+    """Last row of each file below `root`, by relative_path; rows without a path or outside it go.
+
+    Paths that are not absolute are below `project`, the folder that holds `root` unless it is given.
+    """
     below = root.rstrip("/") + "/"
-    rows = metadata.withColumn("_full", full_path(F.col("local_path"), root)).where(F.startswith("_full", F.lit(below)))
+    rows = metadata.withColumn("_full", full_path(F.col("local_path"), root.rstrip("/").rpartition("/")[0] if project is None else project)).where(F.startswith("_full", F.lit(below)))
     rows = rows.withColumn("relative_path", relative_to(F.col("_full"), root))
     last = rows.groupBy("relative_path").agg(F.max_by(F.struct(*METADATA_FIELDS), "ordinal").alias("r"))
     return last.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.operators import catalog, chunking, conversations
 from lectern.sources import database, files, html, pages
 
-GOOD = "Le présent texte fixe les délais de dépôt des déclarations en douane et les conditions de prorogation, article 12, alinéa 3, pour les opérateurs agréés, les commissionnaires et les transporteurs."
+GOOD = "Le présent texte fixe les délais de dépôt des demandes et les conditions de prorogation, article 12, alinéa 3, pour les opérateurs agréés, les mandataires et les transporteurs."
 
 
 class Second:
