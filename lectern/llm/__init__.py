@@ -5,7 +5,7 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, suffix_dedup, url_filters, warc
+from . import embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, sketches, suffix_dedup, url_filters, warc
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op8_url_filters": url_filters.op8_url_filters,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_document_fingerprints": sketches.op11_document_fingerprints,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql():
         "op7_phrase_dedup": phrase_dedup.OP7_SQL,
         "op8_url_filters": url_filters.OP8_SQL,
         "op10_quality_rules": quality.OP10_SQL,
+        "op11_document_fingerprints": sketches.OP11_SQL,
     }
