@@ -5,7 +5,7 @@ The rest of the library never imports this subpackage.
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, sketches, suffix_dedup, url_filters, warc
+from . import collocations, embedding_dedup, html_extract, mixing, packing, phrase_dedup, quality, simhash, sketches, suffix_dedup, tries, url_filters, warc
 
 
 def queries():
@@ -22,6 +22,8 @@ def queries():
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_document_fingerprints": sketches.op11_document_fingerprints,
+        "op12_source_divergence": tries.op12_source_divergence,
+        "op13_phrase_collocations": collocations.op13_phrase_collocations,
     }
 
 
@@ -35,4 +37,6 @@ def oracle_sql():
         "op8_url_filters": url_filters.OP8_SQL,
         "op10_quality_rules": quality.OP10_SQL,
         "op11_document_fingerprints": sketches.OP11_SQL,
+        "op12_source_divergence": tries.OP12_SQL,
+        "op13_phrase_collocations": collocations.OP13_SQL,
     }
