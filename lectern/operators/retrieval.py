@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from .nearest import Way, nearest
 
 KEY = ["question_id"]
+#: Ways of finding chunks: by the document that a question names, in its own language, anywhere.
+ROUTED, OWN, WIDE = range(3)
 #: Questions that are broadcast to a pass over the chunks.
 BROADCAST_QUESTIONS = 10_000
 
@@ -48,8 +51,9 @@ def top_k(rows: DataFrame, k: Column | int, by: str = "distance", tie: str = "id
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.top_k, condition: Column | None = None) -> DataFrame:
-    return top_k(scored(chunks, questions, condition), k)
+def knn(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.top_k, kind: str = "all") -> DataFrame:
+    """The k nearest chunks of each question, of those that `kind` admits (see nearest.Way)."""
+    return nearest(chunks, questions, [Way(WIDE, kind, k)]).drop("_way")
 
 
 def first_of_each(rows: DataFrame, order: list, limit: int | None = None) -> DataFrame:
@@ -118,9 +122,6 @@ def foreign_best(rows: DataFrame, limit: int = 2) -> DataFrame:
     return top_k(each, limit)
 
 
-ROUTED, OWN, WIDE = range(3)
-
-
 def search(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """The whole search for a batch of questions (question_id, query, question_language, prefix, expand).
 
@@ -129,19 +130,16 @@ def search(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAU
     all; chunks marked unreadable are dropped after the global limit, not before. A weak best match in
     the own language lets the best foreign documents in.
 
-    One pass: every chunk is scored once, and a partial top-k keeps a few rows for each question and each
-    of the three ways to find them. All that follows are windows over these rows, partitioned by question.
+    One pass: a task multiplies its chunks' vectors with the questions' and keeps the nearest few of each
+    question and each of the three ways to find them. All that follows are windows over these rows,
+    partitioned by question.
     """
     k = k or config.top_k
     names = ["id", "source", "page", "chunk", "language", "distance"]
-    pairs = scored(chunks, questions).select(*KEY, *names, "readable", "question_language", "prefix", "expand")
-    named = F.col("prefix").isNotNull() & F.startswith(F.lower("source"), F.lower("prefix")) & F.col("readable")
-    own = (F.col("language") == F.col("question_language")) & F.col("readable")
-    ways = F.array_compact(F.array(F.when(named, ROUTED), F.when(own, OWN), F.lit(WIDE)))
-    limits = {ROUTED: max(4 * k, 8), OWN: k, WIDE: max(10 * k, 20)}
+    ways = [Way(ROUTED, "named", max(4 * k, 8)), Way(OWN, "own", k), Way(WIDE, "all", max(10 * k, 20))]
+    found = nearest(chunks.select("embedding", "readable", *names[:-1]), questions, ways)
+    rows = found.select(*KEY, *names, "readable", "question_language", "prefix", "expand", "_way", "rank")
     way = F.col("_way")
-    rows = top_k_by_way(pairs.withColumn("_way", F.explode(ways)), max(limits.values()))
-    rows = rows.where(F.col("rank") <= F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[way])
 
     q = Window.partitionBy(*KEY)
     rows = rows.withColumn("_routed", F.bool_or(way == ROUTED).over(q))
@@ -170,12 +168,6 @@ def search(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAU
     return rows.select(*KEY, *names, "place")
 
 
-def top_k_by_way(rows: DataFrame, k: int) -> DataFrame:
-    """First k rows of each question and way of finding them; tasks drop the rest before they are exchanged."""
-    w = Window.partitionBy(*KEY, "_way").orderBy("distance", "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def format_context(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Prompt context of each question: numbered excerpts under a budget, cut rather than left out.
 

@@ -13,6 +13,7 @@ from ..functions import references as R
 from ..functions import text as T
 from ..functions import unicode as U
 from ..operators import catalog, chunking, conversations, evaluation, report, retrieval
+from ..operators.nearest import within
 from ..sources import html as pages_html
 from ..sources import pages as page_files
 from . import frames as fr
@@ -621,7 +622,7 @@ def _(spark, d):
 
 @query("joi5_similarity_pairs", f"WITH {VECTORS} SELECT question_id, id, distance FROM pairs WHERE distance <= 0.5")
 def _(spark, d):
-    near = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d)).where("distance <= 0.5")
+    near = within(fr.vectors(spark, d), fr.questions(spark, d), 0.5)
     return near.select("question_id", "id", "distance")
 
 
@@ -854,8 +855,7 @@ def _(spark, d):
     SELECT question_id, id, rank FROM r WHERE rank <= 8""",
 )
 def _(spark, d):
-    rows = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d)).where("startswith(lower(source), lower(prefix)) and readable")
-    return retrieval.top_k(rows, 8).select("question_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 8, "named").select("question_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
