@@ -24,6 +24,7 @@ def queries():
         "op11_document_fingerprints": sketches.op11_document_fingerprints,
         "op12_source_divergence": tries.op12_source_divergence,
         "op13_phrase_collocations": collocations.op13_phrase_collocations,
+        "quality_common_lines": quality.quality_common_lines,
     }
 
 
@@ -39,4 +40,5 @@ def oracle_sql():
         "op11_document_fingerprints": sketches.OP11_SQL,
         "op12_source_divergence": tries.OP12_SQL,
         "op13_phrase_collocations": collocations.OP13_SQL,
+        "quality_common_lines": quality.COMMON_LINES_SQL,
     }

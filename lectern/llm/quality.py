@@ -67,7 +67,7 @@ def line_frequency(lines: DataFrame, min_docs: int, max_share: float, totals: Da
     """(host, line) of the lines that more than max(min_docs, max_share of the host's documents) hold.
 
     Documents count by `copy`, a hash of their whole set of lines: copies of one text count once, all
-    others each, however many of their lines are common to the host.
+    others each, however many of their lines are common to the host. `totals` has to count them so too.
     """
     per_text = lines.select("host", "line", "copy").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(float(max_share)) * F.col("host_docs"))
@@ -91,8 +91,9 @@ def quality_rules(
     Base rule: fewer than `min_words` words, or more than `max_repeat_percent` of them in three-word
     windows found twice. Line rule: lines are lower-cased, white space is collapsed, the result hashed;
     lines in too many distinct documents of a host (see line_frequency) are struck, and a document that
-    loses more than `max_removed_percent` of its words is depleted: rejected. `with_text` adds
-    kept_text, the text without struck lines; `carry_text` keeps the text's own column.
+    loses more than `max_removed_percent` of its words is depleted: rejected. Copies, documents with one
+    set of lines, count once, for a line and for the host alike. `with_text` adds kept_text, the text
+    without struck lines; `carry_text` keeps the text's own column.
 
     Null text is empty (base_failed); a null host is a host of its own; repeated rows and ids each keep
     their own row; an empty table gives an empty result. A text of any length is judged whole in its row
@@ -108,12 +109,11 @@ def quality_rules(
     if not with_text:
         judged = judged.drop("text")
     judged = judged.withColumn("lines", F.transform("lines", lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), F.size(split_words(x)).alias("words"))))
-    judged = scratch.write(judged.withColumn("row", F.monotonically_increasing_id()), "judged")
+    held = F.sort_array(F.array_distinct(F.col("lines.line")))
+    judged = scratch.write(judged.withColumn("copy", F.xxhash64(held)).withColumn("row", F.monotonically_increasing_id()), "judged")
 
-    lines = F.array_sort(F.array_distinct(F.col("lines.line")))
-    each = judged.select("host", F.xxhash64(lines).alias("copy"), lines.alias("held")).distinct()
-    each = each.select("host", "copy", F.explode("held").alias("line"))
-    totals = judged.groupBy("host").agg(F.count("*").alias("host_docs"))
+    each = judged.select("host", "copy", held.alias("held")).distinct().select("host", "copy", F.explode("held").alias("line"))
+    totals = judged.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     struck = scratch.write(line_frequency(each, min_docs, max_share, totals), "struck")
 
     found = judged.select("row", "host", F.explode("lines").alias("one")).select("row", "host", "one.line", "one.words").join(struck, ["host", "line"])
@@ -147,8 +147,20 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP10_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents),
+#: A notice of 16 lines under every second document, whose language is the host.
+NOTICE = " under this page stands line {0} of the notice that all pages in this language bear"
+
+
+def quality_common_lines(spark, sf_dir: str) -> DataFrame:
+    """The quality rules where lines are struck: documents by language, every second one with a notice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    lines = F.concat(*[F.concat(F.lit("\n"), F.col("lang"), F.lit(NOTICE.format(k))) for k in range(1, 17)])
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", lines)).otherwise(F.col("text")))
+    out = quality_rules(docs, host="lang", with_text=True)
+    return out.select("doc_id", "n_words", "base_failed", "kept", "removed_words", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_RULES_SQL = r"""
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -157,11 +169,23 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 nl AS (SELECT doc_id, host, list_transform(ls, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))) AS nls FROM w),
 copies AS (SELECT DISTINCT host, list_sort(list_distinct(nls)) AS held FROM nl),
 freq AS (SELECT host, line, count(*) AS docs FROM (SELECT host, unnest(held) AS line FROM copies) GROUP BY host, line),
-struck AS (SELECT host, line FROM freq JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) USING (host) WHERE docs > greatest(20, 0.05 * n)),
+struck AS (SELECT host, line FROM freq JOIN (SELECT host, count(*) AS n FROM copies GROUP BY host) USING (host) WHERE docs > greatest(20, 0.05 * n)),
 lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM (SELECT doc_id, host, unnest(nls) AS line FROM nl) JOIN struck USING (host, line) GROUP BY doc_id),
 r AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS removed_words
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 50 * n_words AS kept FROM r
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 50 * n_words AS kept FROM r)
 """
+
+OP10_SQL = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS host FROM documents)," + _RULES_SQL + "SELECT * FROM judged"
+
+COMMON_LINES_SQL = (
+    """WITH d AS (SELECT doc_id, coalesce(lang, '') AS host, coalesce(text, '') || CASE WHEN doc_id % 2 = 0
+  THEN array_to_string(list_transform(range(1, 17), lambda k: chr(10) || coalesce(lang, '') || replace('NOTICE', '{0}', CAST(k AS VARCHAR))), '') ELSE '' END AS t FROM documents),""".replace("NOTICE", NOTICE)
+    + _RULES_SQL
+    + r""", parts AS (SELECT doc_id, host, pos, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm
+  FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d)),
+left_ AS (SELECT doc_id, string_agg(parts.line, chr(10) ORDER BY pos) AS t FROM parts ANTI JOIN struck ON struck.host = parts.host AND struck.line = parts.norm GROUP BY doc_id)
+SELECT doc_id, n_words, base_failed, kept, removed_words, sha256(coalesce(left_.t, '')) AS kept_sha256 FROM judged LEFT JOIN left_ USING (doc_id)"""
+)

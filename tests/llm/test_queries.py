@@ -8,6 +8,7 @@ import pytest
 from oracle import compare, connect
 
 from lectern import llm
+from lectern.llm import quality
 
 from . import fixtures as fx
 
@@ -60,7 +61,7 @@ def judged(rows, min_docs):
     normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
     lines = [[normal(x) for x in (r["text"] or "").split("\n") if words_of(x)] for r in rows]
     copies = {(r["source"], frozenset(x)) for r, x in zip(rows, lines, strict=True)}
-    docs, hosts = collections.Counter((h, x) for h, s in copies for x in s), collections.Counter(r["source"] for r in rows)
+    docs, hosts = collections.Counter((h, x) for h, s in copies for x in s), collections.Counter(h for h, _ in copies)
     for r, own in zip(rows, lines, strict=True):
         w = words_of(r["text"])
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
@@ -87,6 +88,23 @@ def test_quality_stage_on_awkward_rows(spark, sf_dir):
     assert kept == {*range(100, 130), *range(300, 315)}
 
 
+def test_copies_of_one_document_do_not_raise_the_limit(spark):
+    rng = random.Random(3)
+    notice = [fx.sentence(rng, 9) for _ in range(20)]
+    rows = [(k, "\n".join([*notice, fx.sentence(rng, 60)]), "h") for k in range(100)]
+    rows += [(1000 + k, fx.sentence(random.Random(1), 80), "h") for k in range(3000)]  # 3,000 copies: 5 % of all rows would be 155
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = quality.quality_rules(docs, with_text=True).collect()
+    assert {r["removed_words"] for r in out if r["doc_id"] < 1000} == {180} and {r["removed_words"] for r in out if r["doc_id"] >= 1000} == {0}
+    assert not any(r["kept"] for r in out if r["doc_id"] < 1000)
+    assert {len(r["kept_text"].split()) for r in out if r["doc_id"] < 1000} == {60}
+
+
+def test_common_lines_are_struck_in_the_query(spark, sf_dir):
+    out = llm.queries()["quality_common_lines"](spark, sf_dir).collect()
+    assert any(r["removed_words"] > 0 for r in out) and any(not r["kept"] and not r["base_failed"] for r in out)
+
+
 def test_near_duplicate_stage_on_awkward_rows(spark, sf_dir):
     def shingles(t):
         w = words_of((t or "").lower())
