@@ -9,6 +9,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import aside
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S
@@ -33,7 +36,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = frozenset("table ul ol dl article section main div body html blockquote aside form nav header footer".split())
 
 # Words in class names and ids. A listed name lowers the score of what an element holds; nothing is dropped by it alone.
-COMMENT_WORDS = frozenset("comment comments commentlist replies disqus".split())
+COMMENT_WORDS = frozenset(
+    "comment comments commentlist commentaires comentarios kommentare replies responses reactions discussion discussions disqus guestbook".split()
+)
 STRONG_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "cookie cookies gdpr consent popup modal share sharing related recommended subscribe newsletter signup pagination pager".split()
@@ -41,6 +46,11 @@ STRONG_WORDS = frozenset(
 WEAK_WORDS = frozenset(
     "banner header head foot respond notice notices notification alert overlay social login search toolbar widget copyright disclaimer skip".split()
 )
+#: What a listed word may stand with and still name the whole element: with any other word it only may.
+PLACES = frozenset(
+    "box boxes container wrapper wrap block area list lists link links button buttons bar section inner outer top left right bottom main primary secondary site page global "
+    "post posts article articles story stories item items content text body unit slot row col column panel module group form region zone first second last new more icon icons".split()
+)
 STATES = frozenset("has with without no is open closed on off enabled allowed".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PLAIN, WEAK, STRONG, COMMENT, NEVER = range(5)
@@ -64,9 +74,11 @@ def kind_of_name(name: str) -> int:
         return PLAIN
     if any(x in COMMENT_WORDS for x in parts):
         return COMMENT
-    if any(x in STRONG_WORDS for x in parts) or len(parts) == 1 and parts[0] in WEAK_WORDS:
-        return STRONG
-    return WEAK if any(x in WEAK_WORDS for x in parts) else PLAIN
+    listed = [x in STRONG_WORDS or x in WEAK_WORDS for x in parts]
+    if not any(listed):
+        return PLAIN
+    sure = any(x in STRONG_WORDS for x in parts) or len(parts) == 1
+    return STRONG if sure and all(a or x in PLACES for a, x in zip(listed, parts, strict=True)) else WEAK
 
 
 def kind_of(tag: str, attributes: str) -> int:
@@ -210,12 +222,62 @@ def _ancestors(node: Node):
         yield node
 
 
+def _length(node: Node) -> int:
+    n, todo = 0, [node]
+    while todo:
+        for x in todo.pop().items:
+            if isinstance(x, str):
+                n += len(x)
+            else:
+                todo.append(x)
+    return n
+
+
+def mark_lists(root: Node) -> list[list[Node]]:
+    """Marks lists of articles that follow the page's own text, or stand inside an article, as comments.
+
+    Elements of one shape, repeated: replies of readers, or teasers of other articles. A list counts as the
+    page's own where no article and fewer than two long paragraphs stand before it; those are returned.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.kind != NEVER:
+            order.append(node)
+            todo.extend(x for x in reversed(node.items) if not isinstance(x, str))
+    lists = {}
+    for k, node in enumerate(order):
+        if node.tag == "article":
+            holder = node.parent
+            while holder.tag == "li":
+                holder = holder.parent
+            lists.setdefault(id(holder), (holder, k, []))[2].append(node)
+    own = []
+    if sum(len(x) for *_, x in lists.values()) < 2:
+        return own
+    first = next(k for k, x in enumerate(order) if x.tag == "article")
+    for holder, at, members in lists.values():
+        if len(members) < 2:
+            continue
+        if not (first < at or any(x.tag == "article" for x in (holder, *_ancestors(holder)))):
+            before = (x for x in order[:at] if x.tag == "p" and x.kind == PLAIN and _length(x) >= 80)
+            if next(before, None) is None or next(before, None) is None:
+                own.append(members)
+                continue
+        for x in members:
+            x.kind = max(x.kind, COMMENT)
+        if holder.tag not in KEPT_TAGS and sum(map(_length, members)) >= 0.8 * _length(holder):
+            holder.kind = max(holder.kind, COMMENT)
+    return own
+
+
 def main_nodes(root: Node) -> list[Node | str]:
     """The best container and those of its siblings that belong to it, in page order.
 
     The best is the node with the highest score after its own share of linked text is taken off; of equal
     ones the first. Inside an article (or a main element of which it holds most) that element takes its place.
     """
+    listed = mark_lists(root)
     nodes = measure(root)
     for node in nodes:
         node.score *= 1 - density(node)
@@ -228,8 +290,12 @@ def main_nodes(root: Node) -> list[Node | str]:
         if up.tag == "article" and 3 * best.total >= up.total or up.tag == "main" and 2 * best.total >= up.total:
             best = up
             break
-    if best.parent is None or best.tag == "article":
+    if best.parent is None:
         return [best]
+    if best.tag == "article":  # alone, or with others as good in a page that lists them
+        line = max(10.0, 0.2 * best.score)
+        of = next((x for x in listed if best in x), [best])
+        return [x for x in of if x is best or x.kind == PLAIN and x.score >= line]
     return _with_siblings(best)
 
 
@@ -274,10 +340,10 @@ def _dropped(x: Node, total: float) -> bool:
     """Whether an element inside what is kept (of `total` points) is none of the article.
 
     Comments go unless they are nearly all there is, other listed names unless they hold most of the points,
-    and names that only may be junk where the element is also short or full of links.
+    and names that only may be junk where the element is also full of links, or short and no sentence.
     """
     if x.kind == WEAK:
-        return density(x) > 0.33 or x.chars < 80 and not x.heads
+        return density(x) > 0.33 or x.chars < 80 and not x.heads and not (x.points and x.commas)
     return x.kind == NEVER or x.kind == STRONG and 2 * x.total <= total or x.kind == COMMENT and x.total <= 0.9 * total
 
 
@@ -313,7 +379,9 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     empty table gives an empty result. A page of any length is read whole, in time linear in it, with some
     30 times its bytes in its task. Columns named text or n_chars are replaced, others are kept.
     """
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    names = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    away, back = aside(names)
+    kept = [f"c{k}" for k in range(len(names))]
 
     def run(batches):
         for b in batches:
@@ -321,8 +389,9 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*kept, "text", "n_chars"])
 
-    taken = pages.select(*kept, F.coalesce(F.col(html), F.lit("")).alias(html))
-    return taken.mapInArrow(run, pages.select(*kept).schema.add("text", "string").add("n_chars", "long"))
+    taken = pages.select(*away, F.coalesce(F.col("`" + html.replace("`", "``") + "`"), F.lit("")).alias("html"))
+    made = taken.mapInArrow(run, T.StructType([*taken.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return made.select(*back, "text", "n_chars")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
