@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mixing
-from ._common import Scratch
+from ._common import Scratch, aside
 
 CAPACITY = 2048
 #: Slots of the mixed order (each a block of code points) that are packed together: some 500 sequences.
@@ -153,18 +153,21 @@ def pack(pieces: DataFrame, scratch: Scratch, key: list[str], capacity: int = CA
     plan = scratch.spark.createDataFrame(slots, "length long, lo long, hi long, first_sequence long, copies long, at long")
 
     buckets = max(64, total // 200_000)
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    within = Window.partitionBy("length", "_bucket").orderBy(*key)
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(counts, ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.join(F.broadcast(plan), "length").where("_rank >= lo and _rank < hi")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    away, back = aside(names)
+    key = [f"c{names.index(c)}" for c in key]
+    rows = pieces.select(*away, "length").withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    within = Window.partitionBy("length", "bucket").orderBy(*key)
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
+    placed = ranked.join(F.broadcast(plan), "length").where("rank >= lo and rank < hi")
     return placed.select(
-        *pieces.columns,
-        F.expr("first_sequence + (_rank - lo) div copies").alias("sequence_id"),
-        F.expr("at + pmod(_rank - lo, copies) * length").alias("offset"),
+        *back,
+        F.expr("first_sequence + (rank - lo) div copies").alias("sequence_id"),
+        F.expr("at + pmod(rank - lo, copies) * length").alias("offset"),
     )
 
 
@@ -219,15 +222,24 @@ def pack_mixed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
 
     schema = T.StructType(rows.drop("_key").schema.fields).add("sequence_id", "long").add("offset", "long")
     placed = scratch.write(rows.groupBy("window").applyInArrow(packed, schema), "placed")
-    before, total = [], 0
-    for r in placed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n")).orderBy("window").collect():
-        before.append((r["window"], total))
-        total += r["n"]
-    plan = docs.sparkSession.createDataFrame(before, "window long, first long")
-    out = placed.join(F.broadcast(plan), "window").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
+    first = first_sequences(placed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n")), scratch)
+    out = placed.join(first, "window").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
     return out.select(doc_id, *pieces.columns[1:], "sequence_id", "offset")
 
 
+def first_sequences(counts: DataFrame, scratch: Scratch, bucket: int = 1024) -> DataFrame:
+    """(window, first): how many sequences the windows before it have, of (window, n).
+
+    A running sum in two steps, inside buckets of windows and over the buckets, so that no task has all
+    windows and none of them reaches the driver.
+    """
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = scratch.write(counts.withColumn("bucket", F.expr(f"window div {int(bucket)}")), "windows")
+    inside = counts.select("window", "bucket", before(Window.partitionBy("bucket").orderBy("window")).alias("inside"))
+    over = counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", before(Window.orderBy("bucket")).alias("over"))
+    return inside.join(over, "bucket").select("window", (F.col("inside") + F.col("over")).alias("first"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

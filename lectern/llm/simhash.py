@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, connected_components
+from ._common import Scratch, aside, connected_components
 
 SEED = 42
 BITS = 64
@@ -41,7 +41,9 @@ def fingerprint_of(data: bytes, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
     """The columns of `docs` but its text, and fp (the 64 bits as a signed long). Null text is empty."""
-    kept = [c for c in docs.columns if c not in (text, "fp")]
+    names = [c for c in docs.columns if c not in (text, "fp")]
+    away, back = aside(names)
+    kept = [f"c{k}" for k in range(len(names))]
 
     def run(batches):
         for b in batches:
@@ -49,9 +51,9 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
             fps = np.fromiter((fingerprint_of(t.as_buffer().to_pybytes(), words) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
-    taken = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
-    schema = taken.drop("_bytes").schema.add("fp", "long")
-    return taken.mapInArrow(run, schema)
+    taken = docs.select(*away, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    schema = taken.drop("bytes").schema.add("fp", "long")
+    return taken.mapInArrow(run, schema).select(*back, "fp")
 
 
 class PivotTables:

@@ -427,3 +427,26 @@ def test_mixing(spark, broadcast_phases):
     assert all(order[k] == v for k, v in blocks.items())
     assert mixing.mix_sources(fx.empty(spark)).count() == 0
     assert mixing.mixed_order(docs).columns == docs.columns
+
+
+def test_first_sequences_and_columns_of_any_name(spark):
+    from lectern.llm._common import Scratch
+
+    rng = np.random.default_rng(3)
+    rows = [(int(w), int(n)) for w, n in zip(rng.permutation(500), rng.integers(1, 9, 500), strict=True)]
+    got = packing.first_sequences(spark.createDataFrame(rows, "window long, n long"), Scratch(spark, "test"), 7)
+    total, expected = 0, []
+    for w, n in sorted(rows):
+        expected.append((w, total))
+        total += n
+    assert sorted(map(tuple, got.collect())) == expected
+    pieces = spark.createDataFrame([(k, 900 + k % 3, 9, 8, 7) for k in range(40)], "id long, length long, _rank int, `_bu.cket` int, c0 int")
+    out = packing.pack(pieces, Scratch(spark, "test"), ["id"])
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert {(r["_rank"], r["_bu.cket"], r["c0"]) for r in out.collect()} == {(9, 8, 7)} and out.count() == 40
+
+
+def test_fingerprints_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", 2)], "doc_id long, text string, _bytes string, `a.b` int")
+    out = simhash.fingerprints(docs)
+    assert out.columns == ["doc_id", "_bytes", "a.b", "fp"] and tuple(out.first())[:3] == (1, "x", 2)
