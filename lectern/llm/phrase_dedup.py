@@ -139,7 +139,7 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     range has few entries for each shard, so hot passages stay small.
 
     Null text has no words; texts shorter than a window are kept; rows tied in doc_id follow each other by
-    shard and place in it; null ids come first; an empty table gives an empty result. A text longer than
+    shard and place in it; ids are whole numbers (a text id raises), null ids come first; an empty table gives an empty result. A text longer than
     `shard_bytes` is a shard of its own, held whole in one task (about 40 times its bytes in arrays).
     """
     scratch = Scratch(docs.sparkSession, "phrases")

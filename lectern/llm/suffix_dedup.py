@@ -102,7 +102,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     kept_text shows as U+FFFD; kept_sha256 is of the bytes themselves.
 
     Null text is empty; texts shorter than WIDTH are kept; rows tied in doc_id follow each other by shard
-    and place in it; null ids come first; an empty table gives an empty result.
+    and place in it; ids are whole numbers (a text id raises), null ids come first; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -174,20 +174,21 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
             columns, names = [*columns, repeats.unpacked_rows(row["rest"])], [*names, "rest"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), repeats.judge_classes, scratch, "classes")
-    known = shards.join(classes, "shard", "left")
-    pieces = repeats.exchange(known.mapInArrow(ask_pieces, repeats.LINES), repeats.judge_classes, scratch, "pieces")
-    lines = scratch.write(known.join(pieces, "shard", "left").mapInArrow(sort_windows, repeats.LINES), "sorted", batch=1)
-    windows = repeats.exchange(lines.where("r >= 0"), repeats.judge_windows, scratch, "windows")
-    states = lines.where("r < 0").select("shard", F.col("blob").alias("state"))
-    known = shards.join(states, "shard").join(windows, "shard", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    schema = T._parse_datatype_string(schema)
-    if carry:
-        schema = schema.add("rest", docs.select(F.struct(*carry).alias("rest")).schema["rest"].dataType)
-    result = scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
-    repeats.drop_shards(scratch, "classes_answers", "pieces_answers", "sorted", "windows_answers")
-    return result
+    try:
+        classes = repeats.exchange(shards.mapInArrow(ask_classes, repeats.LINES), repeats.judge_classes, scratch, "classes")
+        known = shards.join(classes, "shard", "left")
+        pieces = repeats.exchange(known.mapInArrow(ask_pieces, repeats.LINES), repeats.judge_classes, scratch, "pieces")
+        lines = scratch.write(known.join(pieces, "shard", "left").mapInArrow(sort_windows, repeats.LINES), "sorted", batch=1)
+        windows = repeats.exchange(lines.where("r >= 0"), repeats.judge_windows, scratch, "windows")
+        states = lines.where("r < 0").select("shard", F.col("blob").alias("state"))
+        known = shards.join(states, "shard").join(windows, "shard", "left")
+        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+        schema = T._parse_datatype_string(schema)
+        if carry:
+            schema = schema.add("rest", docs.select(F.struct(*carry).alias("rest")).schema["rest"].dataType)
+        return scratch.write(known.mapInArrow(finish, schema), "result", batch=1)
+    finally:
+        repeats.drop_shards(scratch, "classes_answers", "pieces_answers", "sorted", "windows_answers")
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
