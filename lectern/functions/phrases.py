@@ -52,7 +52,7 @@ EVIDENCE_STOPWORDS = (
     "avec", "dans", "des", "est", "les", "pour", "que", "quel", "quelle", "sont", "une", "the", "what", "which",
     "التي", "الذي", "في", "من", "ما", "ماذا", "هل", "هي", "هو",
 )
-# Patterns in Java's syntax for lines of reasoning, references in chats, and the numbers that route a search.
+# Patterns in Java's syntax for lines of reasoning, references in chats, and the numbers that route a search.
 REASONING_LINE = (
     r"(?i)^(?:okay|ok|hmm|wait|let['’]s\s+(?:tackle|analy[sz]e|think)|i\s+(?:need|have|should|will)\s+to|we\s+need\s+to|"
     r"the user (?:is asking|asks)|je dois|voyons|analysons|حسن[ًاا]|دعني|أحتاج)"
@@ -61,14 +61,14 @@ CHAT_REFERENCE = (
     r"(?i)(?:\b\d{1,4}[_/-]\d{4}\b|(?:texte|document|note|circulaire)\s*(?:n[°o]?|num[eé]ro)?\s*\d{1,4}|"
     r"(?:النص|الوثيقة|المذكرة|المنشور)\s*(?:عدد|رقم)?\s*\d{1,4})"
 )
-#: Number and year, most specific first.
+# Number and year, most specific first.
 ROUTES = (
     r"(?<!\d)(\d{1,4})\s*[_-]\s*(\d{4})(?!\d)",
     r"(?:النص|للنص|الوثيقة|القرار)\s*(?:عدد|رقم)?\s*(\d{1,4})(?:\s*(?:لسنة|سنة)\s*(\d{4}))?",
     r"(?i)(?:texte|document)\s*(?:n(?:o|°)?|num(?:e|é)ro)?\s*(\d{1,4})(?:\s*(?:de|/)\s*(\d{4}))?",
     r"(?<!\d)(\d{1,4})\s*(?:لسنة|سنة)\s*(\d{4})(?!\d)",
 )
-#: Patterns in Python's syntax for number and year of a document.
+# Patterns in Python's syntax for number and year of a document.
 REFERENCES = tuple(
     re.compile(p)
     for p in (

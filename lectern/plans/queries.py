@@ -814,9 +814,10 @@ ABSENT_RISK = "CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'high'
 
 def absent_answers(spark, d):
     answer = F.get(F.array(*map(F.lit, ABSENT_ANSWERS)), (F.col("doc_id") % 6).cast("int"))
-    rows = fr.table(spark, d, "labels").select("doc_id", "quality", answer.alias("answer")).withColumn("d", U.decision_udf("answer"))
+    rows = fr.table(spark, d, "labels").select("doc_id", "quality", answer.alias("answer"))
+    rows = evaluation.decided(rows)
     missing = evaluation.unavailable_signal(F.col("answer"))
-    ok, risk = evaluation.absent_answer(missing, F.col("d.decision"), F.col("d.contradiction"), R.cited_source(F.col("answer")))
+    ok, risk = evaluation.absent_answer(missing, F.col("decision"), F.col("contradiction"), R.cited_source(F.col("answer")))
     return rows.select("doc_id", "quality", ok.alias("correct"), risk.alias("risk"))
 
 
@@ -1497,8 +1498,8 @@ def _(spark, d, rows):
     """Driver messages after a leading yes, a leading no, and a yes that is taken back; their own words say neither."""
     lead = F.get(F.array(F.lit("Oui. "), F.lit("Non: "), F.lit("Oui, pas disponible. ")), (F.col("turn") % 3).cast("int"))
     m = fr.messages(spark, d).select(F.concat(F.lit("d"), "conv_id", F.lit("/"), "turn").alias("case"), F.concat(lead, F.length("text").cast("string")).alias("text"))
-    told = m.unionByName(rows).select("case", U.decision_udf("text").alias("d"))
-    return told.select("case", F.concat("d.decision", F.lit("/"), F.col("d.contradiction").cast("string")).alias("value"))
+    told = evaluation.decided(m.unionByName(rows), "text")
+    return told.select("case", F.concat("decision", F.lit("/"), F.col("contradiction").cast("string")).alias("value"))
 
 
 CITING = """CASE WHEN question_id % 250 = 0 THEN 'Rien' ELSE 'x' || chr(10) || 'Source: ' || CASE WHEN question_id % 100 = 0 THEN 'SRC1' ELSE 'src' || (question_id // 50 % 3) || '_en.pdf' END || CASE WHEN question_id % 150 = 0 THEN '' ELSE ', page ' || (question_id // 50 % 7) END END"""

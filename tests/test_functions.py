@@ -106,11 +106,34 @@ def test_answers(spark):
     assert values(spark, R.long_copy(F.col("x"), F.lit(chunk)), ["a" + chunk, "mot " * 50]) == [True, False]
 
 
-def test_decision():
-    assert U.decision("Oui, c'est prévu.") == ("yes", False)
-    assert U.decision("Non, rien.\nSource: a, page 1") == ("no", False)
-    assert U.decision("oui mais le texte n'existe pas") == ("unknown", True)
-    assert U.decision("Le délai est de dix jours") == ("unknown", False)
+def test_decision(spark):
+    from lectern.operators import evaluation
+
+    asked = {
+        "Oui, c'est prévu.": ("yes", False), "Non, rien.\nSource: a, page 1": ("no", False), "oui mais le texte n'existe pas": ("unknown", True),
+        "Le délai est de dix jours": ("unknown", False), "L'information n'est pas disponible": ("no", False), "Le texte existe": ("yes", False),
+        "Non, le texte existe": ("unknown", True), "Non, c'est disponible": ("no", False), "C'est disponible mais pas exigé": ("unknown", True),
+        "نعم، موجود": ("yes", False), "المعلومة غير متوفرة": ("no", False), "": ("unknown", False), "Source: oui": ("unknown", False), None: (None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in asked], "answer string")
+    got = {r["answer"]: (r["decision"], r["contradiction"]) for r in evaluation.decided(rows).collect()}
+    assert got == asked
+    told = {r[0]: r[1] for r in rows.select("answer", evaluation.unavailable_signal(F.col("answer"))).collect()}
+    assert [k for k, x in told.items() if x] == ["L'information n'est pas disponible", "المعلومة غير متوفرة"]
+
+
+def test_forms_by_whole_strings():
+    """Character by character as on whole strings, over all characters that decompose."""
+    import unicodedata
+
+    points = [chr(k) for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000 and chr(k) not in U.FOLLOW_UP_LETTERS and chr(k) not in U.ANSWER_LETTERS]
+    text = " ".join(points)
+    bare = lambda x: "".join(c for c in x if not unicodedata.combining(c))
+    assert text.translate(U.BARE) == bare(unicodedata.normalize("NFKD", text.casefold()))
+    assert U.header("Été — ½ ﬁn") == "ete 1 2 fin" and U.follow_up("l’Été ﻯ") == "l'ete ي"
+
+
+def test_normalized():
     assert U.normalized("L'Été (12) الكتاب") == "l ete كتاب"
 
 

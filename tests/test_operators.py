@@ -145,3 +145,34 @@ def test_files(spark, tmp_path):
     files.write_chunks(chunks, str(tmp_path / "chunks"))
     assert spark.read.parquet(str(tmp_path / "chunks")).where("language = 'fr'").count() == 1
     assert files.with_columns(chunks, files.METADATA).columns[2:] == [c for c in files.METADATA_FIELDS if c != "language"]
+
+
+def test_facts_are_found_by_keys(spark):
+    """The same pairs as the rule on every pair of a fact and a text, in one pass and in several."""
+    import contextlib
+    import io
+    import itertools
+    import random
+
+    from lectern.functions.unicode import normalized_udf
+
+    rng = random.Random(7)
+    words = ["a", "ba", "cat", "scat", "cats", "dix", "jours", "10", "%", "é", "يجب", "إيداع", "الملف", "خلال", "عشرة", "أيام", "x-y", "€"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(100, None), (101, "")]
+    facts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for k in range(80)]
+    facts += [(200, None), (201, " "), (202, "€"), (203, "a cat"), (204, "cat"), (205, "DIX Jours"), (206, "10%"), (207, "يجب إيداع الملف خلال أيام عشرة")]
+    t = spark.createDataFrame(texts, "tid long, text string").repartition(3)
+    f = spark.createDataFrame(facts, "fid long, fact string")
+    norm_t = {r[0]: r[1] for r in t.select("tid", normalized_udf("text")).collect()}
+    norm_f = {r[0]: r[1] for r in f.select("fid", normalized_udf("fact")).collect()}
+    pairs = [(a, b, norm_t[b], norm_f[a]) for a, b in itertools.product(norm_f, norm_t) if norm_f[a] and norm_t[b] is not None]
+    both = spark.createDataFrame(pairs, "fid long, tid long, t string, p string")
+    expected = sorted((r["fid"], r["tid"]) for r in both.where(evaluation.present(F.col("t"), F.col("p"))).collect())
+    assert len(expected) > 200
+    for limit in (evaluation.BROADCAST_FACTS, 20):
+        got = evaluation.fact_texts(f, t, "fid", "fact", "tid", "text", limit)
+        assert sorted(map(tuple, got.collect())) == expected
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        got.explain("formatted")
+    assert "NestedLoop" not in shown.getvalue() and "Cartesian" not in shown.getvalue()
+    assert evaluation.fact_texts(f, t.limit(0), "fid", "fact", "tid", "text").count() == 0
