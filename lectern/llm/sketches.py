@@ -102,7 +102,7 @@ def merge_sketches(parts: DataFrame, key: str, sketch: str = "sketch", k: int =
     sketches empty; a key without hashes has an empty sketch; an empty table gives none.
     """
     held = parts.select(F.col(key).alias("key"), F.coalesce(F.col(sketch), F.array().cast(NONE)).alias("sketch"))
-    each = held.select("key", F.explode("sketch").alias("h")).distinct()
+    each = held.select("key", F.explode_outer("sketch").alias("h")).where("h is not null").distinct()  # outer: else Spark would work the sketches out twice, for a filter
     ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("n") <= k)
     found = ranked.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("found"))
     keys = held.select("key").distinct()
