@@ -55,23 +55,52 @@ def actions(records: DataFrame, known_urls: DataFrame, known_hashes: DataFrame)
     rows = first_by_url(records)
     rows = rows.join(known_urls.select("pdf_url").distinct().withColumn("_url", F.lit(True)), "pdf_url", "left")
     rows = rows.join(known_hashes.select("content_sha256").distinct().withColumn("_hash", F.lit(True)), "content_sha256", "left")
-    fresh = F.when(F.col("_url").isNull() & F.col("_hash").isNull(), F.col("ordinal"))
-    earliest = F.min(fresh).over(Window.partitionBy("content_sha256"))
-    action = F.when(F.col("_url"), "skip_url").when(F.col("_hash") | (F.col("ordinal") > earliest), "duplicate_hash").otherwise("download")
-    return rows.withColumn("action", action).drop("_url", "_hash")
+    # The first of each content by an aggregate and a join, so that one error page sent for all URLs is no hot window.
+    fresh = rows.where("_url is null and _hash is null").groupBy("content_sha256").agg(F.min("ordinal").alias("_first"))
+    rows = rows.join(fresh, "content_sha256", "left")
+    action = F.when(F.col("_url"), "skip_url").when(F.col("_hash") | (F.col("ordinal") > F.col("_first")), "duplicate_hash").otherwise("download")
+    return rows.withColumn("action", action).drop("_url", "_hash", "_first")
+
+
+#: Buckets in which the places of a key's rows are counted.
+RANK_BUCKETS = 256
+
+
+def place_of(rows: DataFrame, by: list[str], order: str, name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Adds the 1-based place of each row among the rows of its key (`by`), in the order of a number without repeats.
+
+    Keys are cut into buckets at quantiles of `order` over all rows, which one aggregate finds when this is
+    called; rows are counted by key and bucket and placed inside their bucket, so a key that a third of
+    all rows share is spread over a third of the buckets' tasks. Null keys are keys too.
+    """
+    at = [k / buckets for k in range(1, buckets)]
+    cuts = rows.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(10 * buckets)).alias("c")).first()["c"] or []
+    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    rows = rows.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order)))
+    same = F.col("_bucket") == F.col("_b")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    return rows.join(counts, same).withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before", "_b", *[f"_k{k}" for k in range(len(by))])
 
 
 def unique_names(rows: DataFrame, name: str, digest: str, order: str) -> DataFrame:
-    """Adds destination: the first of a name keeps it, others get 8 digits of their hash, then a counter."""
-    mark = F.substring(digest, 1, 8)
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(order)))
-    again = F.row_number().over(Window.partitionBy(name, mark).orderBy(order))
-    owner = F.min("_n").over(Window.partitionBy(name, mark)) == 1  # its first row kept the plain name
-    rows = rows.withColumn("_m", again - F.when(owner, 1).otherwise(0))
+    """Adds destination: the first of a name keeps it, others get 8 digits of their hash, then a counter.
+
+    The first of a name comes from an aggregate, the counter from places in buckets (see place_of): one name
+    for a third of all rows is no hot window. `order` numbers the rows without repeats.
+    """
+    first = rows.groupBy(F.col(name).alias("_name")).agg(F.min(order).alias("_first"))
+    rows = rows.withColumn("_mark", F.substring(digest, 1, 8)).join(first, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+    plain = F.col(order) == F.col("_first")  # keeps the name, and so does not count among those of its mark
+    rows = place_of(rows.withColumn("_again", ~plain), [name, "_mark", "_again"], order, "_m")
     stem, suffix = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
-    marked = F.concat(stem, F.lit("_"), mark)
-    dest = F.when(F.col("_n") == 1, F.col(name)).when(F.col("_m") <= 1, F.concat(marked, suffix)).otherwise(F.concat(marked, F.lit("_"), F.col("_m").cast("string"), suffix))
-    return rows.withColumn("destination", dest).drop("_n", "_m")
+    marked = F.concat(stem, F.lit("_"), "_mark")
+    dest = F.when(~F.col("_again"), F.col(name)).when(F.col("_m") <= 1, F.concat(marked, suffix)).otherwise(F.concat(marked, F.lit("_"), F.col("_m").cast("string"), suffix))
+    return rows.withColumn("destination", dest).drop("_mark", "_again", "_first", "_m")
 
 
 def counters(rows: DataFrame) -> DataFrame:

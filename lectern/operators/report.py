@@ -18,6 +18,18 @@ def counters(chunks: DataFrame, field: str) -> DataFrame:
     return chunks.groupBy(F.coalesce(F.col(field), F.lit("unknown")).alias(field)).agg(F.count("*").alias("chunks"))
 
 
+def all_counters(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, chunks) of every one of `fields`, null as unknown, in one pass: a grouping set for each."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in fields]
+    sets = chunks.select(*values).groupingSets([[c] for c in fields], *fields).agg(F.grouping_id().alias("_set"), F.count("*").alias("chunks"))
+    # In a set's number the bits of all fields but its own are on, the first field's being the highest.
+    n = len(fields)
+    is_set = [F.col("_set") == (1 << n) - 1 - (1 << (n - 1 - k)) for k in range(n)]
+    field = F.coalesce(*[F.when(x, F.lit(c)) for x, c in zip(is_set, fields, strict=True)])
+    value = F.coalesce(*[F.when(x, F.col(c)) for x, c in zip(is_set, fields, strict=True)])
+    return sets.select(field.alias("field"), value.alias("value"), "chunks")
+
+
 def document_stats(chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Chunks, pages and bad chunks of each document, in one partial aggregate."""
     bad = F.count_if(F.col("corrupted")) if "corrupted" in chunks.columns else F.lit(0).cast("long")

@@ -742,31 +742,41 @@ def _(spark, d):
 
 @query(
     "agg3_ingestion_summary",
-    f"""WITH {CHUNKS}, bad AS (SELECT relative_path FROM pages_t GROUP BY 1 HAVING count(*) % 4 = 0), ok AS (SELECT * FROM chunks_t WHERE relative_path NOT IN (SELECT relative_path FROM bad))
-    SELECT (SELECT count(DISTINCT relative_path) FROM pages_t) AS found, (SELECT count(DISTINCT relative_path) FROM ok) AS ingested, (SELECT count(*) FROM ok) AS chunks,
-    (SELECT coalesce(string_agg(relative_path || ': broken', '|' ORDER BY relative_path), '') FROM bad) AS failed""",
+    f"""WITH {CHUNKS}, n AS (SELECT relative_path, count(*) AS n FROM pages_t GROUP BY 1), bad AS (SELECT relative_path, n % 8 = 0 AS broken FROM n WHERE n % 4 = 0),
+    ok AS (SELECT * FROM chunks_t WHERE relative_path NOT IN (SELECT relative_path FROM bad))
+    SELECT NULL AS failed_file, (SELECT count(*) FROM n) AS found, (SELECT count(DISTINCT relative_path) FROM ok) AS ingested, (SELECT count(*) FROM ok) AS chunks, (SELECT count(*) FROM bad) AS failed
+    UNION ALL SELECT relative_path || CASE WHEN broken THEN ': broken' ELSE ': no usable text' END, NULL, NULL, NULL, NULL FROM bad""",
 )
 def _(spark, d):
-    """Files whose number of pages is a multiple of four count as broken."""
+    """Files whose number of pages is a multiple of eight count as broken, of four as empty; a row for each of them."""
     p = fr.pages(spark, d)
-    bad = p.groupBy("relative_path").count().where("count % 4 = 0").select("relative_path", F.lit("broken").alias("error"))
-    good = p.join(bad, "relative_path", "left_anti")
-    out = page_files.ingestion_summary(p, good, bad, chunking.split_pages(good), "relative_path")
-    return out.select("found", "ingested", "chunks", F.array_join("failed", "|").alias("failed"))
+    counts = p.groupBy("relative_path").count()
+    bad = counts.where("count % 8 = 0").select("relative_path", F.lit("broken").alias("error"))
+    good = p.join(counts.where("count % 4 > 0"), "relative_path", "left_semi")
+    outcomes = page_files.file_outcomes(p, good, bad, chunking.split_pages(good), "relative_path")
+    total = page_files.ingestion_summary(outcomes).select(F.lit(None).cast("string").alias("failed_file"), "found", "ingested", "chunks", "failed")
+    none = [F.lit(None).cast("long")] * 4
+    return total.union(outcomes.where("error is not null").select(F.concat("relative_path", F.lit(": "), "error"), *none))
 
 
-@query("agg4_corpus_counters", f"WITH {CHUNKS} SELECT CASE WHEN page % 5 = 0 THEN 'ocr_psm_3' ELSE 'pymupdf' END AS extraction_method, count(*) AS chunks FROM chunks_t GROUP BY 1")
+@query(
+    "agg4_corpus_counters",
+    f"""WITH {TABLE}, m AS (SELECT language, CASE WHEN ocr_used THEN 'ocr_psm_3' ELSE 'pymupdf' END AS method, language_source FROM ct)
+    SELECT 'language' AS field, language AS value, count(*) AS chunks FROM m GROUP BY 2 UNION ALL SELECT 'extraction_method', method, count(*) FROM m GROUP BY 2
+    UNION ALL SELECT 'language_source', language_source, count(*) FROM m GROUP BY 2""",
+)
 def _(spark, d):
-    return report.counters(fr.chunk_table(spark, d), "extraction_method")
+    return report.all_counters(fr.chunk_table(spark, d), ["language", "extraction_method", "language_source"])
 
 
 @query(
     "agg8_corpus_totals",
     f"""WITH {TABLE} SELECT count(*) AS total_chunks, count(DISTINCT source) AS total_documents, count_if(ocr_used) AS ocr_based_chunks, count(*) - count_if(ocr_used) AS native_extraction_chunks,
-    count_if(quality < 0.5) AS low_quality_chunks FROM ct""",
+    count_if(quality < 0.5) AS low_quality_chunks, count_if(NOT readable) AS unreadable_chunks, count_if(page % 9 = 2) AS corrupted_chunks FROM cr""",
 )
 def _(spark, d):
-    return report.totals(fr.chunk_table(spark, d)).select("total_chunks", "total_documents", "ocr_based_chunks", "native_extraction_chunks", "low_quality_chunks")
+    """Every ninth page counts as corrupted."""
+    return report.totals(fr.chunk_table(spark, d).withColumn("corrupted", F.col("page") % 9 == 2))
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -146,11 +148,38 @@ def load_pages(
     return chunking.cascade(found, ["path", "page"], config), failed
 
 
-def ingestion_summary(files: DataFrame, pages: DataFrame, failed: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:
-    """One row: files found, files with chunks, chunks, and the failed files with what is wrong with them, sorted."""
-    none = files.select(key).distinct().join(pages.select(key).distinct(), key, "left_anti").join(failed.select(key), key, "left_anti")
-    lines = failed.select(F.concat(key, F.lit(": "), "error").alias("line")).unionByName(none.select(F.concat(key, F.lit(": no usable text")).alias("line")))
-    found = files.agg(F.count_distinct(key).alias("found"))
-    made = chunks.agg(F.count_distinct(key).alias("ingested"), F.count("*").alias("chunks"))
-    wrong = lines.agg(F.sort_array(F.collect_list("line")).alias("failed"))
-    return found.join(F.broadcast(made)).join(F.broadcast(wrong))
+def file_outcomes(files: DataFrame, pages: DataFrame, failed: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:
+    """A row for each file: its chunks, and what is wrong with it (null if nothing).
+
+    A file that neither failed nor gave a page has no usable text; one with several errors has them in one
+    line, sorted. One grouping over what was seen of each file, counted before it is exchanged.
+    """
+    none = F.lit(None).cast("string")
+    seen = [
+        files.select(F.col(key).alias("path"), F.lit(0).alias("read"), none.alias("error"), F.lit(0).alias("n")),
+        pages.select(F.col(key), F.lit(1), none, F.lit(0)).distinct(),
+        failed.select(F.col(key), F.lit(1), F.col("error"), F.lit(0)),
+        chunks.groupBy(key).agg(F.lit(1), F.lit(None).cast("string"), F.count("*")),
+    ]
+    each = reduce(DataFrame.union, seen).groupBy("path").agg(F.max("read").alias("read"), F.sum("n").alias("chunks"), F.sort_array(F.collect_set("error")).alias("errors"))
+    error = F.when(F.size("errors") > 0, F.array_join("errors", "; ")).when(F.col("read") == 0, "no usable text")
+    return each.select(F.col("path").alias(key), "chunks", error.alias("error"))
+
+
+def ingestion_summary(outcomes: DataFrame) -> DataFrame:
+    """One row: files found, files with chunks, chunks, failed files. What is wrong with them stays in rows of its own."""
+    return outcomes.agg(
+        F.count("*").alias("found"), F.count_if(F.col("chunks") > 0).alias("ingested"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.count("error").alias("failed")
+    )
+
+
+def write_counted(chunks: DataFrame, path: str, format: str = "parquet", partition_by: str | None = None, **options) -> dict[str, int]:
+    """Writes a chunk table and returns its counters, which are observed in the pass that writes: chunks, unreadable,
+    recognised, and characters. No second scan."""
+    seen = Observation("chunks")
+    have = set(chunks.columns)
+    metrics = [F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("document")), F.lit(0)).alias("characters")]
+    metrics += [F.count_if(test).alias(name) for name, column, test in (("unreadable", "readable", ~F.col("readable")), ("recognised", "ocr_used", F.col("ocr_used"))) if column in have]
+    out = chunks.observe(seen, *metrics).write.mode("overwrite").options(**options)
+    (out.partitionBy(partition_by) if partition_by else out).format(format).save(path)
+    return seen.get

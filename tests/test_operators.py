@@ -65,6 +65,25 @@ def test_catalog(spark):
     assert [r["destination"] for r in got] == ["a.pdf", "a_22222222.pdf", "a_22222222_2.pdf", "a_11111111.pdf"]
 
 
+def test_one_name_for_a_third_of_all_rows(spark):
+    rows = [("a.pdf" if k % 3 == 0 else f"n{k % 50}", f"{k % 7}" * 64, k) for k in range(900)] + [(None, "x" * 64, 1000), (None, "x" * 64, 1001)]
+    got = catalog.unique_names(spark.createDataFrame(rows, "n string, h string, o long").repartition(4), "n", "h", "o")
+    expected, seen, marks = {}, set(), {}
+    for n, h, o in rows:
+        if n not in seen:
+            seen.add(n)
+            expected[o] = n
+            continue
+        m = marks[n, h] = marks.get((n, h), 0) + 1
+        if n is not None:
+            stem, dot, tail = n.partition(".")
+            expected[o] = f"{stem}_{h[:8]}" + (f"_{m}" if m > 1 else "") + dot + tail
+        else:
+            expected[o] = None
+    assert {r["o"]: r["destination"] for r in got.collect()} == expected
+    assert catalog.unique_names(spark.createDataFrame([], "n string, h string, o long"), "n", "h", "o").count() == 0
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "Quel est le taux ?"), (1, 1, "assistant", "Dix.\n\nSource : a.pdf, page 1"), (1, 2, "user", "Pourquoi ?"), (1, 3, "user", "Explique cela"), (2, 0, "user", "Pourquoi ?"), (1, 4, "user", "Explique cela document 12")]
     out = conversations.rewritten_questions(spark.createDataFrame(rows, "s int, o int, role string, text string"), "s", "o")
@@ -107,6 +126,8 @@ def test_report(spark):
     t = report.totals(df).first()
     assert (t["total_chunks"], t["unreadable_chunks"], t["corrupted_chunks"], t["low_quality_chunks"]) == (3, 1, None, 1)
     assert {r["language"]: r["chunks"] for r in report.counters(df, "language").collect()} == {"fr": 1, "unknown": 1, "ar": 1}
+    every = {(r["field"], r["value"]): r["chunks"] for r in report.all_counters(df, ["language", "source", "readable"]).collect()}
+    assert every == {("language", "fr"): 1, ("language", "unknown"): 1, ("language", "ar"): 1, ("source", "a"): 2, ("source", "b"): 1, ("readable", "true"): 1, ("readable", "unknown"): 1, ("readable", "false"): 1}
 
 
 PAGE = """<html><body><table><tr><th>Numero du texte</th><th>Objet</th><th>Date</th></tr>

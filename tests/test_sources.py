@@ -37,8 +37,11 @@ def test_load_pages(spark):
     told = {(r["path"], r["page"]): r["method"] for r in seen.collect()}
     assert told[("/raw/fr/a.txt", 1)] == "pymupdf" and told[("/raw/fr/a.txt", 2)] == "ocr_psm_3" and told[("/raw/fr/d.txt", 1)] == "pymupdf"
     chunks = chunking.split_pages(found.withColumn("relative_path", F.col("path")))
-    s = pages.ingestion_summary(df, found, failed, chunks).first()
-    assert (s["found"], s["ingested"], s["chunks"]) == (4, 2, 4) and [x.split(":")[0] for x in s["failed"]] == ["/raw/fr/b.txt", "/raw/fr/c.txt"] and s["failed"][1].endswith("no usable text")
+    outcomes = pages.file_outcomes(df, found, failed, chunks.withColumnRenamed("path", "p").withColumn("path", F.col("p")))
+    s = pages.ingestion_summary(outcomes).first()
+    assert tuple(s) == (4, 2, 4, 2)
+    wrong = {r["path"]: r["error"] for r in outcomes.where("error is not null").collect()}
+    assert set(wrong) == {"/raw/fr/b.txt", "/raw/fr/c.txt"} and wrong["/raw/fr/b.txt"].startswith("UnicodeDecodeError") and wrong["/raw/fr/c.txt"] == "no usable text"
     empty, _ = pages.load_pages(df.limit(0), pages.PlainText())
     assert empty.count() == 0
 
@@ -107,3 +110,12 @@ def test_paths_and_filters(spark):
     got = df.select(files.full_path(F.col("p"), "/data").alias("f"), files.relative_to(files.full_path(F.col("p"), "/data"), "/data").alias("r")).collect()
     assert [tuple(r) for r in got] == [(None, None), ("/data/raw/x", "raw/x"), ("/data/raw/y", "raw/y"), ("s3://b/z", "s3://b/z")]
     assert files.safe_where(df, "n > 1").count() == 3 and files.safe_where(df, "missing = 1").count() == 0
+
+
+def test_counters_come_from_the_pass_that_writes(spark, tmp_path):
+    rows = [("abc", True, False, "fr"), ("de", None, True, "ar"), (None, False, True, "fr")]
+    df = spark.createDataFrame(rows, "document string, readable boolean, ocr_used boolean, language string")
+    told = pages.write_counted(df, str(tmp_path / "chunks"), partition_by="language")
+    assert told == {"chunks": 3, "characters": 5, "unreadable": 1, "recognised": 2}
+    assert spark.read.parquet(str(tmp_path / "chunks")).where("language = 'fr'").count() == 2
+    assert pages.write_counted(df.limit(0).select("document"), str(tmp_path / "none")) == {"chunks": 0, "characters": 0}
