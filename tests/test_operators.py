@@ -197,3 +197,13 @@ def test_facts_are_found_by_keys(spark):
         got.explain("formatted")
     assert "NestedLoop" not in shown.getvalue() and "Cartesian" not in shown.getvalue()
     assert evaluation.fact_texts(f, t.limit(0), "fid", "fact", "tid", "text").count() == 0
+
+
+def test_selected_questions(spark):
+    import pytest
+
+    q = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id int, t string")
+    assert [r["id"] for r in evaluation.selected(q, "id", limit=2).collect()] == [1, 2] and evaluation.selected(q, "id").count() == 3
+    assert [r["id"] for r in evaluation.selected(q, "id", wanted=3, limit=1).collect()] == [3]
+    with pytest.raises(ValueError, match="9"):
+        evaluation.selected(q, "id", wanted=9)
