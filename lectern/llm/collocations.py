@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._common import Scratch
+from ._common import Scratch, arrow_batches
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: A-Z in lower case, separators of pieces as line feeds, tabs as spaces.
 PIECE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
-#: Distinct pieces, or phrases, that a task counts before they are sent on.
-HELD = 300_000
+#: Distinct pieces that a task counts before they are sent on.
+HELD = 100_000
 #: Bytes of distinct pieces in a shard, and of text for each bucket of the shards' table.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Memory of duckdb in a task; beyond it duckdb goes to the task's own spool.
 DUCKDB_MB = 512
 PIECES = "shard long, lang string, piece binary, n long"
@@ -79,7 +79,8 @@ def deal_pieces(texts: DataFrame, scratch: Scratch, total: int, shard_bytes: int
     found = texts.mapInArrow(split, PIECES).repartition(buckets, "shard")
     dealt = found.groupBy("shard").applyInArrow(lambda _, t: packed(t), "shard long, langs array<string>, blob binary")
     table = repeats.shard_table(scratch)
-    dealt.write.bucketBy(buckets, "shard").option("compression", "none").option("path", scratch.path("shards")).mode("overwrite").saveAsTable(table)
+    with arrow_batches(scratch.spark, 200):
+        dealt.write.bucketBy(buckets, "shard").option("compression", "none").option("path", scratch.path("shards")).mode("overwrite").saveAsTable(table)
     return scratch.spark.table(table)
 
 
@@ -94,12 +95,19 @@ class Grams:
         last = self.text[self.ends] == 10
         self.piece = np.cumsum(last) - last
         self.weight = weight[self.piece]
-        symbols = self.text.astype(np.uint64) + np.uint64(1)
-        self.first = repeats.Hashes(symbols)
         self.salt = np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)[of_lang][self.piece]
+        symbols = self.text.astype(np.uint64) + np.uint64(1)
+        self.hash = repeats.Hashes(symbols)
+        self.more = np.zeros(len(symbols) + 1, np.uint64)  # sums of other symbols, for a second hash
+        np.cumsum(repeats.mixed(symbols) * repeats.powers(repeats.BASE, len(symbols)), dtype=np.uint64, out=self.more[1:])
+
+    def hashes(self, at: np.ndarray, size: np.ndarray | int) -> list[np.ndarray]:
+        s, e = self.starts[at], self.ends[at + size - 1]
+        two = repeats.mixed((self.more[e] - self.more[s]) * self.hash.inverse[s]) + self.salt[at]
+        return [self.hash.of(s, e) ^ self.salt[at], (two >> np.uint64(32)).astype(np.uint32)]
 
-    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        return self.first.of(self.starts[at], self.ends[at + size - 1]) ^ self.salt[at]
+    def phrase(self, at: int, size: int) -> tuple[str, bytes]:
+        return self.langs[self.of_lang[self.piece[at]]], self.text[self.starts[at] : self.ends[at + size - 1]].tobytes()
 
     def pairs(self) -> np.ndarray:
         """Where sequences of two words begin."""
@@ -109,40 +117,70 @@ class Grams:
         """(begin, size) of sequences of 3 to `most` words, all of whose pairs are `frequent` (begins of pairs)."""
         marked = np.zeros(len(self.starts) + most, bool)
         marked[frequent] = True
-        at, begins, sizes = frequent, [], []
+        at, begins, sizes = frequent, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for size in range(3, most + 1):
             at = at[marked[at + size - 2]]
             begins.append(at)
             sizes.append(np.full(len(at), size))
-        none = [np.empty(0, np.int64)]
-        return np.concatenate(begins or none), np.concatenate(sizes or none)
+        return np.concatenate(begins), np.concatenate(sizes)
 
 
 class Asked:
-    """Distinct hashes of a shard's sequences with their summed weights, and where each sequence's hash stands."""
-
-    def __init__(self, hashes: np.ndarray, weight: np.ndarray):
-        self.distinct, self.of = np.unique(hashes, return_inverse=True)
-        self.weight = np.bincount(self.of, weight, len(self.distinct)).astype(np.int64) if len(hashes) else np.empty(0, np.int64)
+    """Distinct sequences of a shard by 96 bits of hash, with their summed weights."""
+
+    def __init__(self, grams: Grams, at: np.ndarray, size: np.ndarray):
+        self.grams, self.at, self.size = grams, at, size
+        one, two = grams.hashes(at, size)
+        order = np.argsort(one, kind="stable")
+        new = np.r_[True, one[order][1:] != one[order][:-1]][: len(one)]
+        unlike = np.r_[False, two[order][1:] != two[order][:-1]][: len(one)]
+        if (unlike & ~new).any():
+            order = np.lexsort((two, one))
+            new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+        self.first = order[new]
+        self.one, self.two = one[self.first], two[self.first]
+        self.weight = np.add.reduceat(grams.weight[at][order], np.flatnonzero(new)) if len(one) else np.empty(0, np.int64)
+        self.of = np.empty(len(one), np.int64)
+        self.of[order] = np.cumsum(new) - 1
 
     def lines(self, bits: int):
-        return [(r, repeats.packed(self.distinct[s], self.weight[s])) for r, s in repeats.by_range(self.distinct, bits)]
+        return [(r, repeats.packed(self.one[s], self.two[s], self.weight[s])) for r, s in repeats.by_range(self.one, bits)]
 
     def frequent(self, cell) -> np.ndarray:
-        """Marks of the sequences that were answered with yes."""
-        told = repeats.bits_of(cell)
-        return told[self.of] > 0 if len(self.of) else np.empty(0, bool)
+        """Marks of the sequences that are frequent over all shards."""
+        return self._told(cell)[self.of] != 0
+
+    def owned(self, cell):
+        """(lang, phrase, size, count over all shards) of the frequent sequences that this shard tells."""
+        told = self._told(cell)
+        for k in np.flatnonzero(told > 0).tolist():
+            size = int(self.size[self.first[k]])
+            yield *self.grams.phrase(int(self.at[self.first[k]]), size), size, int(told[k])
+
+    def _told(self, cell) -> np.ndarray:
+        return repeats.answers_of(cell, (np.int64,))[0]
 
 
 def judge(table: pa.Table, min_count: int) -> pa.Table:
-    """For one range of hashes: which have `min_count` over all shards, counted in duckdb."""
+    """For one range of hashes, counted in duckdb: 0 where a sequence has fewer than `min_count` over all shards,
+    its count for one of the shards that have it, and -1 for the others."""
     blobs = [repeats.unpacked(x) for x in table.column("blob").to_pylist()]
     sizes = [len(x[0]) for x in blobs]
-    asked = pa.table({"h": np.concatenate([x[0] for x in blobs]), "n": np.concatenate([x[1] for x in blobs])})  # noqa: F841
+    one, two, n = (np.concatenate([x[k] for x in blobs]) for k in range(3))
+    told = np.zeros(len(one), np.int64)
+    asked = pa.table({"i": np.arange(len(one)), "one": one, "two": two, "n": n})  # noqa: F841
     with spooling() as con:
-        many = con.execute("SELECT h FROM asked GROUP BY h HAVING sum(n) >= ? ORDER BY h", [min_count]).fetchnumpy()["h"]
-    bits = np.concatenate([np.isin(x[0], many, assume_unique=True) for x in blobs]).astype(np.uint8)
-    return repeats.answered(table, sizes, bits)
+        con.execute("CREATE TABLE many AS SELECT one, two, min(i) AS first, sum(n) AS n FROM asked GROUP BY one, two HAVING sum(n) >= ?", [min_count])
+        found = con.execute("SELECT i, CAST(if(i = first, many.n, -1) AS BIGINT) AS told FROM asked JOIN many USING (one, two)").fetchnumpy()
+        told[found["i"]] = found["told"]
+    return repeats.answered(table, sizes, told)
+
+
+def exchange(lines: DataFrame, answer, scratch: Scratch, name: str) -> DataFrame:
+    """As repeats.exchange, but lines, which are most of the data here, go straight into the shuffle."""
+    back = scratch.write(lines.groupBy("r").applyInArrow(answer, repeats.ANSWERS), f"{name}_answers", batch=1)
+    scratch.free_shuffles()
+    return back.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("r", "bits"))).alias(name))
 
 
 def phrase_counts(texts: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT, most: int = MAX_WORDS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -155,91 +193,44 @@ def phrase_counts(texts: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT
         """Single words and pairs."""
         grams = Grams(row["langs"], row["blob"])
         words, pairs = np.arange(len(grams.starts)), grams.pairs()
-        hashes = np.r_[grams.hashes(words, 1), grams.hashes(pairs, 2)]
-        return grams, words, pairs, Asked(hashes, grams.weight[np.r_[words, pairs]])
+        return Asked(grams, np.r_[words, pairs], np.repeat([1, 2], [len(words), len(pairs)]))
 
-    def longer_of(row):
-        grams, words, pairs, asked = short_of(row)
-        many = asked.frequent(row["short"])
-        words, pairs = words[many[: len(words)]], pairs[many[len(words) :]]
-        begins, sizes = grams.longer(pairs, most)
-        hashes = [grams.hashes(begins[sizes == size], size) for size in range(3, most + 1)]
-        return grams, words, pairs, begins, sizes, Asked(np.concatenate(hashes or [np.empty(0, np.uint64)]), grams.weight[begins])
+    def longer_of(short, cell):
+        pairs = short.at[short.frequent(cell) & (short.size == 2)]
+        return Asked(short.grams, *short.grams.longer(pairs, most))
 
     def ask_short(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield repeats.lines_of(row["shard"], short_of(row)[-1].lines(bits))
+                yield repeats.lines_of(row["shard"], short_of(row).lines(bits))
 
     def ask_longer(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield repeats.lines_of(row["shard"], longer_of(row)[-1].lines(bits))
-
-    def frequent_phrases(batches):
-        def rows(counts):
-            keys = list(counts)
-            columns = [pa.array(x, t) for x, t in zip(zip(*keys, strict=True), (pa.string(), pa.binary(), pa.int32()), strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "size", "n"])
+                yield repeats.lines_of(row["shard"], longer_of(short_of(row), row["short"]).lines(bits))
 
-        counts = Counter()
+    def tell(batches):
         for b in batches:
             for row in b.to_pylist():
-                grams, words, pairs, begins, sizes, asked = longer_of(row)
-                kept = asked.frequent(row["longer"])
-                place = np.r_[words, pairs, begins[kept]]
-                counts.update(phrases_at(grams, place, np.r_[np.ones(len(words), int), np.full(len(pairs), 2), sizes[kept]]))
-                for k, n in enumerate(np.bincount(grams.of_lang[grams.piece], grams.weight, len(grams.langs))):
-                    counts[grams.langs[k], b"", 0] += int(n)
-                if len(counts) > HELD:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
-
-    def summed(batches):
-        with spooling() as con:
-            con.execute("CREATE TABLE found (lang VARCHAR, phrase BLOB, size INTEGER, n BIGINT)")
-            for b in batches:
-                part = pa.Table.from_batches([b])  # noqa: F841
-                con.execute("INSERT INTO found SELECT * FROM part")
-            summing = f"SELECT lang, phrase, size, CAST(sum(n) AS BIGINT) AS n FROM found GROUP BY ALL HAVING sum(n) >= {int(min_count)} OR size = 0"
-            for b in con.sql(summing).to_arrow_reader(10_000):
-                yield b.cast(pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("n", pa.int64())]))
+                short = short_of(row)
+                grams = short.grams
+                found = [*short.owned(row["short"]), *longer_of(short, row["short"]).owned(row["longer"])]
+                words = np.bincount(grams.of_lang[grams.piece], grams.weight, len(grams.langs))
+                found += [(x, b"", 0, int(n)) for x, n in zip(grams.langs, words, strict=True)]
+                columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "n"])
 
     try:
         answer = lambda _, t: judge(t, min_count)
-        short = repeats.exchange(shards.mapInArrow(ask_short, repeats.LINES), answer, scratch, "short")
+        scratch.free_shuffles()
+        short = exchange(shards.mapInArrow(ask_short, repeats.LINES), answer, scratch, "short")
         known = shards.join(short, "shard", "left")
-        longer = repeats.exchange(known.mapInArrow(ask_longer, repeats.LINES), answer, scratch, "longer")
-        known = known.join(longer, "shard", "left")
-        parts = scratch.write(known.mapInArrow(frequent_phrases, PHRASES), "phrases", batch=1)
-        parts = parts.withColumn("bucket", F.xxhash64("lang", "phrase")).repartition("bucket").drop("bucket")
-        counts = scratch.write(parts.mapInArrow(summed, PHRASES), "counts")
+        longer = exchange(known.mapInArrow(ask_longer, repeats.LINES), answer, scratch, "longer")
+        found = scratch.write(known.join(longer, "shard", "left").mapInArrow(tell, PHRASES), "phrases", batch=1)
     finally:
         repeats.drop_shards(scratch, "short_answers", "longer_answers")
-    found = counts.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", F.col("n").alias("f"))
-    return found.where("size > 0"), found.where("size = 0").select("lang", F.col("f").alias("n"))
-
-
-def phrases_at(grams: Grams, place: np.ndarray, size: np.ndarray) -> dict:
-    """(lang, phrase, size) -> summed weight of the sequences at `place`.
-
-    Sequences are put together by 128 bits of hash, and the bytes of one of them taken.
-    """
-    if not len(place):
-        return {}
-    s, e = grams.starts[place], grams.ends[place + size - 1]
-    one = grams.first.of(s, e) ^ grams.salt[place]
-    two = repeats.Hashes(repeats.mixed(grams.text.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))).of(s, e)
-    order = np.lexsort((two, one))
-    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
-    first = np.flatnonzero(new)
-    weight = np.add.reduceat(grams.weight[place][order], first)
-    at, text = order[first], grams.text.tobytes()
-    langs = [grams.langs[k] for k in grams.of_lang[grams.piece[place[at]]].tolist()]
-    cuts = zip(s[at].tolist(), e[at].tolist(), strict=True)
-    return {(x, text[a:b], n): w for x, (a, b), n, w in zip(langs, cuts, size[at].tolist(), weight.tolist(), strict=True)}
+    counts = found.where("size > 0").select("lang", F.col("phrase").cast("string").alias("phrase"), "size", F.col("n").alias("f"))
+    return counts, found.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _scores(cuts: DataFrame) -> DataFrame:
@@ -259,9 +250,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
 
     Texts are cut into pieces, equal pieces collapse into one with a multiplicity, and shards of them ask,
     by hash range, which of their words and word pairs are frequent over all shards, then which longer
-    sequences made of frequent pairs are: weighted counts in duckdb, out of core. A hash only ever lets more through; what
-    passes is counted again by its words in duckdb, a task for each hash bucket. For every cut of a
-    candidate the counts of its two parts are looked up by shuffled requests.
+    sequences made of frequent pairs are. Each range, a hash bucket, is counted in duckdb, out of core,
+    and sends counts back: one of the shards that hold a frequent sequence gets its count, and tells its
+    words. Sequences are told apart by 96 bits of hash. For every cut of a candidate the counts of its two
+    parts are looked up by shuffled requests.
 
     Null text is empty, a null language `und`; texts and pieces of any length are taken whole; repeated
     rows count each; ties go by count, then by the phrase's bytes; a language without candidates has no

@@ -59,5 +59,12 @@ def test_sequences_are_told_apart_by_their_bytes():
     blob = collocations.repeats.packed(*(collocations.np.array(x, t) for x, t in ((list(text), "u1"), ([0, 0, 1], "i4"), ([5, 1, 2], "i8"))))
     grams = collocations.Grams(["de", "en"], blob)
     at = grams.pairs()
-    assert at.tolist() == [0, 2, 4, 5]
-    assert collocations.phrases_at(grams, at, collocations.np.full(4, 2)) == {("de", b"aa b", 2): 5, ("de", b"a ab", 2): 1, ("en", b"aa b", 2): 2, ("en", b"b c", 2): 2}
+    assert at.tolist() == [0, 2, 4, 5] and grams.longer(at, 3)[0].tolist() == [4]
+    asked = collocations.Asked(grams, at, collocations.np.full(4, 2))
+    lines = [collocations.repeats.packed(asked.one, asked.two, asked.weight)] * 2
+    table = collocations.pa.table({"shard": [1, 2], "r": [0, 0], "blob": lines})
+    told = collocations.judge(table, 4)
+    half = told.slice(0, 1).to_pylist()
+    assert sorted(asked.owned(half)) == [("de", b"aa b", 2, 10), ("en", b"aa b", 2, 4), ("en", b"b c", 2, 4)]
+    assert not list(asked.owned(told.slice(1).to_pylist()))
+    assert asked.frequent(half).tolist() == [True, False, True, True]
