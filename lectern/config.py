@@ -26,3 +26,20 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder's path below the one that driver and executors share (spark.checkpoint.dir).
+
+    Only a session of one process, which may have none, gets a temporary folder.
+    """
+    import re
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lectern-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

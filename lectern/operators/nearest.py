@@ -29,7 +29,8 @@ class Way(NamedTuple):
     """A way of finding chunks: its number, which chunks it admits, and how many of the nearest it keeps.
 
     `kind`: `all`; `own`, readable chunks in the question's language; `named`, readable chunks whose source
-    starts with the question's prefix, whatever the case.
+    starts with the question's prefix, whatever the case; `cells`, chunks whose `_cell` is in the question's
+    array `_cells`.
     """
 
     number: int
@@ -56,13 +57,16 @@ class Questions:
         self.size = max(lengths, default=0)
         self.rows, self.matrix = unit_rows(table.column("query").combine_chunks(), self.size)
         self.table = table.drop_columns(["query"])
-        self.languages = self.table.column("question_language").to_pylist()
-        self.prefixes = self.table.column("prefix").to_pylist()
+        column = lambda c: self.table.column(c).to_pylist() if c in self.table.column_names else None
+        self.languages, self.prefixes, self.cells = (column(c) for c in ("question_language", "prefix", "_cells"))
+        self.of_cell = None
 
     def admitted(self, kind: str, chunks: pa.RecordBatch) -> np.ndarray | None:
         """Which questions (columns) a chunk (row) may answer; None where every one."""
         if kind == "all":
             return None
+        if kind == "cells":
+            return self._in_cells(chunks.column("_cell").to_numpy(zero_copy_only=False))
         out = np.zeros((chunks.num_rows, len(self.rows)), bool)
         readable = pc.fill_null(chunks.column("readable"), False).to_numpy(zero_copy_only=False).astype(bool)
         asked = self.languages if kind == "own" else self.prefixes
@@ -75,6 +79,15 @@ class Questions:
         return out
 
 
+    def _in_cells(self, cell: np.ndarray) -> np.ndarray:
+        if self.of_cell is None:
+            asked = [self.cells[k] or [] for k in self.rows.tolist()]
+            self.of_cell = np.zeros((max((max(x, default=-1) for x in asked), default=-1) + 2, len(asked)), bool)  # the last row: no question
+            for k, x in enumerate(asked):
+                self.of_cell[x, k] = True
+        return self.of_cell[np.minimum(cell, len(self.of_cell) - 1)]
+
+
 class Nearest:
     """The k nearest rows of each question so far."""
 
@@ -125,14 +138,14 @@ def _passes(chunks: DataFrame, questions: DataFrame, work, extra: list[T.StructF
     """
     names = [c for c in questions.columns if c != "query"]
     carried = [c for c in chunks.columns if c not in ("embedding", *names)]
-    taken = chunks.select("embedding", *carried, F.lower("source").alias("_folded"))
+    taken = chunks.select("embedding", *carried, *[F.lower("source").alias("_folded")] * ("source" in chunks.columns))
     schema = T.StructType([*(chunks.schema[c] for c in carried), *(questions.schema[c] for c in names), *extra])
     n = -(-questions.count() // block) or 1
     blocks = F.pmod(F.xxhash64("question_id"), F.lit(n))
     out = []
     for part in range(n):
-        table = (questions.where(blocks == part) if n > 1 else questions).withColumn("prefix", F.lower("prefix")).toArrow()
-        shown = (questions.where(blocks == part) if n > 1 else questions).select("question_id", F.col("prefix").alias("_shown"))
+        here = questions.where(blocks == part) if n > 1 else questions
+        table = here.withColumn("prefix", F.lower("prefix")).toArrow() if "prefix" in names else here.toArrow()
 
         def run(batches, table=table):
             asked = Questions(table)
@@ -141,15 +154,19 @@ def _passes(chunks: DataFrame, questions: DataFrame, work, extra: list[T.StructF
                 arrays = [found.column(c) for c in carried] + [of.column(c) for c in names] + [extras(found, f.name) for f in extra]
                 yield from pa.table(arrays, names=[f.name for f in schema]).combine_chunks().to_batches()
 
-        out.append(taken.mapInArrow(run, schema).drop("prefix").join(F.broadcast(shown), "question_id").withColumnRenamed("_shown", "prefix"))
+        found = taken.mapInArrow(run, schema)
+        if "prefix" in names:  # in its own case again
+            shown = here.select("question_id", F.col("prefix").alias("_shown"))
+            found = found.drop("prefix").join(F.broadcast(shown), "question_id").withColumnRenamed("_shown", "prefix")
+        out.append(found)
     return reduce(DataFrame.unionByName, out)
 
 
 def nearest(chunks: DataFrame, questions: DataFrame, ways: list[Way], block: int = QUESTIONS) -> DataFrame:
     """The way.k nearest chunks of each question and way, with `_way`, `distance` and `rank` (from 1).
 
-    `chunks` has id, embedding, source, and language and readable for the ways that need them; `questions`
-    has question_id, query, question_language, prefix. Distance is 1 - cosine in double precision to 6
+    `chunks` has id, embedding, and what its ways need (source, language, readable, _cell); `questions` has
+    question_id, query, and what they need (question_language, prefix, _cells). Distance is 1 - cosine in double precision to 6
     decimals; ties go by id. Vectors that are null, zero, not finite, or of another length than the
     longest question's are not found. All columns but the vectors come back.
     """

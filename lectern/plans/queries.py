@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
+from ..config import DEFAULT, shared_folder
 from ..functions import language as L
 from ..functions import phrases as P
 from ..functions import quality as Q
 from ..functions import references as R
 from ..functions import text as T
 from ..functions import unicode as U
-from ..operators import catalog, chunking, conversations, evaluation, report, retrieval
+from ..operators import catalog, chunking, conversations, evaluation, report, retrieval, vector_index
 from ..operators.nearest import within
 from ..sources import html as pages_html
 from ..sources import pages as page_files
@@ -860,6 +860,15 @@ def _(spark, d):
     return retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 10).select("question_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
 
+@query("snk1_indexed_search", f"WITH {RANKED} SELECT question_id, id, rank, distance FROM r WHERE rank <= 10")
+def _(spark, d):
+    """The collection written in cells around centres, and searched without the cells that are too far away."""
+    vectors = fr.vectors(spark, d).select("id", "embedding", "source", "page")
+    index = vector_index.build(vectors, shared_folder(spark, "cells"), 32)
+    found, _ = vector_index.search(spark, index, vectors.schema, fr.questions(spark, d), 10)
+    return found.select("question_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
+
+
 BONUS = """lr AS (SELECT *, round(distance - CASE WHEN language = question_language THEN 0.005 ELSE 0 END, 6) AS score FROM pairs),
 lk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score, distance, id) AS rank FROM lr)"""
 

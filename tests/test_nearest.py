@@ -86,3 +86,27 @@ def test_condition_columns_reach_the_scan(spark, sf_dir):
 
     chunks = fr.vectors(spark, sf_dir).where(F.col("language") == "fr")
     assert retrieval.knn(chunks, fr.questions(spark, sf_dir), 2).where("language <> 'fr'").count() == 0
+
+
+def test_indexed_search_loses_no_neighbour(spark, tmp_path):
+    from lectern.operators import vector_index
+
+    rng = random.Random(5)
+    spots = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    near = lambda s: [x + rng.gauss(0, 0.05) for x in s]
+    rows = [(k, near(rng.choice(spots[:3] if k % 3 else spots)), f"s{k % 4}") for k in range(1500)] + [(2000, None, "s"), (2001, [0.0] * 8, "s"), (2002, [1.0], "s")]
+    rows += [(3000 + k, rows[0][1], "copy") for k in range(30)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>, source string").repartition(6)
+    questions = spark.createDataFrame([(q, near(spots[q % 12])) for q in range(40)] + [(99, None)], "question_id long, query array<double>")
+    index = vector_index.build(chunks, str(tmp_path / "cells"), 24)
+    assert index.sizes.sum() == 1530 and (index.radius <= 2).all()
+    for k in (1, 10, 2000):
+        found, share = vector_index.search(spark, index, chunks.schema, questions, k)
+        exact = nearest.nearest(chunks, questions, [nearest.Way(0, "all", k)])
+        columns = ["question_id", "rank", "id", "distance", "source"]
+        assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, exact.select(columns).collect()))
+        assert share < 0.5 if k < 2000 else share == 1.0
+    none, share = vector_index.search(spark, index, chunks.schema, questions.limit(0), 3)
+    assert none.count() == 0 and share == 0.0
+    empty = vector_index.build(chunks.limit(0), str(tmp_path / "none"), 4)
+    assert vector_index.search(spark, empty, chunks.schema, questions, 3)[0].count() == 0
