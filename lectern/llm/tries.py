@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import Counter, defaultdict
-from itertools import groupby
+from bisect import bisect_left
+from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from ._common import Scratch
 #: Bytes of a term: letters of ASCII, A-Z in lower case, and all bytes of longer UTF-8 sequences.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIN_DOCS, TOP = 10, 10
-#: Distinct (lang, source, term) that a task counts before its tries are sent on.
-HELD_TERMS = 300_000
+#: Counters, one for each distinct term of a document, that a task holds before its tries are sent on.
+HELD_TERMS = 4_000_000
 #: Bytes of text for each prefix range, and the number of ranges at most.
 RANGE_BYTES, MAX_RANGES = 16 << 20, 4096
 #: Rows whose terms tell where prefix ranges begin.
@@ -32,116 +32,149 @@ TRIES = "lang string, range int, sources array<string>, blob binary"
 
 
 class RadixTrie:
-    """Byte strings in a tree whose edges are labelled with stretches of bytes; a leaf counts by source.
+    """Byte strings in a tree whose edges are labelled with stretches of bytes; leaves are numbered as they come.
 
-    A node is a pair: its edges by first byte, each [label, node], and its counters (or None).
+    A node is a pair: its edges by first byte, each [label, node], or None; and its leaf's number, or -1.
+    The counters of a leaf stand in arrays under its number.
     """
 
     def __init__(self):
-        self.root = [{}, None]
+        self.root = [None, -1]
         self.size = 0
 
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, made if it is new."""
-        node = self.root
-        while term:
-            edge = node[0].get(term[0])
+    def number(self, term: bytes) -> int:
+        """The number of a term's leaf; the next one if it is new."""
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            edges = node[0]
+            if edges is None:
+                edges = node[0] = {}
+            edge = edges.get(term[at])
             if edge is None:
-                node[0][term[0]] = edge = [term, [{}, None]]
+                edges[term[at]] = edge = [term[at:], [None, -1]]
             label = edge[0]
-            if not term.startswith(label):
-                n = next(k for k in range(min(len(label), len(term)) + 1) if label[: k + 1] != term[: k + 1])
-                edge[:] = label[:n], [{label[n]: [label[n:], edge[1]]}, None]
+            if not term.startswith(label, at):
+                n = next(k for k in range(len(label)) if label[k : k + 1] != term[at + k : at + k + 1])
+                edge[:] = label[:n], [{label[n]: [label[n:], edge[1]]}, -1]
                 label = edge[0]
-            term, node = term[len(label) :], edge[1]
-        if node[1] is None:
-            node[1] = {}
+            at, node = at + len(label), edge[1]
+        if node[1] < 0:
+            node[1] = self.size
             self.size += 1
         return node[1]
 
-    def add(self, term: bytes, counts) -> None:
-        """Adds (counter, number) pairs to a term's counters."""
-        own = self.leaf(term)
-        for k, n in counts:
-            own[k] = own.get(k, 0) + n
-
     def walk(self):
-        """(term, counters) in the order of bytes, which is the order of code points."""
-        stack = [(b"", self.root)]
+        """(term, bytes that it shares with the term before, number) in the order of bytes, which is that of code points.
+
+        Two neighbours share the path down to the lowest node between them.
+        """
+        stack, lowest = [(b"", self.root, 0)], 0
         while stack:
-            term, (edges, counts) = stack.pop()
-            if counts is not None:
-                yield term, counts
-            stack.extend((term + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True))
+            term, (edges, number), above = stack.pop()
+            if above < lowest:
+                lowest = above
+            depth = len(term)
+            if number >= 0:
+                yield term, lowest, number
+                lowest = depth
+            if edges:
+                stack.extend([(term + label, node, depth) for _, (label, node) in sorted(edges.items(), reverse=True)])
 
 
 #: The counter of a term's documents, beside those of its sources.
 DOCS = -1
 
 
-def written(leaves) -> bytes:
-    """Leaves in order: each term as what it shares with the one before and the rest, then its counters."""
-    shared, tails, docs, kinds, of, counts, before = [], [], [], [], [], [], b""
-    for term, leaf in leaves:
-        n = 0
-        for a, b in zip(before, term, strict=False):
-            if a != b:
-                break
-            n += 1
-        shared.append(n)
-        tails.append(term[n:])
-        docs.append(leaf.get(DOCS, 0))
-        own = [(k, v) for k, v in leaf.items() if k != DOCS]
-        kinds.append(len(own))
-        of.extend(k for k, _ in own)
-        counts.extend(v for _, v in own)
-        before = term
-    lengths = np.fromiter(map(len, tails), np.int32, len(tails))
-    small = [np.array(x, np.int32) for x in (shared, kinds, of)]
-    return repeats.packed(small[0], lengths, np.frombuffer(b"".join(tails), np.uint8), np.array(docs, np.int64), small[1], small[2], np.array(counts, np.int64))
-
-
-def read(blob: bytes):
-    """The terms of written leaves, their documents, and (term number, source, count) of every counter."""
-    shared, lengths, tails, docs, kinds, of, counts = repeats.unpacked(blob)
+def summed(at: np.ndarray, of: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Counters (number of a leaf, source or DOCS, count) in order, equal ones added up."""
+    if not len(at):
+        return [at, of, counts]
+    wide = int(of.max()) + 2
+    key = at.astype(np.int64) * wide + of + 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return [key[first] // wide, key[first] % wide - 1, np.add.reduceat(counts[order], first)]
+
+
+def written(trie: RadixTrie, counters: list[np.ndarray], cuts: list[bytes] = ()):
+    """(range, blob) of each stretch of a trie's walk between two of `cuts`: what each term adds to what it shares
+    with the one before, and its counters (see `summed`)."""
+    leaves = list(trie.walk())
+    terms, order = [x[0] for x in leaves], np.array([x[2] for x in leaves], np.int64)
+    at, of, counts = counters
+    kinds = np.bincount(at, minlength=trie.size)
+    starts = np.cumsum(kinds) - kinds
+    ends = [0, *(bisect_left(terms, c) for c in cuts), len(terms)]
+    for r, (lo, hi) in enumerate(pairwise(ends)):
+        if lo == hi:
+            continue
+        shared = [0, *(x[1] for x in leaves[lo + 1 : hi])]
+        tails = [t[n:] for t, n in zip(terms[lo:hi], shared, strict=True)]
+        here, n = order[lo:hi], kinds[order[lo:hi]]
+        rows = np.repeat(starts[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        small = [np.array(x, np.int32) for x in (shared, list(map(len, tails)), n, of[rows])]
+        yield r, repeats.packed(*small[:2], np.frombuffer(b"".join(tails), np.uint8), *small[2:], counts[rows].astype(np.int64))
+
+
+def read(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    """The terms of a written stretch, and their counters under the terms' places."""
+    shared, lengths, tails, kinds, of, counts = repeats.unpacked(blob)
     tails, terms, before, at = tails.tobytes(), [], b"", 0
     for n, m in zip(shared.tolist(), lengths.tolist(), strict=True):
         before = before[:n] + tails[at : at + m]
         at += m
         terms.append(before)
-    return terms, docs, np.repeat(np.arange(len(terms)), kinds), of, counts
+    return terms, [np.repeat(np.arange(len(terms)), kinds), of, counts]
+
+
+class Numbers(dict):
+    """Term -> its number, the next one if it is new."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
+class Counted:
+    """What a task has counted of a language: its terms' numbers, and counters of each document."""
+
+    def __init__(self):
+        self.numbers, self.sources, self.parts, self.held = Numbers(), Numbers(), [], 0
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        of = self.sources[source]
+        at, n = np.unique(np.fromiter(map(self.numbers.__getitem__, terms), np.int32, len(terms)), return_counts=True)
+        self.parts.append((at, np.full(len(at), of, np.int32), n))
+        self.held += len(at)
+
+    def counters(self) -> list[np.ndarray]:
+        at, of, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        docs = np.bincount(at, minlength=len(self.numbers))
+        every = np.arange(len(docs))
+        return summed(np.r_[every, at], np.r_[np.full(len(docs), DOCS), of], np.r_[docs, n])
 
 
 def tries_of_texts(texts: DataFrame, cuts: list[bytes]) -> DataFrame:
     """Tries of (lang, source, text as bytes), a row for each language and prefix range of a task's share."""
 
-    def flushed(counts, docs):
-        sources, tries = defaultdict(dict), defaultdict(RadixTrie)
-        for (lang, source), found in counts.items():
-            k = sources[lang].setdefault(source, len(sources[lang]))
-            for term, n in found.items():
-                tries[lang].leaf(term)[k] = n
-        for lang, found in docs.items():
-            for term, n in found.items():
-                tries[lang].leaf(term)[DOCS] = n
-        for lang, trie in tries.items():
-            for r, leaves in groupby(trie.walk(), lambda x: bisect_right(cuts, x[0])):
-                yield row_of(lang, r, list(sources[lang]), written(leaves))
+    def flushed(counted):
+        while counted:
+            lang, own = counted.popitem()
+            trie = RadixTrie()
+            for term in own.numbers:  # numbered in the same order
+                trie.number(term)
+            for r, blob in written(trie, own.counters(), cuts):
+                yield row_of(lang, r, list(own.sources), blob)
 
     def run(batches):
-        counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+        counted = defaultdict(Counted)
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                terms = text.translate(TERM_BYTES).split()
-                own = counts[lang, source]
-                held -= len(own)
-                own.update(terms)
-                held += len(own)
-                docs[lang].update(set(terms))
-                if held > HELD_TERMS:
-                    yield from flushed(counts, docs)
-                    counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
-        yield from flushed(counts, docs)
+                counted[lang].add(source, text.translate(TERM_BYTES).split())
+            if sum(x.held for x in counted.values()) > HELD_TERMS:
+                yield from flushed(counted)
+        yield from flushed(counted)
 
     return texts.mapInArrow(run, TRIES)
 
@@ -153,18 +186,23 @@ def row_of(lang: str, r: int, sources: list[str], blob: bytes) -> pa.RecordBatch
 
 def merge(table: pa.Table, min_docs: int = 0) -> pa.Table:
     """One trie of the tries of a prefix range; terms in fewer than `min_docs` documents are left out."""
-    trie, numbers = RadixTrie(), {}
+    numbers, sources, parts = Numbers(), Numbers(), []
     for names, blob in zip(table.column("sources").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        here = [numbers.setdefault(x, len(numbers)) for x in names]
-        terms, docs, at, of, counts = read(blob)
-        leaves = [trie.leaf(t) for t in terms]
-        for leaf, n in zip(leaves, docs.tolist(), strict=True):
-            leaf[DOCS] = leaf.get(DOCS, 0) + n
-        for k, s, n in zip(at.tolist(), of.tolist(), counts.tolist(), strict=True):
-            leaf, s = leaves[k], here[s]
-            leaf[s] = leaf.get(s, 0) + n
-    blob = written((t, x) for t, x in trie.walk() if x[DOCS] >= min_docs)
-    return pa.Table.from_batches([row_of(table.column("lang")[0].as_py(), table.column("range")[0].as_py(), list(numbers), blob)])
+        here = np.array([sources[x] for x in names] + [DOCS], np.int64)  # DOCS is -1, the last place
+        terms, (at, of, counts) = read(blob)
+        own = np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms))
+        parts.append((own[at], here[of], counts))
+    at, of, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    kept = np.zeros(len(numbers), bool)
+    kept[at[(of == DOCS) & (counts >= min_docs)]] = True
+    trie, place = RadixTrie(), np.cumsum(kept) - 1
+    for term, stays in zip(numbers, kept.tolist(), strict=True):
+        if stays:
+            trie.number(term)
+    stays = kept[at]
+    blob = next((x for _, x in written(trie, [place[at[stays]], of[stays], counts[stays]])), None)
+    rows = [row_of(table.column("lang")[0].as_py(), table.column("range")[0].as_py(), list(sources), blob)] if blob else []
+    return pa.Table.from_batches(rows, row_of("", 0, [], b"").schema)
 
 
 def merged_tries(tries: DataFrame, scratch: Scratch, min_docs: int) -> DataFrame:
@@ -220,7 +258,8 @@ def audited(tries: DataFrame, top: int = TOP) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                terms, _, at, of, counts = read(row["blob"])
+                terms, (at, of, counts) = read(row["blob"])
+                at, of, counts = at[of >= 0], of[of >= 0], counts[of >= 0]
                 names = [x["source"] for x in row["totals"]]
                 place = {x: k for k, x in enumerate(names)}
                 of = np.array([place[x] for x in row["sources"]], np.int64)[of] if len(of) else of
@@ -278,9 +317,9 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     def counted(batches):
         for b in batches:
             for row in b.to_pylist():
-                terms, _, _, of, counts = read(row["blob"])
+                terms, (_, of, counts) = read(row["blob"])
                 n = np.zeros(len(row["sources"]), np.int64)
-                np.add.at(n, of, counts)
+                np.add.at(n, of[of >= 0], counts[of >= 0])
                 names = [*row["sources"], None]
                 columns = [pa.array([row["lang"]] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([*n.tolist(), len(terms)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "n"])

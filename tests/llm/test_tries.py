@@ -21,20 +21,26 @@ def test_trie_counts_merges_and_keeps_order(added, cut):
     expected = collections.defaultdict(collections.Counter)
     for term, k, n in added:
         expected[term][k] += n
-    parts = []
+    rows = []
     for part in (added[:cut], added[cut:]):
         trie = tries.RadixTrie()
-        for term, k, n in part:
-            trie.add(term, [(k, n), (tries.DOCS, 1)])
-        assert trie.size == len(dict.fromkeys(t for t, *_ in part))
-        parts.append(tries.row_of("x", 0, ["a", "b", "c", "d"], tries.written(trie.walk())))
-    merged = tries.merge(tries.pa.Table.from_batches(parts)).to_pylist()[0]
-    terms, docs, at, of, counts = tries.read(merged["blob"])
-    assert terms == sorted(expected) and sum(docs) == len(added)
-    got = collections.defaultdict(collections.Counter)
-    for k, s, n in zip(at, of, counts, strict=True):
-        got[terms[k]]["abcd".index(merged["sources"][s])] += n
-    assert got == expected
+        at = np.array([trie.number(term) for term, _, _ in part], np.int64)
+        counters = [np.r_[at, at], np.r_[np.array([k for _, k, _ in part], np.int64), np.full(len(part), tries.DOCS)], np.r_[np.array([n for *_, n in part], np.int64), np.ones(len(part), np.int64)]]
+        assert [x[0] for x in trie.walk()] == sorted({t for t, *_ in part}) and trie.size == len({t for t, *_ in part})
+        cuts = sorted({t for t, *_ in added})[1::3]
+        for r, blob in tries.written(trie, tries.summed(*counters), cuts):
+            rows.append(tries.row_of("x", r, ["a", "b", "c", "d"], blob))
+    got, docs, order = collections.defaultdict(collections.Counter), 0, []
+    for r in sorted({x.column(1)[0].as_py() for x in rows}):
+        merged = tries.merge(tries.pa.Table.from_batches([x for x in rows if x.column(1)[0].as_py() == r])).to_pylist()[0]
+        terms, counters = tries.read(merged["blob"])
+        order += terms
+        for k, s, n in zip(*counters, strict=True):
+            if s == tries.DOCS:
+                docs += n
+            else:
+                got[terms[k]]["abcd".index(merged["sources"][s])] += n
+    assert order == sorted(expected) and docs == len(added) and got == expected
 
 
 @given(st.lists(st.integers(0, 10**14), min_size=1, max_size=9), st.integers(0, 10**9))
@@ -70,11 +76,7 @@ def audit(rows, min_docs, top):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_source_divergence(spark, monkeypatch, small):
-    """Also with many prefix ranges, tries sent early and merged in rounds, and a few cells at a time.
-
-    Tasks run in other processes, where the changed limits of this module do not hold; so limits that tasks
-    read are changed in the functions that make their closures.
-    """
+    """Also with many prefix ranges, and tries merged in rounds."""
     if small:
         monkeypatch.setattr(tries, "RANGE_BYTES", 50)
         monkeypatch.setattr(tries, "MERGE_FAN", 2)
