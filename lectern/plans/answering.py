@@ -23,6 +23,7 @@ from ..functions.language import chain_answer_language_matches, question_languag
 from ..functions.text import strip, zfill
 from ..functions.unicode import references_udf
 from ..operators import conversations, retrieval
+from .inference import AnswerStore
 
 
 class Embedder(Protocol):
@@ -140,12 +141,13 @@ def settled(asked: DataFrame) -> DataFrame:
     return asked.repartition("question_id")
 
 
-def ask(chunks: DataFrame, questions: DataFrame, generator: Generator, config: EngineConfig = DEFAULT) -> DataFrame:
+def ask(chunks: DataFrame, questions: DataFrame, generator: Generator, config: EngineConfig = DEFAULT, store: AnswerStore | None = None) -> DataFrame:
     """question_id, question, answer, sources for embedded questions over chunks (id, content, embedding, ...).
 
     Search, context, generation, one repair of answers that need it, one more prompt where an answer to a
     question on one document names others, evidence, footer. Questions without context get the set sentence
     that nothing is available. `error` is set where the answer is still empty or not valid after its repair.
+    With a `store`, prompts that it knows are answered from it, and the others are asked when this is called.
     """
     found = retrieval.search(chunks, questions, config)
     rows = found.join(chunks.select("id", "content", "readable"), "id")
@@ -154,7 +156,14 @@ def ask(chunks: DataFrame, questions: DataFrame, generator: Generator, config: E
         F.collect_list(F.coalesce("content", F.lit(""))).alias("_texts"), F.collect_list(F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit("")))).alias("_named_texts")
     )
     asked = questions.select("question_id", "question").join(context, "question_id", "left").join(seen, "question_id", "left")
-    said = lambda prompt: R.clean_answer(R.answer_text(generator.generate(prompt)))
+
+    def told(rows: DataFrame, name: str, prompt: Column) -> DataFrame:
+        """Adds what the model says to a prompt, cleaned."""
+        if store is None:
+            return settled(rows.withColumn(name, R.clean_answer(R.answer_text(generator.generate(prompt)))))
+        rows = store.answered(rows, prompt, generator, "_raw")
+        return rows.withColumn(name, R.clean_answer(R.answer_text(F.col("_raw")))).drop("_raw")
+
     q, c = F.col("question"), F.col("context")
     texts = F.coalesce("_texts", F.array().cast("array<string>"))
 
@@ -163,10 +172,11 @@ def ask(chunks: DataFrame, questions: DataFrame, generator: Generator, config: E
         copied = F.exists(texts, lambda t: R.long_copy(bare, t))
         return R.needs_repair(bare, chain_answer_language_matches(q, bare), copied, config.answer_words)
 
-    asked = settled(asked.withColumn("answer", said(answer_prompt(q, c, config.answer_words))))
+    asked = told(asked, "answer", answer_prompt(q, c, config.answer_words))
     bad = R.is_unavailable(F.coalesce("answer", F.lit(""))) | poor(F.col("answer"))
     asked = asked.withColumn("_bad", bad & c.isNotNull())
-    asked = settled(asked.withColumn("_again", F.nullif(said(F.when(F.col("_bad"), repair_prompt(q, c, config.answer_words))), F.lit(""))))
+    asked = told(asked, "_again", F.when(F.col("_bad"), repair_prompt(q, c, config.answer_words)))
+    asked = asked.withColumn("_again", F.nullif("_again", F.lit("")))
     asked = asked.withColumn("answer", F.when(F.col("_bad"), F.coalesce("_again", "answer")).otherwise(F.col("answer")))
     error = F.when(c.isNull(), F.lit(None)).when(F.coalesce("answer", F.lit("")) == "", "empty answer").when(poor(F.col("answer")), "invalid answer")
     asked = asked.withColumn("error", error)
@@ -178,7 +188,8 @@ def ask(chunks: DataFrame, questions: DataFrame, generator: Generator, config: E
     conflict = R.reference_conflict(F.col("_asked"), F.col("_named"), F.col("_context"), R.is_unavailable(F.coalesce("answer", F.lit(""))))
     asked = asked.withColumn("_conflict", F.coalesce(conflict & F.col("error").isNull() & c.isNotNull(), F.lit(False)))
     wanted = F.when(F.col("_conflict"), consistency_prompt(q, c, reference_label(F.col("_asked")), config.answer_words))
-    asked = settled(asked.withColumn("_third", F.when(F.col("_conflict"), said(wanted))))
+    asked = told(asked, "_third", wanted)
+    asked = settled(asked.withColumn("_third", F.when(F.col("_conflict"), F.col("_third"))))
     third = F.coalesce("_third", F.lit(""))
     asked = settled(asked.withColumn("_third_named", refs(R.strip_trailing_source(third))))
     still = R.reference_conflict(F.col("_asked"), F.col("_third_named"), F.col("_context"), R.is_unavailable(third))
