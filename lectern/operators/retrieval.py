@@ -213,7 +213,8 @@ def evidence(rows: DataFrame) -> DataFrame:
     distance = F.coalesce("distance", F.lit(1.0))
     overlap = F.size(F.array_intersect(entities, content)) * 0.12 + F.size(F.array_intersect(terms, content)) * 0.01 - distance
     w = Window.partitionBy(*KEY)
-    several = (question_language(F.col("question")) == "fr") & (F.size(F.collect_set("language").over(w)) > 1)
+    languages = F.collect_set(F.struct("language")).over(w)  # no language counts as one more
+    several = (question_language(F.col("question")) == "fr") & (F.size(languages) > 1)
     score = F.when(F.col("place") == named, F.lit(1e9)).when(several, -distance).otherwise(F.round(overlap, 9))
     best = F.row_number().over(w.orderBy(F.col("evidence_score").desc(), "place"))
     return rows.withColumn("evidence_score", score).withColumn("_n", best).where("_n = 1").drop("_n")

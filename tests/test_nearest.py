@@ -72,6 +72,12 @@ def test_a_task_keeps_no_more_than_its_nearest():
     assert best.settle().num_rows == 6
 
 
+def test_no_language_is_one_more_language(spark):
+    rows = [(1, "Quel délai pour le texte ?", "", "rien", 1, 0.1, "fr"), (1, "Quel délai pour le texte ?", "", "quel texte, délai pour le texte", 2, 0.12, None)]
+    asked = spark.createDataFrame(rows, "question_id long, question string, answer string, content string, place int, distance double, language string")
+    assert [r["place"] for r in retrieval.evidence(asked).collect()] == [1]
+
+
 @pytest.mark.parametrize("name", ["ret1_search", "top1_vector_knn", "joi5_similarity_pairs", "top3_document_knn"])
 def test_no_pair_of_all_is_a_row(spark, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
