@@ -1,8 +1,8 @@
 """Exact nearest chunks of a batch of questions, in memory that does not grow with the chunks.
 
 A task multiplies blocks of its chunks' vectors with the questions' matrix and keeps, for each question and
-way of finding chunks, the k nearest so far; what tasks keep is merged in two steps. No pair of a question
-and a chunk becomes a row unless it is among a task's nearest.
+way of finding chunks, the places of the k nearest so far, and each chunk among them once; what tasks keep
+is merged in two steps. No pair of a question and a chunk becomes a row unless it is among a task's nearest.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 QUESTIONS = 10_000
 #: Products held at a time.
 CELLS = 1 << 21
+#: Rows that a task gives back at a time.
+SLICE = 2_000
 #: Tasks whose nearest are merged in the first step.
 FAN = 64
 
@@ -28,14 +30,17 @@ FAN = 64
 class Way(NamedTuple):
     """A way of finding chunks: its number, which chunks it admits, and how many of the nearest it keeps.
 
-    `kind`: `all`; `own`, readable chunks in the question's language; `named`, readable chunks whose source
-    starts with the question's prefix, whatever the case; `cells`, chunks whose `_cell` is in the question's
-    array `_cells`.
+    `kind`: `all`; `own`, readable chunks in the question's language; `language`, any in it; `foreign`, chunks in
+    another language or in none; `named`, readable chunks whose source starts with the question's prefix, whatever
+    the case; `cells`, chunks whose `_cell` is in the question's array `_cells`; `beside`, chunks of the question's
+    `_source` whose page is in its array `_pages`, and `beside_language`, those of them in its language.
+    `each`: columns of which only the nearest row of each value counts.
     """
 
     number: int
     kind: str
     k: int
+    each: tuple[str, ...] = ()
 
 
 def unit_rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +54,10 @@ def unit_rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fine], matrix[fine] / norm[fine, None]
 
 
+def _true(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, False).to_numpy(zero_copy_only=False).astype(bool)
+
+
 class Questions:
     """A block of questions in a task: matrix, languages and prefixes as columns of a mask."""
 
@@ -58,7 +67,7 @@ class Questions:
         self.rows, self.matrix = unit_rows(table.column("query").combine_chunks(), self.size)
         self.table = table.drop_columns(["query"])
         column = lambda c: self.table.column(c).to_pylist() if c in self.table.column_names else None
-        self.languages, self.prefixes, self.cells = (column(c) for c in ("question_language", "prefix", "_cells"))
+        self.languages, self.prefixes, self.cells, self.sources, self.pages = (column(c) for c in ("question_language", "prefix", "_cells", "_source", "_pages"))
         self.of_cell = None
 
     def admitted(self, kind: str, chunks: pa.RecordBatch) -> np.ndarray | None:
@@ -67,17 +76,38 @@ class Questions:
             return None
         if kind == "cells":
             return self._in_cells(chunks.column("_cell").to_numpy(zero_copy_only=False))
-        out = np.zeros((chunks.num_rows, len(self.rows)), bool)
-        readable = pc.fill_null(chunks.column("readable"), False).to_numpy(zero_copy_only=False).astype(bool)
-        asked = self.languages if kind == "own" else self.prefixes
+        if kind == "foreign":
+            return ~self._equal(self.languages, chunks.column("language"), nulls=True)
+        if kind == "language":
+            return self._equal(self.languages, chunks.column("language"))
+        if kind.startswith("beside"):
+            out = self._equal(self.sources, chunks.column("source")) & self._on_pages(chunks.column("page").to_pylist())
+            return out & self._equal(self.languages, chunks.column("language")) if kind == "beside_language" else out
+        readable = _true(chunks.column("readable"))[:, None]
+        if kind == "own":
+            return self._equal(self.languages, chunks.column("language")) & readable
+        return self._equal(self.prefixes, chunks.column("_folded"), pc.starts_with) & readable
+
+    def _equal(self, asked: list, column: pa.Array, test=pc.equal, nulls: bool = False) -> np.ndarray:
+        """Where a chunk's value meets the question's; nulls meet only nulls, and only if `nulls`."""
         asked = [asked[k] for k in self.rows.tolist()]
-        column = chunks.column("language" if kind == "own" else "_folded")
-        for value in {x for x in asked if x is not None}:
-            meets = pc.equal(column, value) if kind == "own" else pc.starts_with(column, value)
-            of = np.array([x == value for x in asked])
-            out[np.ix_(readable & pc.fill_null(meets, False).to_numpy(zero_copy_only=False).astype(bool), of)] = True
+        out = np.zeros((len(column), len(asked)), bool)
+        for value in set(asked):
+            if value is not None or nulls:
+                meets = pc.is_null(column) if value is None else test(column, value)
+                out[np.ix_(_true(meets), np.array([x == value for x in asked]))] = True
         return out
 
+    def _on_pages(self, pages: list) -> np.ndarray:
+        asked = [self.pages[k] or [] for k in self.rows.tolist()]
+        out = np.zeros((len(pages), len(asked)), bool)
+        known = {}
+        for k, x in enumerate(pages):
+            known.setdefault(x, []).append(k)
+        for q, x in enumerate(asked):
+            for page in x:
+                out[known.get(page, []), q] = True
+        return out
 
     def _in_cells(self, cell: np.ndarray) -> np.ndarray:
         if self.of_cell is None:
@@ -89,19 +119,42 @@ class Questions:
 
 
 class Nearest:
-    """The k nearest rows of each question so far."""
+    """The k nearest rows of each question so far.
+
+    What is held for a pair is a place, a distance and an id; the rows themselves are held once each, however many
+    questions they are near to, and only while a question has them.
+    """
 
-    def __init__(self, k: int, n: int):
-        self.k, self.limit, self.held = k, np.full(n, np.inf), []
-        self.waiting = 0
+    def __init__(self, k: int, n: int, each: tuple[str, ...] = ()):
+        self.k, self.limit, self.held, self.each = k, np.full(n, np.inf), [], each
+        self.waiting = self.count = 0
+        self.rows, self.keys = [], {}
 
     def offer(self, distance: np.ndarray, rows: pa.RecordBatch) -> None:
         """`distance` of rows and questions; infinite where a row is not admitted."""
-        row, of = np.nonzero(np.isfinite(distance) & (distance <= self.limit))
-        if not len(row):
+        fits = np.isfinite(distance) & (distance <= self.limit)
+        if not fits.any():
             return
-        found = pa.Table.from_batches([rows]).take(pa.array(row))
-        self.held.append(found.append_column("_of", pa.array(of)).append_column("distance", pa.array(distance[row, of])))
+        best, key = distance, None
+        if self.each:
+            values = zip(*(rows.column(c).to_pylist() for c in self.each), strict=True)
+            key = np.fromiter((self.keys.setdefault(x, len(self.keys)) for x in values), np.int64, rows.num_rows)
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+            best = np.minimum.reduceat(distance[order], start, axis=0)
+            place = np.empty(len(key), np.int64)
+            place[order] = np.cumsum(np.r_[False, np.diff(key[order]) > 0])
+            fits &= distance == best[place]
+        if len(best) > self.k and np.count_nonzero(fits) > self.k * len(self.limit):
+            fits &= distance <= np.partition(best, self.k - 1, axis=0)[self.k - 1]
+        row, of = np.nonzero(fits)
+        used, at = np.unique(row, return_inverse=True)
+        self.rows.append(pa.Table.from_batches([rows]).take(pa.array(used)))
+        columns = {"_of": of, "distance": distance[row, of], "_row": self.count + at, "id": rows.column("id").take(pa.array(row))}
+        if self.each:
+            columns["_key"] = key[row]
+        self.count += len(used)
+        self.held.append(pa.table({c: pa.array(x) if isinstance(x, np.ndarray) else x for c, x in columns.items()}))
         self.waiting += len(row)
         if self.waiting > 4 * self.k * len(self.limit):
             self.settle()
@@ -112,15 +165,29 @@ class Nearest:
             return None
         table = pa.concat_tables(self.held)
         table = table.take(pc.sort_indices(table, sort_keys=[("_of", "ascending"), ("distance", "ascending"), ("id", "ascending")]))
+        if self.each:
+            pairs = table.column("_of").to_numpy() * len(self.keys) + table.column("_key").to_numpy()
+            table = table.take(pa.array(np.sort(np.unique(pairs, return_index=True)[1])))
         of = table.column("_of").to_numpy()
         first = np.r_[True, of[1:] != of[:-1]]
         rank = np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1]
         table = table.filter(pa.array(rank < self.k))
         last = np.flatnonzero(rank == self.k - 1)
         self.limit[of[last]] = pa.array(table.column("distance")).to_numpy()[np.flatnonzero(rank[rank < self.k] == self.k - 1)]
+        used, at = np.unique(table.column("_row").to_numpy(), return_inverse=True)
+        self.rows, self.count = [pa.concat_tables(self.rows).take(pa.array(used))], len(used)
+        table = table.set_column(table.column_names.index("_row"), "_row", pa.array(at))
         self.held, self.waiting = [table], 0
         return table
 
+    def slices(self):
+        """The nearest with all columns of their rows, some at a time."""
+        table = self.settle()
+        for lo in range(0, table.num_rows if table else 0, SLICE):
+            part = table.slice(lo, SLICE)
+            found = self.rows[0].take(part.column("_row"))
+            yield found.append_column("_of", part.column("_of")).append_column("distance", part.column("distance"))
+
 
 def _distances(chunks: pa.RecordBatch, asked: Questions):
     """(rows of `chunks`, distances to all questions to 6 decimals), block by block."""
@@ -172,14 +239,14 @@ def nearest(chunks: DataFrame, questions: DataFrame, ways: list[Way], block: int
     """
 
     def work(batches, asked):
-        best = {w: Nearest(w.k, len(asked.rows)) for w in ways}
+        best = {w: Nearest(w.k, len(asked.rows), w.each) for w in ways}
         for b in batches:
             for rows, distance in _distances(b, asked):
                 for w in ways:
                     admitted = asked.admitted(w.kind, rows)
                     best[w].offer(distance if admitted is None else np.where(admitted, distance, np.inf), rows)
         for w in ways:
-            if (found := best[w].settle()) is not None:
+            for found in best[w].slices():
                 yield found, lambda t, c, w=w: t.column("distance") if c == "distance" else pa.array(np.full(t.num_rows, w.number, np.int32))
 
     extra = [T.StructField("_way", T.IntegerType()), T.StructField("distance", T.DoubleType())]
@@ -187,8 +254,15 @@ def nearest(chunks: DataFrame, questions: DataFrame, ways: list[Way], block: int
     limit = F.create_map(*[F.lit(x) for w in ways for x in (w.number, w.k)])[F.col("_way")]
     first = lambda *by: F.row_number().over(Window.partitionBy("question_id", "_way", *by).orderBy("distance", "id"))
     rows = rows.withColumn("_part", F.floor(F.spark_partition_id() / FAN))
-    rows = rows.withColumn("rank", first("_part")).where(F.col("rank") <= limit)
-    return rows.withColumn("rank", first()).where(F.col("rank") <= limit).drop("_part")
+    keyed = reduce(lambda c, w: c.when(F.col("_way") == w.number, F.to_json(F.struct(*w.each))), [w for w in ways if w.each], F.when(F.lit(False), ""))
+    rows = rows.withColumn("_key", keyed)
+
+    def merged(rows, *by):
+        if any(w.each for w in ways):
+            rows = rows.withColumn("_n", first("_key", *by)).where("_key is null or _n = 1").drop("_n")
+        return rows.withColumn("rank", first(*by)).where(F.col("rank") <= limit)
+
+    return merged(merged(rows, "_part")).drop("_part", "_key")
 
 
 def within(chunks: DataFrame, questions: DataFrame, most: float, block: int = QUESTIONS) -> DataFrame:

@@ -68,6 +68,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors without their texts, which no search compares."""
+    return vectors(spark, sf_dir).drop("content")
+
+
+def with_content(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the chunks that a search found: the rest of the texts meets no question."""
+    return found.join(pages(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+
+
 def questions(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
     """The stated query set: each `every`-th embedding as a question, in French or English by turns."""
     e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0)

@@ -632,7 +632,7 @@ def _(spark, d):
 
 @query("joi5_similarity_pairs", f"WITH {VECTORS} SELECT question_id, id, distance FROM pairs WHERE distance <= 0.5")
 def _(spark, d):
-    near = within(fr.vectors(spark, d), fr.questions(spark, d), 0.5)
+    near = within(fr.searched(spark, d), fr.questions(spark, d), 0.5)
     return near.select("question_id", "id", "distance")
 
 
@@ -658,7 +658,7 @@ RANKED = f"{VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY question_i
     f"WITH {RANKED}, e(doc) AS (VALUES ('src0_en.pdf'), ('src1_fr.pdf')) SELECT question_id, rank, doc FROM r JOIN e ON contains(source, doc) WHERE rank <= 10",
 )
 def _(spark, d):
-    top = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 10)
+    top = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 10)
     expected = spark.createDataFrame([("src0_en.pdf",), ("src1_fr.pdf",)], "doc string")
     return top.join(F.broadcast(expected), F.col("source").contains(F.col("doc"))).select("question_id", "rank", "doc")
 
@@ -672,7 +672,7 @@ def _(spark, d):
     q = fr.questions(spark, d)
     cited = F.when(F.col("question_id") % 100 == 0, "src").otherwise("src1_en.pdf page")
     c = q.select("question_id", cited.alias("cited"), F.when(F.col("question_id") % 150 == 0, 3).alias("cited_page"))
-    return evaluation.citation_matches(c, retrieval.knn(fr.vectors(spark, d), q, 5)).select("question_id", "rank")
+    return evaluation.citation_matches(c, retrieval.knn(fr.searched(spark, d), q, 5)).select("question_id", "rank")
 
 
 @query(
@@ -681,7 +681,7 @@ def _(spark, d):
     SELECT c.question_id, min(r.rank) AS rank FROM c JOIN r ON r.question_id = c.question_id AND r.source = c.source AND r.page = c.page AND r.rank <= 10 GROUP BY c.question_id""",
 )
 def _(spark, d):
-    top = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 10).select("question_id", T.base_name(F.col("source")).alias("source"), "page", "rank")
+    top = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 10).select("question_id", T.base_name(F.col("source")).alias("source"), "page", "rank")
     cited = top.where("rank = 2").select("question_id", "source", "page")
     return cited.join(top, ["question_id", "source", "page"]).groupBy("question_id").agg(F.min("rank").alias("rank"))
 
@@ -692,7 +692,7 @@ def _(spark, d):
     WHERE a.rank <= 50 AND b.rank <= 2""",
 )
 def _(spark, d):
-    top = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 50)
+    top = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 50)
     best = top.where("rank <= 2").select("question_id", "source", F.col("page").alias("p2"))
     near = (top["question_id"] == best["question_id"]) & (top["source"] == best["source"]) & (F.abs(top["page"] - best["p2"]) <= 1)
     return top.join(best, near, "left_semi").select("question_id", "id")
@@ -857,7 +857,7 @@ def _(spark, d):
 
 @query("top1_vector_knn", f"WITH {RANKED} SELECT question_id, id, rank, distance FROM r WHERE rank <= 10")
 def _(spark, d):
-    return retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 10).select("question_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
+    return retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 10).select("question_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
 
 @query("snk1_indexed_search", f"WITH {RANKED} SELECT question_id, id, rank, distance FROM r WHERE rank <= 10")
@@ -885,7 +885,7 @@ def _(spark, d):
     SELECT question_id, id, rank FROM r WHERE rank <= 8""",
 )
 def _(spark, d):
-    return retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 8, "named").select("question_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 8, "named").select("question_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -912,11 +912,11 @@ def _(spark, d):
     SELECT question_id, id, rank AS place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS n FROM e) WHERE n = 1""",
 )
 def _(spark, d):
-    rows = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 4).withColumnRenamed("rank", "place")
+    rows = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 4).withColumnRenamed("rank", "place")
     n, text = F.col("item_id"), F.col("text")
     answer = F.when(n % 3 == 0, "Voir le document n° 2.").when(n % 3 == 1, text).otherwise(F.left(text, F.lit(40)))
     asked = fr.table(spark, d, "benchmark").select((n * 50).alias("question_id"), text.alias("question"), answer.alias("answer"))
-    return retrieval.evidence(rows.join(asked, "question_id")).select("question_id", "id", F.col("place").cast("long").alias("place"))
+    return retrieval.evidence(fr.with_content(rows.join(asked, "question_id"), spark, d)).select("question_id", "id", F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -963,7 +963,7 @@ def _(spark, d):
 
 @query("win6_first_rank", f"WITH {RANKED} SELECT question_id, min(CASE WHEN contains(source, 'src1') THEN rank END) AS document_rank FROM r WHERE rank <= 20 GROUP BY question_id")
 def _(spark, d):
-    top = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 20)
+    top = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 20)
     return top.groupBy("question_id").agg(F.min(F.when(F.col("source").contains("src1"), F.col("rank"))).cast("long").alias("document_rank"))
 
 
@@ -998,13 +998,14 @@ def context_sql(rows: int) -> str:
 
 @query("win8_format_context", context_sql(3))
 def _(spark, d):
-    return retrieval.format_context(retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 3).withColumnRenamed("rank", "place"))
+    found = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 3).withColumnRenamed("rank", "place")
+    return retrieval.format_context(fr.with_content(found, spark, d))
 
 
 @query("win9_distance_gap", f"WITH {RANKED} SELECT question_id, round(max(CASE WHEN rank = 2 THEN distance END) - max(CASE WHEN rank = 1 THEN distance END), 6) >= 0.02 AS wide FROM r GROUP BY question_id")
 def _(spark, d):
     w = Window.partitionBy("question_id").orderBy("rank")
-    rows = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 2).withColumn("next", F.lead("distance").over(w))
+    rows = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 2).withColumn("next", F.lead("distance").over(w))
     return rows.where("rank = 1").select("question_id", (F.round(F.col("next") - F.col("distance"), 6) >= DEFAULT.distance_gap).alias("wide"))
 
 
@@ -1250,7 +1251,8 @@ def _(spark, d):
 
 @query("ans5_format_context", context_sql(2))
 def _(spark, d):
-    return retrieval.format_context(retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 2).withColumnRenamed("rank", "place"))
+    found = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 2).withColumnRenamed("rank", "place")
+    return retrieval.format_context(fr.with_content(found, spark, d))
 
 
 @query(
@@ -1406,7 +1408,7 @@ def _(spark, d):
     SELECT * FROM last UNION ALL SELECT question_id, id, source, page, chunk, language, distance, place FROM chosen WHERE routed""",
 )
 def _(spark, d):
-    found = retrieval.search(fr.vectors(spark, d), fr.questions(spark, d))
+    found = retrieval.search(fr.searched(spark, d), fr.questions(spark, d))
     return found.withColumn("place", F.col("place").cast("long"))
 
 
@@ -1453,7 +1455,7 @@ em AS (SELECT question_id, known, CASE WHEN known THEN dr END AS document_rank,
 
 
 def _metrics(spark, d):
-    ranked = retrieval.knn(fr.vectors(spark, d), fr.questions(spark, d), 10).select("question_id", "rank", "source", "page")
+    ranked = retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 10).select("question_id", "rank", "source", "page")
     return evaluation.retrieval_metrics(_expected(spark, d), ranked)
 
 
@@ -1561,7 +1563,7 @@ def _(spark, d):
         "question_id", answer.alias("answer"), F.when(n % 350 == 0, none).otherwise(F.array(F.lit("SRC1"), F.lit("src2_en.pdf"))).alias("documents"),
         F.when(n % 200 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(3))).alias("pages"), F.when(n % 450 == 0, none).otherwise(F.array(F.lit("the"), F.lit("quebec zulu"))).alias("facts"),
     )
-    return evaluation.citation_metrics(asked, retrieval.knn(fr.vectors(spark, d), q, 5))
+    return evaluation.citation_metrics(asked, fr.with_content(retrieval.knn(fr.searched(spark, d), q, 5), spark, d))
 
 
 @query("evl7_absent_answers", f"SELECT doc_id, k IN (0, 5) AS correct, {ABSENT_RISK} AS risk FROM {ABSENT}")

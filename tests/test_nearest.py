@@ -72,6 +72,51 @@ def test_a_task_keeps_no_more_than_its_nearest():
     assert best.settle().num_rows == 6
 
 
+def test_a_row_is_held_once_however_many_questions_it_is_near_to():
+    import numpy as np
+    import pyarrow as pa
+
+    best = nearest.Nearest(20, 200)
+    for k in range(5):
+        texts = [f"{n:04d}" * 250 for n in range(200 * k, 200 * k + 200)]
+        best.offer(np.random.default_rng(k).random((200, 200)), pa.RecordBatch.from_arrays([pa.array(range(200 * k, 200 * k + 200)), pa.array(texts)], names=["id", "content"]))
+        assert sum(t.nbytes for t in [*best.held, *getattr(best, "rows", [])]) < 4e6
+    found = pa.concat_tables(best.slices())
+    assert found.num_rows == 20 * 200
+    assert all(c == f"{i:04d}" * 250 for i, c in zip(found.column("id").to_pylist(), found.column("content").to_pylist(), strict=True))
+
+
+def test_ways_by_language_and_one_of_each(spark, monkeypatch):
+    rows, asked, chunks, questions = tables(spark)
+    monkeypatch.setattr(nearest, "FAN", 2)
+    chunks = chunks.withColumn("page", F.when(F.col("id") % 9 != 4, (F.col("id") % 3).cast("int")))
+    languages, of, page = {q: x for q, _, x, _ in asked}, {r[0]: r for r in rows}, lambda i: i % 3 if i % 9 != 4 else None
+    places = {1: ("Src1_x", [0, 2]), 2: ("Src4_x", [1]), 5: (None, [1]), 7: ("Src0_x", [])}
+    told = spark.createDataFrame([(q, *places.get(q, (None, None))) for q, *_ in asked], "question_id long, _source string, _pages array<int>")
+    same = lambda q, i: languages[q] is not None and of[i][3] == languages[q]
+    beside = lambda q, i: q in places and places[q][0] == of[i][2] and page(i) in places[q][1]
+    admits = {"language": same, "foreign": lambda q, i: of[i][3] != languages[q], "beside": beside, "beside_language": lambda q, i: beside(q, i) and same(q, i), "all": lambda q, i: True}
+    ways = [nearest.Way(0, "language", 4), nearest.Way(1, "foreign", 2, ("source",)), nearest.Way(2, "all", 6, ("source", "page")), nearest.Way(3, "beside", 5), nearest.Way(4, "beside_language", 3)]
+    pairs, expected = list(all_pairs(rows, asked)), []
+    for w in ways:
+        for q, *_ in asked:
+            seen, rank = set(), 0
+            for d, i in sorted((d, i) for p, i, d, _ in pairs if p == q and admits[w.kind](q, i)):
+                key = tuple({"source": of[i][2], "page": page(i)}[c] for c in w.each) or i
+                if key not in seen and rank < w.k:
+                    seen.add(key)
+                    rank += 1
+                    expected.append((q, w.number, i, d, rank))
+    got = nearest.nearest(chunks, questions.join(told, "question_id"), ways)
+    assert sorted((r["question_id"], r["_way"], r["id"], r["distance"], r["rank"]) for r in got.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("name", ["joi11_same_source_neighbours", "agg12_summary"])
+def test_searches_make_no_pairs_and_read_no_texts(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "text#" not in plan
+
+
 def test_no_language_is_one_more_language(spark):
     rows = [(1, "Quel délai pour le texte ?", "", "rien", 1, 0.1, "fr"), (1, "Quel délai pour le texte ?", "", "quel texte, délai pour le texte", 2, 0.12, None)]
     asked = spark.createDataFrame(rows, "question_id long, question string, answer string, content string, place int, distance double, language string")
