@@ -51,9 +51,9 @@ def top_k(rows: DataFrame, k: Column | int, by: str = "distance", tie: str = "id
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.top_k, kind: str = "all") -> DataFrame:
-    """The k nearest chunks of each question, of those that `kind` admits (see nearest.Way)."""
-    return nearest(chunks, questions, [Way(WIDE, kind, k)]).drop("_way")
+def knn(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.top_k, kind: str = "all", each: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest chunks of each question, of those that `kind` admits, and of each value of `each` one (see nearest.Way)."""
+    return nearest(chunks, questions, [Way(WIDE, kind, k, each)]).drop("_way")
 
 
 def first_of_each(rows: DataFrame, order: list, limit: int | None = None) -> DataFrame:
@@ -73,6 +73,18 @@ def language_ranked(rows: DataFrame, bonus: float = DEFAULT.language_bonus) -> D
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(w))
 
 
+def language_knn(chunks: DataFrame, questions: DataFrame, k: int, bonus: float = DEFAULT.language_bonus, among: str = "") -> DataFrame:
+    """The first k of language_ranked over all chunks, or those `beside` what the question names.
+
+    They are among the k nearest of all and the k nearest in the question's language, as the bonus is the same for all of these.
+    """
+    kinds = (among, f"{among}_language") if among else ("all", "language")
+    found = nearest(chunks, questions, [Way(n, kind, k) for n, kind in enumerate(kinds)])
+    once = F.row_number().over(Window.partitionBy(*KEY, "id").orderBy("_way"))
+    found = found.withColumn("_n", once).where("_n = 1").drop("_n", "_way", "rank")
+    return language_ranked(found, bonus).where(F.col("rank") <= k)
+
+
 def _context_places(ranked: DataFrame, config: EngineConfig, k: int) -> DataFrame:
     """Adds mode and place (null: not selected) to rows with rank (null: no candidate), in windows of a question."""
     w = Window.partitionBy(*KEY)
@@ -114,6 +126,21 @@ def select_context(ranked: DataFrame, config: EngineConfig = DEFAULT, k: int | N
     return _context_places(ranked, config, k or config.top_k).where(F.col("place").isNotNull())
 
 
+def nearest_context(chunks: DataFrame, questions: DataFrame, config: EngineConfig = DEFAULT, k: int | None = None) -> DataFrame:
+    """What select_context takes of all chunks in the order of language_ranked, without ranking them all.
+
+    The first k tell how to go on; a second pass finds the nearest chunks on the selected pages and beside them
+    for the questions that take those.
+    """
+    k = k or config.top_k
+    first = _context_places(language_knn(chunks, questions, max(k, 2), config.language_bonus), config, k)
+    near = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= k, F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)))))
+    pages = first.where("mode = 'expand'").groupBy(*KEY).agg(F.min_by("source", "rank").alias("_source"), near.alias("_pages"))
+    beside = language_knn(chunks, questions.join(pages, KEY), config.context_chunks, config.language_bonus, "beside")
+    beside = beside.withColumns({"mode": F.lit("expand"), "place": F.col("rank")}).drop("_source", "_pages")
+    return first.where("mode <> 'expand' and place is not null").unionByName(beside)
+
+
 def foreign_best(rows: DataFrame, limit: int = 2) -> DataFrame:
     """Best chunk of each source in another language than the question's, or in none, the nearest `limit` of them."""
     other = rows.where(~F.col("language").eqNullSafe(F.col("question_language")))

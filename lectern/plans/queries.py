@@ -13,7 +13,7 @@ from ..functions import references as R
 from ..functions import text as T
 from ..functions import unicode as U
 from ..operators import catalog, chunking, conversations, evaluation, report, retrieval, vector_index
-from ..operators.nearest import within
+from ..operators.nearest import Way, nearest, within
 from ..sources import html as pages_html
 from ..sources import pages as page_files
 from . import frames as fr
@@ -875,8 +875,8 @@ lk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score, dis
 
 @query("top2_language_ranking", f"WITH {VECTORS}, {BONUS} SELECT question_id, id, rank, score FROM lk WHERE rank <= 20")
 def _(spark, d):
-    ranked = retrieval.language_ranked(retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d)))
-    return ranked.where("rank <= 20").select("question_id", "id", F.col("rank").cast("long").alias("rank"), "score")
+    ranked = retrieval.language_knn(fr.searched(spark, d), fr.questions(spark, d), 20)
+    return ranked.select("question_id", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query(
@@ -925,8 +925,7 @@ def _(spark, d):
     l AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) AS m FROM k WHERE n = 1) SELECT question_id, id FROM l WHERE m <= 15""",
 )
 def _(spark, d):
-    rows = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d))
-    return retrieval.first_of_each(rows, ["distance", "id"], 15).select("question_id", "id")
+    return retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 15, each=("source", "page", "chunk")).select("question_id", "id")
 
 
 LAST = "last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -958,7 +957,7 @@ fb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance,
 
 @query("win5_foreign_best", f"WITH {VECTORS}, {FOREIGN} SELECT question_id, id FROM fb WHERE m <= 2")
 def _(spark, d):
-    return retrieval.foreign_best(retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d))).select("question_id", "id")
+    return retrieval.knn(fr.searched(spark, d), fr.questions(spark, d), 2, "foreign", each=("source",)).select("question_id", "id")
 
 
 @query("win6_first_rank", f"WITH {RANKED} SELECT question_id, min(CASE WHEN contains(source, 'src1') THEN rank END) AS document_rank FROM r WHERE rank <= 20 GROUP BY question_id")
@@ -1019,16 +1018,14 @@ def _(spark, d):
     SELECT question_id, id FROM own WHERE k <= 2 UNION SELECT question_id, id FROM wide WHERE k <= 20 AND coalesce(readable, true)""",
 )
 def _(spark, d):
-    pairs = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d))
-    own = retrieval.top_k(pairs.where("language = question_language and readable"), 2).select("question_id", "id")
-    wide = retrieval.top_k(pairs, 20).where("coalesce(readable, true)").select("question_id", "id")
-    return own.unionByName(wide).distinct()
+    found = nearest(fr.searched(spark, d), fr.questions(spark, d), [Way(0, "own", 2), Way(1, "all", 20)])
+    return found.where("_way = 0 or coalesce(readable, true)").select("question_id", "id").distinct()
 
 
 @query("set2_with_fallback", f"WITH {RANKED}, {FOREIGN} SELECT question_id, id FROM r WHERE rank <= 2 UNION SELECT question_id, id FROM fb WHERE m <= 2")
 def _(spark, d):
-    pairs = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d))
-    return retrieval.top_k(pairs, 2).select("question_id", "id").unionByName(retrieval.foreign_best(pairs).select("question_id", "id")).distinct()
+    ways = [Way(0, "all", 2), Way(1, "foreign", 2, ("source",))]
+    return nearest(fr.searched(spark, d), fr.questions(spark, d), ways).select("question_id", "id").distinct()
 
 
 
@@ -1421,8 +1418,7 @@ def _(spark, d):
     SELECT question_id, id, mode, place FROM k WHERE mode <> 'expand' OR place <= 4""",
 )
 def _(spark, d):
-    ranked = retrieval.language_ranked(retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d)))
-    return retrieval.select_context(ranked).select("question_id", "id", "mode", F.col("place").cast("long").alias("place"))
+    return retrieval.nearest_context(fr.searched(spark, d), fr.questions(spark, d)).select("question_id", "id", "mode", F.col("place").cast("long").alias("place"))
 
 
 @query("ret3_mixed_language", "SELECT conv_id, turn, regexp_matches(text, '[\\x{0600}-\\x{06FF}]') AND regexp_matches(text, '[A-Za-z]{2,}') AS mixed FROM conversations WHERE role = 'user'")
@@ -1436,9 +1432,9 @@ def _(spark, d):
     f"WITH {VECTORS} SELECT qs.question_id, coalesce(min(CASE WHEN language = p.question_language AND readable THEN distance END), 1.0) > 0.18 AS weak FROM qs LEFT JOIN pairs p USING (question_id) GROUP BY 1",
 )
 def _(spark, d):
-    pairs = retrieval.scored(fr.vectors(spark, d), fr.questions(spark, d))
-    own = F.when((F.col("language") == F.col("question_language")) & F.col("readable"), F.col("distance"))
-    return pairs.groupBy("question_id").agg((F.coalesce(F.min(own), F.lit(1.0)) > DEFAULT.weak_match).alias("weak"))
+    q = fr.questions(spark, d)
+    best = retrieval.knn(fr.searched(spark, d), q, 1, "own").select("question_id", "distance")
+    return q.select("question_id").join(best, "question_id", "left").select("question_id", (F.coalesce("distance", F.lit(1.0)) > DEFAULT.weak_match).alias("weak"))
 
 
 def _expected(spark, d):

@@ -111,7 +111,20 @@ def test_ways_by_language_and_one_of_each(spark, monkeypatch):
     assert sorted((r["question_id"], r["_way"], r["id"], r["distance"], r["rank"]) for r in got.collect()) == sorted(expected)
 
 
-@pytest.mark.parametrize("name", ["joi11_same_source_neighbours", "agg12_summary"])
+def test_context_from_the_nearest_is_that_of_all_ranked(spark):
+    _, _, chunks, questions = tables(spark)
+    chunks = chunks.where("size(embedding) = 4 and exists(embedding, x -> x <> 0 and not isnan(x))").withColumns({"page": (F.col("id") % 4).cast("int"), "chunk": F.lit(0)})
+    questions = questions.withColumn("expand", F.col("question_id") % 2 == 0)
+    pairs = chunks.crossJoin(questions).withColumn("distance", retrieval.cosine_distance(F.col("embedding"), F.col("query")))
+    whole = retrieval.select_context(retrieval.language_ranked(pairs)).select("question_id", "id", "mode", "place")
+    got = retrieval.nearest_context(chunks, questions).select("question_id", "id", "mode", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+SEARCHES = ["top2_language_ranking", "win2_first_of_key", "win5_foreign_best", "set1_preferred_and_readable", "set2_with_fallback", "ret2_select_context", "ret4_weak_match"]
+
+
+@pytest.mark.parametrize("name", [*SEARCHES, "joi11_same_source_neighbours", "agg12_summary"])
 def test_searches_make_no_pairs_and_read_no_texts(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "text#" not in plan
