@@ -1055,8 +1055,9 @@ def _(spark, d):
 )
 def _(spark, d):
     """Each fact of the benchmark against the text of the same number, both normalised."""
-    facts = fr.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), U.normalized_udf("text").alias("phrase"))
-    rows = docs(spark, d).select("doc_id", U.normalized_udf("text").alias("t")).join(facts, "doc_id")
+    facts = fr.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("fact"))
+    rows = docs(spark, d).select("doc_id", "text").join(facts, "doc_id")  # first, as texts without a fact need no form
+    rows = rows.select("doc_id", U.normalized_udf("text").alias("t"), U.normalized_udf("fact").alias("phrase"))
     return rows.select("doc_id", F.round(evaluation.token_coverage(F.col("t"), F.col("phrase")), 6).alias("coverage"))
 
 

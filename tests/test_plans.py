@@ -79,3 +79,10 @@ def test_prompts_again(spark):
     m = spark.createDataFrame([(7, 0, "user", "Quel délai fixe le dépôt ? cas 0."), (7, 1, "assistant", "x"), (7, 2, "user", "Pourquoi ?")], "session_id int, turn int, role string, text string")
     assert {r["turn"]: r["answer"] for r in engine.chat(m).collect()} == {0: plain + footer, 2: plain + footer}
     assert answering.Engine(chunks, e, answering.ExtractiveGenerator()).health() == {"status": "ok"}
+
+
+def test_only_texts_with_a_fact_are_normalised(spark, sf_dir):
+    from lectern import registry
+
+    plan = registry.queries()["set6_token_coverage"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("EvalPython") < plan.index("Join")
