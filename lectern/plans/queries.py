@@ -307,7 +307,7 @@ def _(spark, d, rows):
 )
 def _(spark, d, rows):
     texts = fr.table(spark, d, "benchmark").select(F.concat(F.lit("d"), "item_id").alias("case"), "text").unionByName(rows)
-    return texts.select("case", U.normalized_udf("text").alias("value"))
+    return texts.select("case", U.normalized_whole_udf("text").alias("value"))
 
 
 @query(

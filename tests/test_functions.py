@@ -148,3 +148,25 @@ def test_small_text(spark):
     assert values(spark, T.safe_component(F.col("x"), 40, "document"), ['a/b: "c"', "..", None]) == ["a_b_c", "document", "document"]
     assert values(spark, T.base_name(F.col("x"), "Unknown source"), ["a\\b/c.pdf", None]) == ["c.pdf", "Unknown source"]
     assert U.canonical_url("/x.pdf#p", "http://h.tn/fr/", ("h.tn", "www.h.tn")) == "https://www.h.tn/x.pdf"
+
+
+def test_forms_are_made_by_pieces():
+    """Of a batch's texts only those of a piece are Python's at a time; nulls and texts longer than a piece stay in place."""
+    import pyarrow as pa
+
+    from lectern.functions.batches import PIECE_BYTES, pieces
+    from lectern.functions.unicode import by_pieces
+
+    texts = pa.array(["é" * 1000, None, "", "x" * (PIECE_BYTES + 1)] * 3 + ["É"] * 10)
+    cut = list(pieces(texts))
+    assert sum(n for _, n in cut) == len(texts) and len(cut) == 7
+    assert by_pieces(str.upper)(texts).to_pylist() == [x and x.upper() for x in texts.to_pylist()]
+    assert by_pieces(str.upper)(texts.slice(0, 0)).to_pylist() == [] and by_pieces(str.upper)(texts.slice(3, 2)).to_pylist() == [texts[3].as_py().upper(), "É" * 1000]
+
+
+def test_comparison_forms_leave_by_pieces():
+    from pyspark.util import PythonEvalType
+
+    from lectern.functions import unicode as U
+
+    assert U.normalized_whole_udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF and U.normalized_udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
