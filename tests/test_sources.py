@@ -119,3 +119,19 @@ def test_counters_come_from_the_pass_that_writes(spark, tmp_path):
     assert told == {"chunks": 3, "characters": 5, "unreadable": 1, "recognised": 2}
     assert spark.read.parquet(str(tmp_path / "chunks")).where("language = 'fr'").count() == 2
     assert pages.write_counted(df.limit(0).select("document"), str(tmp_path / "none")) == {"chunks": 0, "characters": 0}
+
+
+def test_trees_go_at_once():
+    """No element outlives its page, though elements and their parents hold each other."""
+    import gc
+
+    from lectern.sources import html
+
+    page = "<table><tr><th>Date</th></tr><tr><td>1</td><td><a href='/a.pdf'>x</a></td></tr></table><li><a href='/b.pdf'>y</a>" + "<div>" * 5000
+    gc.collect()
+    gc.disable()
+    try:
+        assert [r[2] for r in html.rows_of(page, "https://h.org/p", ("h.org",))] == ["https://h.org/a.pdf", "https://h.org/b.pdf"]
+        assert not any(isinstance(x, html.Element) for x in gc.get_objects())
+    finally:
+        gc.enable()
