@@ -135,3 +135,10 @@ def test_trees_go_at_once():
         assert not any(isinstance(x, html.Element) for x in gc.get_objects())
     finally:
         gc.enable()
+
+
+def test_anchors_are_those_of_the_tree():
+    from lectern.sources import html
+
+    page = "<A HREF='/1'>x<a href=/2 href=/3>y</p><a/><a name=z><a href='&amp;4'/><script><a href='/5'></script><!-- <a href=/6> --><table><a href=/7"
+    assert html.Anchors(page).found == [a.attributes.get("href") for a in html.Tree(page).root.all("a")] and len(html.Anchors(page).found) > 4
