@@ -1574,8 +1574,9 @@ def _(spark, d):
     SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN contains(t, own) WHEN 2 THEN NOT contains(t, 'quebec zulu') ELSE contains(t, own) AND contains(t, 'quebec zulu') END AS passed FROM x WHERE contains(own, ' ')""",
 )
 def _(spark, d):
-    n, own = F.col("doc_id") % 4, U.normalized_udf(F.left("text", F.lit(20)))
-    rows = docs(spark, d).select("doc_id", U.normalized_udf("text").alias("t"), own.alias("own")).where(F.col("own").contains(" "))
+    n = F.col("doc_id") % 4
+    rows = docs(spark, d).select("doc_id", F.when(n > 0, F.col("text")).alias("t"), F.left("text", F.lit(20)).alias("own"))  # those of 0 have no phrases
+    rows = evaluation.normalized_columns(rows, "t", "own").where(F.col("own").contains(" "))
     has, other = evaluation.present(F.col("t"), F.col("own")), evaluation.present(F.col("t"), F.lit("quebec zulu"))
     required = F.when(n == 1, F.array(has)).when(n == 3, F.array(has, other))
     return rows.select("doc_id", evaluation.phrase_constraints(required, F.when(n == 2, F.array(other))).alias("passed"))
