@@ -37,9 +37,17 @@ def latin_count(c: Column) -> Column:
 
 
 def kinds_mask(letters: Column) -> Column:
-    """A bit for each kind of letter in lower-case Latin letters; masks of parts of a text add up by OR."""
-    each = F.transform(F.array(*map(F.lit, KINDS)), lambda x, i: F.when(letters.contains(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    """A bit for each kind of letter in lower-case Latin letters; masks of parts of a text add up by OR.
+
+    Kinds beyond a to z, most of them absent, are looked for in what is left without a to z, which is short.
+    """
+
+    def mask(text: Column, kinds: str, first: int) -> Column:
+        bits = F.transform(F.array(*map(F.lit, kinds)), lambda x, i: F.when(text.contains(x), F.call_function("shiftleft", F.lit(1).cast("long"), i + first)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    others = let(F.regexp_replace(letters, "[a-z]+", ""), lambda rest: F.when(rest == "", F.lit(0).cast("long")).otherwise(mask(rest, KINDS[26:], 26)))
+    return mask(letters, KINDS[:26], 0).bitwiseOR(others)
 
 
 def share(part: Column, whole: Column) -> Column:

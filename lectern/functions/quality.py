@@ -15,13 +15,25 @@ def _letters(c: Column) -> Column:
     return F.struct(arabic_letters(c).alias("ar"), latin_letters(c).alias("la"))
 
 
+#: Latin letters of either script count by these, the frequent ones first.
+BY_FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz" + "".join(x for x in KINDS if not "a" <= x <= "z")
+
+
 def _dominance(s: Column) -> Column:
-    """Of struct(ar, la), the letters of either script: those of a fixed alphabet are counted one by one, in place."""
+    """Of struct(ar, la), the letters of either script: the count of the most frequent letter, as a share of all.
+
+    Each letter is taken out of what the ones before it left, and none is looked for once fewer letters are
+    left than the most frequent one has: a text is gone after a few of them.
+    """
 
     def most(text: Column, alphabet: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(alphabet, lambda x: F.length(text) - F.length(F.replace(text, x, F.lit(""))))), F.lit(0))
+        def without(state: Column, x: Column) -> Column:
+            less = lambda rest: F.struct(rest.alias("rest"), F.greatest(state["most"], F.length(state["rest"]) - F.length(rest)).alias("most"))
+            return F.when(F.length(state["rest"]) <= state["most"], state).otherwise(let(F.replace(state["rest"], x, F.lit("")), less))
+
+        return F.aggregate(alphabet, F.struct(text.alias("rest"), F.lit(0).alias("most")), without, lambda state: state["most"])
 
-    latin = most(s["la"], F.array(*map(F.lit, KINDS)))
+    latin = most(s["la"], F.array(*map(F.lit, BY_FREQUENCY)))
     arabic = F.when(F.length(s["ar"]) > 0, most(s["ar"], F.filter(F.array_distinct(F.split(s["ar"], "")), lambda x: x != ""))).otherwise(F.lit(0))
     return F.coalesce(F.try_divide(F.greatest(latin, arabic).cast("double"), (F.length(s["ar"]) + F.length(s["la"])).cast("double")), F.lit(0.0))
 

@@ -170,3 +170,18 @@ def test_comparison_forms_leave_by_pieces():
     from lectern.functions import unicode as U
 
     assert U.normalized_whole_udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF and U.normalized_udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_dominance_takes_letters_out(spark):
+    """The most frequent letter's share, each letter counted in what the ones before it left."""
+    from collections import Counter
+
+    from lectern.functions import quality as Q
+
+    texts = ["", "12 %", "ZZz", "abcab", "ÉéÀ÷", "زززب", "xé زز", "q" * 50 + "e" * 49, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["d"] for r in rows.select("k", Q.dominance(F.col("t")).alias("d")).collect()}
+    for k, t in enumerate(texts):
+        letters = [x for x in (t or "").lower() if "a" <= x <= "z" or "à" <= x <= "ÿ" or "؀" <= x <= "ۿ"]
+        assert got[k] == (max(Counter(letters).values()) / len(letters) if letters else 0.0)
+    assert "aggregate(" in str(Q.dominance(F.col("t")))
