@@ -7,12 +7,13 @@ from functools import reduce
 from collections.abc import Iterable
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import language as L
+from ..functions.batches import batch_of, rows_by_pieces
 from ..operators import chunking
 
 RENDER_DPI = 300
@@ -80,6 +81,7 @@ def optional_extractors() -> list[Extractor]:
 
 
 PAGES = "path string, page int, method string, text string, error string"
+PAGES_ARROW = pa.schema([("path", pa.string()), ("page", pa.int32()), ("method", pa.string()), ("text", pa.string()), ("error", pa.string())])
 
 
 def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
@@ -91,16 +93,17 @@ def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    texts = list(extractor.pages(bytes(content)))
-                    rows += [(path, k + 1, extractor.name, t, None) for k, t in enumerate(texts)]
-                except Exception as e:  # whatever a library raises on a broken file belongs to that file
-                    rows.append((path, None, extractor.name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "method", "text", "error"]).astype({"page": "Int32"})
+            for taken in rows_by_pieces(b, "content"):
+                rows = []
+                for path, content in taken:
+                    try:
+                        texts = list(extractor.pages(bytes(content)))
+                        rows += [(path, k + 1, extractor.name, t, None) for k, t in enumerate(texts)]
+                    except Exception as e:  # whatever a library raises on a broken file belongs to that file
+                        rows.append((path, None, extractor.name, None, f"{type(e).__name__}: {e}"))
+                yield batch_of(rows, PAGES_ARROW)
 
-    return files.select("path", "content").mapInPandas(run, PAGES)
+    return files.select("path", "content").mapInArrow(run, PAGES)
 
 
 def recognise(files: DataFrame, wanted: DataFrame, renderer: Renderer, recogniser: Recogniser, layouts: tuple[int, ...] = LAYOUTS, dpi: int = RENDER_DPI) -> DataFrame:
@@ -109,17 +112,18 @@ def recognise(files: DataFrame, wanted: DataFrame, renderer: Renderer, recognise
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, content, pages in zip(b["path"], b["content"], b["pages"], strict=True):
-                for page in pages:
-                    try:
-                        image = renderer.render(bytes(content), int(page) - 1, dpi)
-                        rows += [(path, page, f"ocr_psm_{x}", recogniser.read(image, x), None) for x in layouts]
-                    except Exception as e:
-                        rows.append((path, page, "ocr", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "method", "text", "error"]).astype({"page": "Int32"})
-
-    return files.select("path", "content").join(asked, "path").mapInPandas(run, PAGES)
+            for taken in rows_by_pieces(b, "content"):
+                rows = []
+                for path, content, pages in taken:
+                    for page in pages:
+                        try:
+                            image = renderer.render(bytes(content), int(page) - 1, dpi)
+                            rows += [(path, page, f"ocr_psm_{x}", recogniser.read(image, x), None) for x in layouts]
+                        except Exception as e:
+                            rows.append((path, page, "ocr", None, f"{type(e).__name__}: {e}"))
+                yield batch_of(rows, PAGES_ARROW)
+
+    return files.select("path", "content").join(asked, "path").mapInArrow(run, PAGES)
 
 
 def load_pages(

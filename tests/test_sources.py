@@ -142,3 +142,19 @@ def test_anchors_are_those_of_the_tree():
 
     page = "<A HREF='/1'>x<a href=/2 href=/3>y</p><a/><a name=z><a href='&amp;4'/><script><a href='/5'></script><!-- <a href=/6> --><table><a href=/7"
     assert html.Anchors(page).found == [a.attributes.get("href") for a in html.Tree(page).root.all("a")] and len(html.Anchors(page).found) > 4
+
+
+def test_pages_leave_by_pieces(spark):
+    """Files go through Arrow batches that Python takes apart, not through whole batches of rows."""
+    import contextlib
+    import io
+
+    from lectern.sources import pages
+
+    files = spark.createDataFrame([("a", bytearray(b"x\x0cy")), ("b", bytearray(b"\xff")), ("c", None)], "path string, content binary")
+    rows = pages.extract(files, pages.PlainText())
+    assert sorted((r["path"], r["page"], r["text"], (r["error"] or "").partition(":")[0]) for r in rows.collect() if r["page"]) == [("a", 1, "x", ""), ("a", 2, "y", "")]
+    assert sorted((r["path"], r["error"].partition(":")[0]) for r in rows.where("page is null").collect()) == [("b", "UnicodeDecodeError"), ("c", "TypeError")]
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        rows.explain()
+    assert "MapInArrow" in shown.getvalue()
