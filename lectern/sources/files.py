@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +47,28 @@ def checked_downloads(files: DataFrame) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("length"), F.when(why.isNull(), F.sha2("content", 256)).alias("content_sha256"), why.alias("error"))
 
 
+def is_local(spark: SparkSession, root: str) -> bool:
+    """Whether `root` is in the file system that tasks see, not in a store that only Spark reads."""
+    return spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
+def local_digests(batches):
+    """SHA-256 of local files by path, each read through a small buffer."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            with open(path.removeprefix("file:"), "rb") as f:
+                digests.append(hashlib.file_digest(f, "sha256").hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(digests, pa.string())], ["path", "content_sha256"])
+
+
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """content_sha256 and the first path that has it. Files are hashed where they are read, up to Spark's 2 GB a cell."""
-    files = scan_files(spark, root, pattern, content=True).withColumn("content_sha256", F.sha2("content", 256))
+    """content_sha256 and the first path that has it. Local files of any size are hashed piece by piece; in
+    other stores files are hashed where Spark reads them, up to its 2 GB a cell."""
+    if is_local(spark, root):
+        files = scan_files(spark, root, pattern).select("path").mapInArrow(local_digests, "path string, content_sha256 string")
+    else:
+        files = scan_files(spark, root, pattern, content=True).withColumn("content_sha256", F.sha2("content", 256))
     return files.groupBy("content_sha256").agg(F.min("path").alias("path"), F.count("*").alias("files"))
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables, against plain Python or by hand."""
 
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -146,6 +147,21 @@ def test_html(spark):
     assert [r["link"] for r in html.relevant_links(pages, "theme", ("h.tn",)).collect()] == ["https://h.tn/fr/theme-2/"]
 
 
+def test_file_hashes_of_any_size(spark, tmp_path):
+    """A file beyond the 2 GB of a cell (sparse on disk), an odd name and a copy."""
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.write(b"start")
+        f.truncate((2 << 30) + 5)
+    (tmp_path / "s ub").mkdir()
+    for name in ("a%20é+#.bin", "s ub/copy.bin"):
+        (tmp_path / name).write_bytes(b"x\n")
+    got = {r["content_sha256"]: (r["path"], r["files"]) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    with open(tmp_path / "large.bin", "rb") as f:
+        large = hashlib.file_digest(f, "sha256").hexdigest()
+    paths = {large: ("large.bin", 1), hashlib.sha256(b"x\n").hexdigest(): ("a%20é+#.bin", 2)}
+    assert got == {h: (f"file:{tmp_path}/{name}", n) for h, (name, n) in paths.items()}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.PDF").write_bytes(b"%PDF-1")
