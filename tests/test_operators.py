@@ -1,8 +1,10 @@
 """Operators on small tables, against plain Python or by hand."""
 
 import datetime
+import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog, chunking, conversations, evaluation, report, retrieval
@@ -162,6 +164,28 @@ def test_file_hashes_of_any_size(spark, tmp_path):
     assert got == {h: (f"file:{tmp_path}/{name}", n) for h, (name, n) in paths.items()}
 
 
+def test_file_hashes_by_lines(spark, tmp_path, monkeypatch):
+    """What is too large for a cell in a store that only Spark reads: beginnings and ends of all kinds, cut into splits."""
+    monkeypatch.setattr(files, "is_local", lambda *_: False)
+    monkeypatch.setattr(files, "CELL_BYTES", 2)
+    mark, body = b"\xef\xbb\xbf", bytes(range(256)) * 40
+    contents = [b"x\n", b"\n\n\n", b"abc", b"abc\n", mark + b"abc", mark + b"abc\n", mark + b"\n", mark + mark, b"\r\n\r\n", body, body + b"\n", mark + body, b"\n" + body, b"a" * 5000, body]
+    (tmp_path / "s ub").mkdir()
+    for k, content in enumerate(contents):
+        (tmp_path / "s ub" / f"{k:02}%20é+#.bin").write_bytes(content)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        got = {r["content_sha256"]: (r["path"].rpartition("/")[2], r["files"]) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {hashlib.sha256(c).hexdigest(): (f"{contents.index(c):02}%20é+#.bin", contents.count(c)) for c in contents}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.gz").write_bytes(gzip.compress(body))
+    with pytest.raises(Exception, match="bytes in its lines"):
+        files.file_hashes(spark, str(tmp_path / "t")).collect()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.PDF").write_bytes(b"%PDF-1")
